@@ -95,7 +95,7 @@ def parse_jsonl(spark, sf_dir):
     p = parsed_jsonl(spark, sf_dir)
     return p.select(F.col("labels")["event_id"].cast("bigint").alias("event_id"), _us(), "source_type", "user_name",
                     "source_ip", F.col("source_port").cast("bigint").alias("source_port"), "event_action",
-                    "event_outcome", "http_url", F.col("http_status_code").cast("bigint").alias("http_status_code"),
+                    "event_outcome", "http_url", F.col("http_status_code").cast("string").alias("http_status_code"),
                     "auth_method", F.array_join(F.array_sort(F.map_keys("labels")), ",").alias("label_keys"),
                     F.col("labels")["k"].alias("label_k"))
 
