@@ -20,3 +20,34 @@ def re2_regex(pattern: str, ignore_case: bool = False) -> str:
 def sql_str(s: str) -> str:
     """Quote a Python string as a SQL string literal (both dialects)."""
     return "'" + s.replace("'", "''") + "'"
+
+
+# Literals each catalogue pattern cannot match without (a necessary condition,
+# so testing them first never changes a result).  Checked on a lower-cased
+# copy for case-insensitive patterns; the two letters whose upper case folds
+# onto ASCII (long s, dotless i) are mapped first so the check stays safe.
+REQUIRED_LITERALS = {
+    "sqli_union": ["union", "select"],
+    "sqli_or_comment": ["'", "or", "1", "="],
+    "sqli_sleep": ["sleep", "("],
+    "sqli_select_from": ["select", "from"],
+    "xss_script_tag": ["<", "script"],
+    "xss_event_handler": ["on", "="],
+    "xss_js_uri": ["javascript:"],
+    "xss_img_tag": ["<", "img", "onerror", "="],
+    "path_traversal_dotdot": ["../"],
+    "path_traversal_encoded": ["%2e%2e"],
+    "path_traversal_etc_passwd": ["/etc/passwd"],
+    "cmd_injection_pipe": ["|", "="],
+    "cmd_injection_semicolon": [";", "="],
+    "cmd_injection_backtick": ["`"],
+    "ssrf_metadata": ["169.254.169.254"],
+    "ssrf_localhost": ["localhost"],
+    "rfi_remote": ["=", "http"],
+    "encoded_powershell": ["powershell", "-"],
+    "powershell_download_cradle": ["downloadstring"],
+    "mimikatz": ["mimikatz"],
+    "procdump": ["procdump"],
+    "rundll32_network": ["rundll32", "://"],
+    "certutil_loldb": ["certutil", "-"],
+}

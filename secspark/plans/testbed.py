@@ -90,7 +90,8 @@ def _s(c: Column) -> Column:
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    from ..sources.files import spread
+    return spread(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
 
 
 def sec_events(spark: SparkSession, sf_dir: str) -> DataFrame:
