@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ...functions import constants as K
 from ...functions import scalar as X
+from ...session import ensure_checkpoint_dir
 from .. import sequence as S
 from .base import Rule, alert_key, event_fingerprint, json_context
 
@@ -35,8 +36,13 @@ class BruteForce(Rule):
         self.bucket_us = bucket_seconds * 1_000_000 if bucket_seconds else None
 
     def members(self, events: DataFrame) -> DataFrame:
-        """Failed logins that fall in a picked burst, with the burst's ``start_us``."""
-        f = failed_logins(events).withColumn("_us", F.unix_micros("timestamp"))
+        """Failed logins that fall in a picked burst, with the burst's ``start_us``.
+
+        The failed-login subset is read several times (counts, chain, members),
+        so it is written once to the shared checkpoint folder first.
+        """
+        ensure_checkpoint_dir(events.sparkSession)
+        f = failed_logins(events).withColumn("_us", F.unix_micros("timestamp")).checkpoint()
         bursts = S.greedy_bursts(f, KEYS, "_us", self.window_us, self.threshold, self.bucket_us)
         return S.burst_members(f, bursts, KEYS, "_us", self.window_us, self.bucket_us)
 
