@@ -133,7 +133,7 @@ def legacy_brute_force(events: DataFrame, config: DetectionConfig | None = None)
     w_us = cfg.brute_force_window_minutes * 60 * 1_000_000
     f = events.filter(F.col("event_type").isin("auth_failure", "login_failure")).withColumn(
         "_us", F.unix_micros("timestamp"))
-    # null keys are grouped: carry them as a (is_null, value) pair
+    # null keys form their own group: a sentinel that cannot come out of the parsers stands in for null
     f = f.withColumn("_ku", F.coalesce(F.col("user"), F.lit("\u0000null"))).withColumn(
         "_ki", F.coalesce(F.col("ip"), F.lit("\u0000null")))
     keys = ["_ku", "_ki"]

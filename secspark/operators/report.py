@@ -39,12 +39,12 @@ def by_rule(alerts: DataFrame) -> DataFrame:
     """counts per rule with the documented true-positive prior."""
     prior = F.create_map(*[x for k, v in K.TRUE_POSITIVE_ESTIMATES.items() for x in (F.lit(k), F.lit(v))])
     return (alerts.groupBy("rule_id").agg(F.count(F.lit(1)).alias("n_alerts"))
-                  .withColumn("true_positive_estimate", prior[F.col("rule_id")]))
+                  .withColumn("true_positive_estimate", prior[F.col("rule_id")]).orderBy("rule_id"))
 
 
 def by_source_type(events: DataFrame) -> DataFrame:
-    """F3."""
-    return events.groupBy("source_type").agg(F.count(F.lit(1)).alias("n_events"))
+    """F3 (H4: rows sorted by source type)."""
+    return events.groupBy("source_type").agg(F.count(F.lit(1)).alias("n_events")).orderBy("source_type")
 
 
 def rollup(alerts: DataFrame) -> DataFrame:
@@ -65,7 +65,9 @@ def summary_dict(alerts: DataFrame, events: DataFrame) -> dict:
     sev = {r["severity"]: r["n_alerts"] for r in by_severity(alerts).collect()}
     rule = {r["rule_id"]: r["n_alerts"] for r in by_rule(alerts).collect()}
     src = {r["source_type"]: r["n_events"] for r in by_source_type(events).collect()}
+    import datetime as _dt
     return {
+        "generated_at": _dt.datetime.now(_dt.timezone.utc).isoformat(),  # J15, kept out of compared outputs
         "total_alerts": sum(sev.values()),
         "by_severity": sev, "by_rule": rule, "by_source_type": src,
         "true_positive_estimates": dict(K.TRUE_POSITIVE_ESTIMATES),

@@ -126,9 +126,6 @@ def _follow_chains(nodes: DataFrame, keys: list[str], checkpoint_every: int = 8)
     every few rounds.  The (small) result is checkpointed eagerly so the
     cached intermediates can be released.
     """
-    import os, time
-    dbg = os.environ.get("SECSPARK_DEBUG")
-    t0 = time.time()
     spark = nodes.sparkSession
     ensure_checkpoint_dir(spark)
     nodes = nodes.persist()
@@ -136,10 +133,7 @@ def _follow_chains(nodes: DataFrame, keys: list[str], checkpoint_every: int = 8)
     links = nodes.filter(F.col("_j").isNotNull()).select(*keys, "_t", "_j").persist()
     cached.append(links)
     reached = nodes.filter("_head").select(*keys, "_t")
-    empty = links.isEmpty()
-    if dbg:
-        print(f"  nodes+links {time.time() - t0:.2f}s empty={empty}", flush=True)
-    if not empty:
+    if not links.isEmpty():
         jumps, cur, rounds = [links], links, 0
         while True:
             a, b = cur.alias("a"), cur.alias("b")
@@ -148,10 +142,7 @@ def _follow_chains(nodes: DataFrame, keys: list[str], checkpoint_every: int = 8)
             rounds += 1
             nxt = nxt.checkpoint() if rounds % checkpoint_every == 0 else nxt.persist()
             cached.append(nxt)
-            stop = nxt.isEmpty()
-            if dbg:
-                print(f"  round {rounds} {time.time() - t0:.2f}s", flush=True)
-            if stop:
+            if nxt.isEmpty():
                 break
             jumps.append(nxt)
             cur = nxt
@@ -159,8 +150,6 @@ def _follow_chains(nodes: DataFrame, keys: list[str], checkpoint_every: int = 8)
             step = reached.join(j, [*keys, "_t"]).select(*keys, F.col("_j").alias("_t"))
             reached = reached.unionByName(step)
     out = reached.join(nodes.select(*keys, "_t", "n"), [*keys, "_t"]).checkpoint()
-    if dbg:
-        print(f"  result {time.time() - t0:.2f}s", flush=True)
     for c in cached:
         c.unpersist()
     return out

@@ -305,9 +305,16 @@ def _rules():
     return [_bf(), SuspiciousProcess(), WebAttack(), ImpossibleTravel()]
 
 
+def _shared(df: DataFrame) -> DataFrame:
+    """Several rules scan the same events: write them once to the checkpoint folder."""
+    from ..session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
 def all_alerts(spark, sf_dir):
     from ..operators.rules import detect
-    return detect(_events(spark, sf_dir), _rules())
+    return detect(_shared(_events(spark, sf_dir)), _rules())
 
 
 def alerts_union(spark, sf_dir):
@@ -393,7 +400,7 @@ def legacy_it(spark, sf_dir):
 
 
 def legacy_summary(spark, sf_dir):
-    f = L.detect_legacy(legacy_events(spark, sf_dir), LEGACY_CONFIG)
+    f = L.detect_legacy(_shared(legacy_events(spark, sf_dir)), LEGACY_CONFIG)
     return L.findings_summary(f)
 
 
