@@ -36,7 +36,7 @@ def choose_bucket(window_us: int, factor: int = 16, floor_us: int = 3_600_000_00
 # --------------------------------------------------------------------------
 def forward_counts(df: DataFrame, keys: list[str], us: str, window_us: int,
                    bucket_us: int | None = None) -> DataFrame:
-    """Distinct ``(keys, us)`` ticks with ``n`` = rows of the key in ``[us, us + W]``.
+    """One row per input row: ``(keys, us, n)`` with ``n`` = rows of the key in ``[us, us + W]``.
 
     Each row is placed in bucket ``b``; rows in the first ``W`` of bucket ``b``
     are also copied into ``b - 1`` as halo.  A probe row per tick is merged in
@@ -50,9 +50,10 @@ def forward_counts(df: DataFrame, keys: list[str], us: str, window_us: int,
                 .select(*keys, "_t", (F.col("_b") - 1).alias("_g"), F.lit(False).alias("_own")))
     data = own.unionByName(halo).select(*keys, "_t", "_g", F.lit(0).alias("_kind"),
                                         F.col("_t").alias("_o"), F.lit(1).alias("_isdata"))
-    probes = (own.select(*keys, "_t", "_g").distinct()
-                 .select(*keys, (F.col("_t") + window_us).alias("_t"), "_g", F.lit(1).alias("_kind"),
-                         F.col("_t").alias("_o"), F.lit(0).alias("_isdata")))
+    # one probe per row (tied rows get equal counts); no distinct here, which
+    # would shuffle the whole input once more -- callers dedupe the few candidates
+    probes = own.select(*keys, (F.col("_t") + window_us).alias("_t"), "_g", F.lit(1).alias("_kind"),
+                        F.col("_t").alias("_o"), F.lit(0).alias("_isdata"))
     u = data.unionByName(probes)
     part = [*keys, "_g"]
     # ordering 1: data before probe at equal time -> #data with time <= t + W
@@ -85,7 +86,7 @@ def greedy_bursts(df: DataFrame, keys: list[str], us: str, window_us: int, thres
     """
     B = bucket_us or choose_bucket(window_us)
     cand = forward_counts(df, keys, us, window_us, B).filter(F.col("n") >= threshold)
-    cand = cand.select(*keys, F.col(us).alias("_t"), "n")
+    cand = cand.select(*keys, F.col(us).alias("_t"), "n").dropDuplicates([*keys, "_t"])
     cand = cand.withColumn("_b", bucket_of(F.col("_t"), B))
 
     # candidates + right halo (first 2W of the next bucket) + left halo (last W of the previous)

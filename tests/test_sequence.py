@@ -31,6 +31,7 @@ def test_forward_counts_brute_force(spark):
     got = {(r["k"], r["t"]): r["n"] for r in S.forward_counts(df, ["k"], "t", 10, bucket_us=25).collect()}
     want = {(k, t): sum(1 for k2, t2 in rows if k2 == k and t <= t2 <= t + 10) for k, t in set(rows)}
     assert got == want
+    assert S.forward_counts(df, ["k"], "t", 10, bucket_us=25).count() == len(rows)
 
 
 def test_greedy_bursts_random(spark):
