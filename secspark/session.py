@@ -46,11 +46,15 @@ def get_spark(master: str | None = None, shuffle_partitions: int = 8, app: str =
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    A cluster sets it to a shared file system; only when it is unset (local
-    tests) do we create a private folder here.
+    A cluster sets it to a shared file system.  Only a local-mode session
+    (tests, a laptop) without the setting gets a private temporary folder;
+    anywhere else a missing setting is an error.
     """
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster "
+                             "(checkpoints must survive the loss of an executor)")
         d = tempfile.mkdtemp(prefix="secspark-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     if not spark.sparkContext.getCheckpointDir():
