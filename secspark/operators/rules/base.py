@@ -78,13 +78,6 @@ def pack_alerts(typed: DataFrame, rule_id: str, rule_name: str) -> DataFrame:
         F.col("context"))
 
 
-def rule_id_of(alert_id: Column) -> Column:
-    return F.substring_index(alert_id, "|", 1)
-
-
 def alert_key(rule_id: str, *parts: Column) -> Column:
     return F.concat_ws("|", F.lit(rule_id), *[F.coalesce(p.cast("string"), F.lit("")) for p in parts])
 
-
-SEV_ARRAY = K.SEVERITIES
-STRING_ARRAY = T.ArrayType(T.StringType())

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
@@ -20,7 +20,6 @@ from ..operators import parse as P
 from ..operators import report as R
 from ..operators.rules import (AdminGroupAdd, BruteForce, CredentialStuffing, ImpossibleTravel,
                                SuspiciousProcess, WebAttack)
-from ..operators.rules import patterns as RP
 from ..sources import files as SRC
 from . import testbed as TB
 
