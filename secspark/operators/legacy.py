@@ -128,7 +128,11 @@ def _finding(rule_id, severity: Column, title, description: Column, confidence:
 
 
 def legacy_brute_force(events: DataFrame, config: DetectionConfig | None = None) -> DataFrame:
-    """G3 + F10: first qualifying window per (user, ip); null keys form their own group."""
+    """G3 + F10: first qualifying window per (user, ip); null keys form their own group.
+
+    D6 predicates: failures are ``auth_failure``/``login_failure`` here,
+    ``process_creation``/``windows_event`` for G8, ``web_request`` for G9 and
+    ``login_success``/``auth_success`` for G4."""
     cfg = config or DetectionConfig()
     w_us = cfg.brute_force_window_minutes * 60 * 1_000_000
     f = events.filter(F.col("event_type").isin("auth_failure", "login_failure")).withColumn(

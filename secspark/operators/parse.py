@@ -75,7 +75,8 @@ def _stage(df: DataFrame, cols: dict[str, Column]) -> DataFrame:
     return df.withColumns(cols)
 
 
-# SSH auth log.  One alternation covers the three message forms; the
+# SSH auth log (C1 failed password, C2 accepted, C3 invalid user).
+# One alternation covers the three message forms; the
 # branches start with different literal words, so the first branch that
 # matches is the one the sequential tries would pick.
 SSH_ANY_RE = (_SSH_HEAD + r"(?:Failed password for\s+(?:invalid user\s+)?(\S+)\s+from\s+" + _IP
@@ -113,7 +114,8 @@ def _ssh_stage(df: DataFrame, v: Column, year: int) -> tuple[DataFrame, Column]:
 
 
 def _access_stage(df: DataFrame, v: Column, source_type: str) -> tuple[DataFrame, Column]:
-    """Combined access log; request split at the first space and the last `` HTTP/``."""
+    """Combined access log (A2 nginx, A3 apache: same format, different stamp);
+    request split at the first space and the last `` HTTP/``."""
     p = java_regex(ACCESS_RE)
     df = _stage(df, {"_hit": v.rlike(p)})
     df = _stage(df, {f"_g{i}": F.when(F.col("_hit"), F.regexp_extract(v, p, i)) for i in (1, 2, 3, 4, 5, 8)})
@@ -174,6 +176,7 @@ _WIN_PICKS = {
 
 
 def _windows_stage(df: DataFrame, v: Column) -> tuple[DataFrame, Column]:
+    """C6 logons 4624/4625, C7 process creation 4688, C8 properties, C9 event id; J4, J11."""
     df = _stage(df, {"_rec": F.from_json(v, T.MapType(T.StringType(), T.StringType()))})
     rec = F.col("_rec")
     df = _stage(df, {"_props": _props_entries(rec)})

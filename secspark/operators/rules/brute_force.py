@@ -51,6 +51,7 @@ class BruteForce(Rule):
 
     def typed(self, events: DataFrame) -> DataFrame:
         m = self.members(events)
+        # F5; I3: distinct sorted sets of auth methods and source types inside one alert
         g = m.groupBy(*KEYS, "start_us").agg(
             F.count(F.lit(1)).alias("failed_attempts"),
             F.min("timestamp").alias("first_seen_ts"),

@@ -123,6 +123,9 @@ def _with_order(df: DataFrame, ranks: dict[str, int]) -> DataFrame:
 def scan_records(spark: SparkSession, paths: list[str], fmt: str, ranks: dict[str, int]) -> DataFrame:
     """Records of one format: ``value`` (a line or one JSON record) + order columns.
 
+    Line files: A1 auth log, A2/A3 access logs, A5 Windows events one object
+    per line, A6 JSON lines.
+
     Files ending in ``.json`` are whole JSON documents (A4, P4): an array of
     records or one object.  A broken document fails the job, as the original
     does; broken *lines* never do.  Formats that only read lines yield no
