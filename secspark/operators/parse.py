@@ -179,11 +179,24 @@ def _windows_stage(df: DataFrame, v: Column) -> tuple[DataFrame, Column]:
     """C6 logons 4624/4625, C7 process creation 4688, C8 properties, C9 event id; J4, J11."""
     df = _stage(df, {"_rec": F.from_json(v, T.MapType(T.StringType(), T.StringType()))})
     rec = F.col("_rec")
-    df = _stage(df, {"_props": _props_entries(rec)})
+    # With the LAST_WIN map-key policy a map built from the entries keeps the
+    # last value per key (as a Python dict does) and gives O(1) lookups;
+    # otherwise each lookup scans the entries for the last match.
+    last_win = df.sparkSession.conf.get("spark.sql.mapKeyDedupPolicy", "EXCEPTION").upper() == "LAST_WIN"
+    if last_win:
+        df = _stage(df, {"_props": F.map_from_entries(F.filter(_props_entries(rec), lambda e: e["k"].isNotNull()))})
+
+        def prop(key):
+            return F.col("_props")[key]
+    else:
+        df = _stage(df, {"_props": _props_entries(rec)})
+
+        def prop(key):
+            return _prop(F.col("_props"), key)
     msg = F.coalesce(X.truthy(rec["Message"]), X.truthy(rec["message"]), F.lit(""))
     msg_id = F.regexp_extract(msg, java_regex(WIN_EVENT_ID_RE, True), 1)
     declared = F.coalesce(json_truthy(rec["EventID"]), json_truthy(rec["event_id"]))
-    picks = {name: X.first_truthy(json_truthy(_prop(F.col("_props"), keys[0])), *[json_truthy(rec[k]) for k in keys[1:]])
+    picks = {name: X.first_truthy(json_truthy(prop(keys[0])), *[json_truthy(rec[k]) for k in keys[1:]])
              for name, keys in _WIN_PICKS.items()}
     df = _stage(df, {
         "_wid": F.when(declared.isNotNull(), F.trim(declared).try_cast("bigint"))
@@ -257,12 +270,29 @@ def stage_format(df: DataFrame, fmt: str, v: Column, year: int | None = None) ->
 
 
 def with_parsed(df: DataFrame, fmt: str, year: int | None = None, value_col: str = "value") -> DataFrame:
-    """Add ``_evt`` (event struct, or null when the record does not parse) and ``_blank``."""
+    """Add ``_evt`` (event struct, or null when the record does not parse), ``_ok`` and ``_blank``.
+
+    The extracted fields and the ``_ok`` flag pass through a one-row generator
+    (``computed_once``), so a later filter on ``_ok`` is not pushed below it
+    with every extraction substituted in; the event struct is built above it.
+    """
     v = F.col(value_col)
     df = df.withColumn("_blank", _is_blank(v))
     staged, ev = stage_format(df, fmt, v, year)
-    staged = X.computed_once(staged, **{EVT: F.when(~F.col("_blank"), ev)})
-    return staged.drop(*[c for c in _TEMP if c in staged.columns and c not in df.columns])
+    temp = [c for c in staged.columns if c not in df.columns]
+    ok = F.when(~F.col("_blank"), ev).isNotNull()
+    # the event expression is evaluated here only for its null-ness; the
+    # optimizer prunes the unused struct fields from this projection
+    fields = {f"_f_{c}": F.col(c) for c in temp}
+    barrier = staged.select(*df.columns, F.inline(F.array(F.struct(
+        *[c.alias(n) for n, c in fields.items()], ok.alias("_ok")))))
+    barrier = barrier.withColumnsRenamed({n: n[3:] for n in fields})
+    out = barrier.withColumn(EVT, F.when(F.col("_ok"), ev))
+    return out.drop(*temp)
+
+
+def _ok_col() -> Column:
+    return F.col("_ok")
 
 
 def parse(df: DataFrame, fmt: str, year: int | None = None, value_col: str = "value",
@@ -275,13 +305,13 @@ def parse(df: DataFrame, fmt: str, year: int | None = None, value_col: str = "va
     p = with_parsed(df, fmt, year, value_col)
     if keep is None:
         keep = [c for c in df.columns if c != value_col]
-    return p.filter(F.col(EVT).isNotNull()).select(*keep, f"{EVT}.*")
+    return p.filter(F.col("_ok")).select(*keep, f"{EVT}.*")
 
 
 def rejects(df: DataFrame, fmt: str, year: int | None = None, value_col: str = "value") -> DataFrame:
     """Non-blank records that did not parse (the ``skipped`` set)."""
     p = with_parsed(df, fmt, year, value_col)
-    return p.filter(~F.col("_blank") & F.col(EVT).isNull()).drop(EVT, "_blank")
+    return p.filter(~F.col("_blank") & ~F.col("_ok")).drop(EVT, "_blank", "_ok")
 
 
 def parse_counts(df: DataFrame, fmt: str, by: list[str], year: int | None = None,
@@ -289,8 +319,8 @@ def parse_counts(df: DataFrame, fmt: str, by: list[str], year: int | None = None
     """A12 counters: ``parsed`` and ``skipped`` per group (blank lines count in neither)."""
     p = with_parsed(df, fmt, year, value_col)
     return p.groupBy(*by).agg(
-        F.count_if(F.col(EVT).isNotNull()).alias("parsed"),
-        F.count_if(~F.col("_blank") & F.col(EVT).isNull()).alias("skipped"))
+        F.count_if(F.col("_ok")).alias("parsed"),
+        F.count_if(~F.col("_blank") & ~F.col("_ok")).alias("skipped"))
 
 
 def lines_of_text(df: DataFrame, text_col: str = "text") -> DataFrame:
