@@ -84,9 +84,22 @@ def _uri(path: str) -> str:
     return "file:" + os.path.abspath(path) if "://" not in path and not path.startswith("file:") else path
 
 
-def sniff_formats(spark: SparkSession, paths: list[str]) -> dict[str, str | None]:
+def sniff_formats(spark: SparkSession, paths: list[str], per_file_limit: int = 16) -> dict[str, str | None]:
+    """Format per un-routable file from its first non-blank line.
+
+    For a few files, ``take(1)`` per file reads splits in order and stops at
+    the first non-blank line, so a large file is not scanned to the end.
+    For many files one aggregate over all of them is cheaper than many jobs.
+    """
     if not paths:
         return {}
+    if len(paths) <= per_file_limit:
+        out = {}
+        for p in paths:
+            rows = (spark.read.text(p).filter(~F.col("value").rlike(r"(?U)^\s*$"))
+                    .select(sniff_format_col(F.col("value")).alias("fmt")).take(1))
+            out[p] = rows[0]["fmt"] if rows else None
+        return out
     rows = first_lines(spark, paths).select("file_path", sniff_format_col(F.col("first")).alias("fmt")).collect()
     by_uri = {r["file_path"]: r["fmt"] for r in rows}
     return {p: by_uri.get(_uri(p)) for p in paths}
