@@ -41,10 +41,15 @@ class BruteForce(Rule):
         The failed-login subset is read several times (counts, chain, members),
         so it is written once to the shared checkpoint folder first.
         """
+        memo = getattr(self, "_memo", None)
+        if memo is not None and memo[0] is events:  # alerts() and evidence() on the same input
+            return memo[1]
         ensure_checkpoint_dir(events.sparkSession)
         f = failed_logins(events).withColumn("_us", F.unix_micros("timestamp")).checkpoint()
         bursts = S.greedy_bursts(f, KEYS, "_us", self.window_us, self.threshold, self.bucket_us)
-        return S.burst_members(f, bursts, KEYS, "_us", self.window_us, self.bucket_us)
+        out = S.burst_members(f, bursts, KEYS, "_us", self.window_us, self.bucket_us)
+        self._memo = (events, out)
+        return out
 
     def _id(self):
         return alert_key(self.rule_id, F.col("source_ip"), F.col("user_name"), F.col("start_us"))
