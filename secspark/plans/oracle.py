@@ -324,7 +324,7 @@ _GROUP = _pick(TB.GROUPS, "event_id // 5")
 AG_ALERTS = (
     f"SELECT event_id, user_name, grp AS \"group\", 'high' AS severity, "
     "'User ''' || user_name || ''' added to local admins group ''' || grp || '''' AS description FROM ("
-    f"SELECT event_id, user_name, {_GROUP} AS grp FROM sec_events WHERE event_type = 'signup' AND event_id % 5 = 0) "
+    f"SELECT event_id, user_name, {_GROUP} AS grp FROM sec_events WHERE event_type = 'signup') "
     f"WHERE lower(grp) IN ({', '.join(sql_str(g) for g in K.ADMIN_GROUPS)})")
 
 ALL_ALERTS = _with(*BF_CTES, *IT_CTES, SP_BASE, WA_BASE,

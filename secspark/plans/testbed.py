@@ -260,10 +260,10 @@ def render_jsonl(se: DataFrame) -> DataFrame:
 
 
 def render_group_adds(se: DataFrame) -> DataFrame:
-    """JSON lines for group-membership changes (for AG-001): every 5th signup."""
+    """JSON lines for group-membership changes (for AG-001): one per signup."""
     eid = F.col("event_id")
     body = F.struct(F.concat(F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("Z")).alias("timestamp"),
                     F.col("user_name"), F.lit("group_member_add").alias("event_action"),
                     pick(GROUPS, (eid / 5).cast("bigint")).alias("group"), F.lit("4732").alias("event_id"),
                     _s(eid).alias("record_id"))
-    return se.filter((F.col("event_type") == "signup") & (eid % 5 == 0)).select("event_id", F.to_json(body).alias("value"))
+    return se.filter(F.col("event_type") == "signup").select("event_id", F.to_json(body).alias("value"))
