@@ -182,23 +182,21 @@ def lag_by_key(df: DataFrame, keys: list[str], order: list[str], us: str, payloa
                bucket_us: int = 3_600_000_000, prefix: str = "prev_") -> DataFrame:
     """Add ``prev_<col>`` for each payload column: the previous row of the same key.
 
-    Rows are windowed per ``(key, bucket)``; the first row of a bucket takes
-    the last row of the nearest earlier non-empty bucket from a per-bucket
-    summary (one row per key and bucket), so a hot key is spread over its
-    buckets instead of landing in one task.
+    One window pass per ``(key, bucket)`` gives each row its in-bucket ``lag``
+    and the bucket's last row.  The first row of each bucket (one row per key
+    and bucket) then takes, by a ``lag`` over those first rows per key, the
+    last row of the nearest earlier non-empty bucket.  A hot key is spread
+    over its buckets; only the one-row-per-bucket step is keyed by key alone.
     """
     d = df.withColumn("_g", bucket_of(F.col(us), bucket_us))
     w = Window.partitionBy(*keys, "_g").orderBy(*order)
+    w_all = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     pl = F.struct(*[F.col(c) for c in payload])
-    d = d.withColumn("_prev", F.lag(pl).over(w)).withColumn("_rn", F.row_number().over(w))
-    okey = F.struct(*[F.col(c) for c in order])
-    summ = d.groupBy(*keys, "_g").agg(F.max_by(pl, okey).alias("_last"))
-    ws = Window.partitionBy(*keys).orderBy("_g")
-    summ = summ.withColumn("_carry", F.lag("_last").over(ws)).select(*keys, "_g", "_carry")
-    firsts = d.filter(F.col("_rn") == 1).join(summ, [*keys, "_g"], "left") \
-              .withColumn("_prev", F.col("_carry")).drop("_carry")
-    rest = d.filter(F.col("_rn") > 1)
-    out = firsts.unionByName(rest)
+    d = (d.withColumn("_prev", F.lag(pl).over(w)).withColumn("_rn", F.row_number().over(w))
+          .withColumn("_last", F.last(pl).over(w_all)))
+    firsts = d.filter(F.col("_rn") == 1)
+    firsts = firsts.withColumn("_prev", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_g")))
+    out = firsts.unionByName(d.filter(F.col("_rn") > 1))
     return out.select(*df.columns, *[F.col(f"_prev.{c}").alias(prefix + c) for c in payload])
 
 
