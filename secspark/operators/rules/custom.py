@@ -60,8 +60,14 @@ class CredentialStuffing(Rule):
             "source_ip", "user_name", F.col("n").alias("failed_attempts"), "first_us", "_us", "_seq")
 
     def evidence(self, events: DataFrame) -> DataFrame:
-        """The success and every earlier failure in its band (output-sized band join)."""
-        B = self.bucket_us or S.choose_bucket(self.window_us)
+        """The success and every earlier failure in its band.
+
+        Equi-join on ``(ip, bucket)`` with buckets just over ``2 W`` wide and
+        failures near a bucket's end copied into the next bucket, so each
+        success meets only failures within about ``3 W`` of it: the join
+        stays within a small factor of the evidence it emits.
+        """
+        B = self.bucket_us or 2 * self.window_us + 1
         e = self._logins(events).withColumn("_fp", event_fingerprint())
         succ = self.matches(events).select("source_ip", "_us", "_seq").join(
             e.select("source_ip", "_us", "_seq", "_fp"), ["source_ip", "_us", "_seq"])
