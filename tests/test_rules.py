@@ -148,3 +148,25 @@ def test_detect_union(spark):
            [web("/etc/passwd")] + [ok("alice", "1.2.3.4", at(0), "US"), ok("alice", "5.6.7.8", at(minutes=30), "CN")]
     got = sorted(r["rule_id"] for r in detect(make_events(spark, rows)).collect())
     assert got == ["BF-001", "IT-001", "SP-001", "WA-001"]
+
+
+def test_cs_evidence_random_vs_brute_force(spark):
+    rnd = random.Random(5)
+    rows = []
+    for _ in range(150):
+        ip = f"9.9.9.{rnd.randrange(2)}"
+        t = at(rnd.randrange(200))
+        rows.append(ok("u", ip, t) if rnd.random() < 0.3 else fail("u", ip, t))
+    ev = make_events(spark, rows)
+    rule = CredentialStuffing(window_seconds=10)
+    got = rule.evidence(ev).groupBy("alert_id").count().collect()
+    want = {}
+    for i, s in enumerate(rows):
+        if s["event_outcome"] != "success":
+            continue
+        prior = [j for j, f in enumerate(rows) if f["event_outcome"] == "failure" and f["source_ip"] == s["source_ip"]
+                 and (f["timestamp"], j) < (s["timestamp"], i) and (s["timestamp"] - f["timestamp"]).total_seconds() <= 10]
+        if prior:
+            want[i] = len(prior) + 1
+    assert sorted(r["count"] for r in got) == sorted(want.values())
+    assert rule.alerts(ev).count() == len(want)
