@@ -36,12 +36,16 @@ def main() -> None:
     QUERIES["severity_from_score"](spark, sf_dir).write.format("noop").mode("overwrite").save()  # warm-up
 
     times: dict[str, float] = {}
+    errors: dict[str, str] = {}
     rows = 0
     for name in names:
         t0 = time.perf_counter()
-        df = QUERIES[name](spark, sf_dir)
-        df.write.format("noop").mode("overwrite").save()
-        times[name] = round(time.perf_counter() - t0, 3)
+        try:
+            df = QUERIES[name](spark, sf_dir)
+            df.write.format("noop").mode("overwrite").save()
+            times[name] = round(time.perf_counter() - t0, 3)
+        except Exception as exc:  # keep measuring the others; report the failure
+            errors[name] = f"{type(exc).__name__}: {str(exc)[:200]}"
     events = spark.read.parquet(f"{sf_dir}/events.parquet").count()
     rows = events
     total = round(sum(times.values()), 3)
@@ -49,7 +53,7 @@ def main() -> None:
     print(json.dumps({
         "metric": "headline_queries_total", "value": total, "unit": "sec", "queries": times,
         "sf": float(m.group(1)) if m else sf_dir, "cpus": cpus, "events_rows": rows,
-        "spark": spark.version,
+        "spark": spark.version, **({"errors": errors} if errors else {}),
     }))
     spark.stop()
 
