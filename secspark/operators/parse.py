@@ -240,7 +240,10 @@ def _jsonl_stage(df: DataFrame, v: Column) -> tuple[DataFrame, Column]:
     ev = event_struct(
         timestamp=F.col("_ts"),
         source_type=F.when(F.map_contains_key(rec, "source_type"), rec["source_type"]).otherwise(F.lit("json")),
-        raw=v, labels=F.map_filter(rec, lambda k, _: ~k.isin(known + ["timestamp"])),
+        raw=v,
+        # every other key except the time, as text; a JSON null prints as None
+        labels=F.transform_values(F.map_filter(rec, lambda k, _: ~k.isin(known + ["timestamp"])),
+                                  lambda _, x: F.coalesce(x, F.lit("None"))),
         **{f: (rec[f].try_cast("int") if f in _INT_FIELDS else rec[f]) for f in known})
     return df, F.when(rec.isNotNull() & F.col("_tstext").isNotNull() & F.col("_ts").isNotNull(), ev)
 
