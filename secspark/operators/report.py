@@ -62,8 +62,10 @@ def totals(alerts: DataFrame, events: DataFrame) -> DataFrame:
 
 def summary_dict(alerts: DataFrame, events: DataFrame) -> dict:
     """The report summary as a dict (reads only the small rollups)."""
-    sev = {r["severity"]: r["n_alerts"] for r in by_severity(alerts).collect()}
-    rule = {r["rule_id"]: r["n_alerts"] for r in by_rule(alerts).collect()}
+    # one pass over the alerts for both breakdowns (GROUPING SETS), one over the events
+    sets = rollup(alerts).collect()
+    sev = {r["severity"]: r["n_alerts"] for r in sets if r["gid"] == 1}
+    rule = {r["rule_id"]: r["n_alerts"] for r in sets if r["gid"] == 2}
     src = {r["source_type"]: r["n_events"] for r in by_source_type(events).collect()}
     import datetime as _dt
     return {

@@ -21,7 +21,8 @@ def run_pipeline(spark: SparkSession, paths, rules=None, out: str | None = None,
     if persist_events:
         events = events.persist()
     rules = all_rules() if rules is None else list(rules)
-    alerts = R.newest_first(detect(events, rules))
+    # the summary and the sink both read the alerts: compute them once (small next to events)
+    alerts = R.newest_first(detect(events, rules).persist())
     ev = evidence(events, rules)
     summary = sinks.write_alerts(alerts, events, out, ev) if out else R.summary_dict(alerts, events)
     return {"events": events, "alerts": alerts, "evidence": ev, "summary": summary}
