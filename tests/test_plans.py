@@ -43,3 +43,15 @@ def test_scan_reads_only_needed_columns(spark, tmp_path):
     full = df._jdf.queryExecution().executedPlan().toString()
     schema = re.search(r"ReadSchema: (struct<[^>]*>)", full).group(1)
     assert schema == "struct<id:bigint,value:double>"
+
+
+def test_hot_key_spreads_over_tasks(spark):
+    """One key holding every row is still windowed by several tasks (one per bucket group)."""
+    df = spark.createDataFrame([("hot", i) for i in range(2000)], "k string, t long")
+    prev = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # keep the shuffle partitions as planned
+    try:
+        out = S.forward_counts(df, ["k"], "t", 10, bucket_us=50).select(F.spark_partition_id().alias("p"))
+        assert out.distinct().count() >= 3
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", prev)
