@@ -8,12 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 from secspark.llm.bpe import op6_bpe
 from secspark.llm.fingerprint import op10_fingerprint
+from secspark.llm.langid import op1_langid
+from secspark.llm.quality import op5_quality
 from secspark.llm.sharding import op8_sharding
+from secspark.llm.warc import ORACLE as WARC_SQL
+from secspark.llm.warc import op7_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_langid": op1_langid,
+    "op5_quality": op5_quality,
     "op6_bpe": op6_bpe,
+    "op7_warc": op7_warc,
     "op8_sharding": op8_sharding,
     "op10_fingerprint": op10_fingerprint,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op7_warc": WARC_SQL}
