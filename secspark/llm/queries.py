@@ -11,15 +11,19 @@ from secspark.llm.fingerprint import op10_fingerprint
 from secspark.llm.langid import op1_langid
 from secspark.llm.quality import op5_quality
 from secspark.llm.sharding import op8_sharding
+from secspark.llm.simhash import op9_simhash
+from secspark.llm.suffix import op4_suffix
 from secspark.llm.warc import ORACLE as WARC_SQL
 from secspark.llm.warc import op7_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_langid": op1_langid,
+    "op4_suffix": op4_suffix,
     "op5_quality": op5_quality,
     "op6_bpe": op6_bpe,
     "op7_warc": op7_warc,
     "op8_sharding": op8_sharding,
+    "op9_simhash": op9_simhash,
     "op10_fingerprint": op10_fingerprint,
 }
 
