@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from secspark.llm.bpe import op6_bpe
+from secspark.llm.decontam import op3_decontam
 from secspark.llm.fingerprint import op10_fingerprint
 from secspark.llm.langid import op1_langid
 from secspark.llm.quality import op5_quality
@@ -18,6 +19,7 @@ from secspark.llm.warc import op7_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_langid": op1_langid,
+    "op3_decontam": op3_decontam,
     "op4_suffix": op4_suffix,
     "op5_quality": op5_quality,
     "op6_bpe": op6_bpe,
