@@ -10,6 +10,7 @@ from secspark.llm.bpe import op6_bpe
 from secspark.llm.decontam import op3_decontam
 from secspark.llm.fingerprint import op10_fingerprint
 from secspark.llm.langid import op1_langid
+from secspark.llm.license import op2_license
 from secspark.llm.quality import op5_quality
 from secspark.llm.sharding import op8_sharding
 from secspark.llm.simhash import op9_simhash
@@ -19,6 +20,7 @@ from secspark.llm.warc import op7_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_langid": op1_langid,
+    "op2_license": op2_license,
     "op3_decontam": op3_decontam,
     "op4_suffix": op4_suffix,
     "op5_quality": op5_quality,
