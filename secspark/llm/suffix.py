@@ -52,6 +52,7 @@ GRAM = 48
 SEGMENT = 1 << 18
 BATCHES = 3
 HOT = 4096
+NO_ID = -(1 << 63)
 PLACES = "doc_id long, th int, name long, block long, place long, before int, after int"
 BYTE_CODES = mix64(np.arange(256, dtype=np.uint64) + np.uint64(0x2545F4914F6CDD1D))
 
@@ -72,14 +73,13 @@ def gram_hashes(codes: np.ndarray, gram: int) -> np.ndarray:
     return mix64(total)
 
 
-def picked(data: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(place, first window, last window) for each place that some window of ``data`` picks."""
+def picked(data: bytes, ends: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> np.ndarray:
+    """Rows (place, first window, last window) for each place that some window picks.  ``data``
+    holds texts back to back, ``ends`` where each ends; windows stay inside their text."""
     windows = len(data) - length + 1
-    if windows < 1:
-        return (np.empty(0, np.int64),) * 3
+    found = [np.empty((3, 0), np.int64)]
     span = length - gram + 1
     low = np.uint64((1 << 20) - 1)
-    found = []
     codes = np.frombuffer(data, np.uint8)
     for start in range(0, windows, SEGMENT):
         count = min(SEGMENT, windows - start)
@@ -93,12 +93,20 @@ def picked(data: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndar
         if rest:
             least = np.minimum(least[:-rest], least[rest:])
         place = (least & low).astype(np.int64) + start
+        # Windows that would cross the end of their text pick nothing.
+        border = ends[(ends > start) & (ends < start + count + length - 1)] - start
+        crossing = np.zeros(count + 1, np.int64)
+        np.add.at(crossing, np.maximum(border - length + 1, 0), 1)
+        np.add.at(crossing, np.minimum(border, count), -1)
+        place[np.cumsum(crossing)[:-1] > 0] = -1
         heads = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
-        found.append(np.stack([place[heads], heads + start, np.r_[heads[1:] - 1, count - 1] + start]))
+        rows = np.stack([place[heads], heads + start, np.r_[heads[1:] - 1, count - 1] + start])
+        found.append(rows[:, rows[0] >= 0])
     out = np.concatenate(found, 1)
     same = np.flatnonzero(out[0, 1:] == out[0, :-1])  # a run that a segment border cut
-    out[1, same + 1] = out[1, same]
-    return tuple(np.delete(out, same, 1))
+    for k in same[::-1]:
+        out[2, k] = out[2, k + 1]
+    return np.delete(out, same + 1, 1)
 
 
 def text_bytes(text: str | None) -> bytes:
@@ -107,26 +115,36 @@ def text_bytes(text: str | None) -> bytes:
 
 def places(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """The sampled suffixes of every text."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows(group: list[tuple[int, int, bytes]]) -> pd.DataFrame:
         digest = xxhash.xxh3_64_intdigest
+        data = b"".join([d for _, _, d in group])
+        ends = np.cumsum([len(d) for _, _, d in group])
+        place, first, last = picked(data, ends, length, gram)
+        owner = np.searchsorted(ends, place, "right")
+        names = [digest(data[p:p + gram]) for p in place.tolist()]
+        blocks = [digest(data[a:b]) for a, b in zip(first.tolist(), (last + length).tolist(), strict=True)]
+        begin = np.r_[0, ends[:-1]]
+        return pd.DataFrame({
+            "doc_id": np.array([i for i, _, _ in group], np.int64)[owner],
+            "th": np.array([t for _, t, _ in group], np.int32)[owner],
+            "name": np.array(names, np.uint64).view(np.int64), "block": np.array(blocks, np.uint64).view(np.int64),
+            "place": place - begin[owner], "before": (place - first).astype(np.int32),
+            "after": (last - place).astype(np.int32)})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            parts = []
-            for doc_id, th, text in zip(pdf["doc_id"].astype("Int64"), pdf["th"], pdf["text"], strict=True):
+            group, size = [], 0
+            for doc_id, th, text in zip(pdf["doc_id"].tolist(), pdf["th"].tolist(), pdf["text"], strict=True):
                 data = text_bytes(text)
-                place, first, last = picked(data, length, gram)
-                if len(place):
-                    parts.append(pd.DataFrame({
-                        "doc_id": pd.array([doc_id], "Int64").repeat(len(place)), "th": np.int32(th),
-                        "name": np.array([digest(data[p:p + gram]) for p in place.tolist()], np.uint64).view(np.int64),
-                        "block": np.array([digest(data[a:b + length]) for a, b in zip(
-                            first.tolist(), last.tolist(), strict=True)], np.uint64).view(np.int64),
-                        "place": place, "before": (place - first).astype(np.int32),
-                        "after": (last - place).astype(np.int32)}))
-                if sum(map(len, parts)) > 100_000:
-                    yield pd.concat(parts)
-                    parts = []
-            if parts:
-                yield pd.concat(parts)
+                if len(data) < length:
+                    continue
+                group.append((doc_id, th, data))
+                size += len(data)
+                if size >= SEGMENT:
+                    yield rows(group)
+                    group, size = [], 0
+            if group:
+                yield rows(group)
 
     return docs.select("doc_id", "th", "text").mapInPandas(run, PLACES)
 
@@ -192,9 +210,14 @@ class Family:
         self.levels = []
 
 
+def key_id() -> Column:
+    """The id as a number that is never null (null: the lowest long)."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """Rows named by id and a hash of the text."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("th"), "text")
+    return docs.select(key_id().alias("doc_id"), F.hash("text").alias("th"), "text")
 
 
 def build(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
@@ -216,14 +239,13 @@ def _contexts(length: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for doc_id, th, text, wanted in zip(pdf["doc_id"].astype("Int64"), pdf["th"], pdf["text"], pdf["wanted"], strict=True):
+            for doc_id, th, text, wanted in zip(pdf["doc_id"], pdf["th"], pdf["text"], pdf["wanted"], strict=True):
                 data = text_bytes(text)
                 for w in wanted:
                     first = w["place"] - w["before"]
                     rows.append((doc_id, th, w["name"], w["place"], w["before"], w["n"] == 1,
                                  data[first:w["place"] + w["after"] + length]))
-            yield pd.DataFrame(rows, columns=["doc_id", "th", "name", "place", "before", "single", "data"]).astype(
-                {"doc_id": "Int64"})
+            yield pd.DataFrame(rows, columns=["doc_id", "th", "name", "place", "before", "single", "data"])
     return run
 
 
@@ -263,21 +285,21 @@ def _resolve(length: int):
             group.clear()
 
         for pdf in batches:
-            for name, cell, *row in zip(pdf["name"], pdf["cell"], pdf["doc_id"].astype("Int64"), pdf["th"], pdf["place"],
+            for name, cell, *row in zip(pdf["name"], pdf["cell"], pdf["doc_id"], pdf["th"], pdf["place"],
                                         pdf["before"], pdf["single"], pdf["data"], strict=True):
                 if (name, cell) != key:
                     settle()
                     key = (name, cell)
                 group.append(tuple(row))
-            yield pd.DataFrame(spans, columns=["doc_id", "th", "start", "stop"]).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(spans, columns=["doc_id", "th", "start", "stop"]).astype({"doc_id": "int64"})
             spans.clear()
         settle()
-        yield pd.DataFrame(spans, columns=["doc_id", "th", "start", "stop"]).astype({"doc_id": "Int64"})
+        yield pd.DataFrame(spans, columns=["doc_id", "th", "start", "stop"]).astype({"doc_id": "int64"})
     return run
 
 
 def same_row(a: str, b: str) -> Column:
-    return F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.th") == F.col(f"{b}.th"))
+    return (F.col(f"{a}.doc_id") == F.col(f"{b}.doc_id")) & (F.col(f"{a}.th") == F.col(f"{b}.th"))
 
 
 def repeated_spans(docs: DataFrame, batches: int = BATCHES, hot: int = HOT) -> DataFrame:
@@ -342,11 +364,11 @@ def removal_digest(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
                 kept = cut(data, runs)
                 out.append((len(data), len(data) - len(kept), len(runs), hashlib.sha256(kept).hexdigest()))
             part = pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256"])
-            yield part.assign(doc_id=pdf["doc_id"].astype("Int64").to_numpy())[
-                ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]]
+            yield part.assign(doc_id=pdf["doc_id"])[["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]]
 
     return (rows.alias("t").join(spans.alias("s"), same_row("t", "s"), "left").select("t.doc_id", "t.text", "s.spans")
-                .mapInPandas(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"))
+                .mapInPandas(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+                .withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id"))))
 
 
 def op4_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -363,8 +385,8 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
                           for t, s in zip(texts, found, strict=True)])
 
     columns = docs.columns
-    rows = docs.withColumns({"__th": F.hash("text"), "__id": F.col("doc_id").cast("long")}).alias("t")
-    same = F.col("t.__id").eqNullSafe(F.col("s.doc_id")) & (F.col("t.__th") == F.col("s.th"))
+    rows = docs.withColumns({"__th": F.hash("text"), "__id": key_id()}).alias("t")
+    same = (F.col("t.__id") == F.col("s.doc_id")) & (F.col("t.__th") == F.col("s.th"))
     out = rows.join(spans.alias("s"), same, "left").withColumn("__text", F.when(
         F.col("s.spans").isNull(), F.col("t.text")).otherwise(kept(F.col("t.text"), F.col("s.spans"))))
     return out.select(*[F.col("__text").alias("text") if c == "text" else F.col(f"t.`{c}`") for c in columns])
