@@ -9,8 +9,8 @@ fail are merged exactly, lowest rank first, leftmost first.
 
 Works with BPE vocabularies whose words hold no white space and end in a suffix symbol, such
 as ``word_bpe_49k.json``: texts are cut at blanks and line feeds, and each distinct piece is
-normalised, split and encoded once per task (a memo is emptied at ``MEMO`` entries, which
-changes no result).  Short texts are learnt in groups of ``GROUP`` characters; long texts go
+normalised, split and encoded once (memos that a worker keeps from task to task are emptied at
+``MEMO`` pieces and ``WORDS`` words, which changes no result).  Short texts are learnt in groups of ``GROUP`` characters; long texts go
 through in slices of ``SLICE`` characters cut at blanks, so memory does not follow the text
 length.  The vocabulary (a fixed file of under 2 MB) is
 broadcast; executors need no file.
@@ -33,12 +33,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from secspark.llm.common import table
+from secspark.llm.common import table, worker_held
 
 MEMO = 300_000
+WORDS = 600_000
 SLICE = 1 << 18
 GROUP = 1 << 21
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"  # fixed value: the supported split rule
+NEVER = np.iinfo(np.int64).max
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -58,6 +60,36 @@ def plain_pattern() -> str:
     return f"'s|'t|'re|'ve|'m|'ll|'d|[{of['L']}]+|[{of['N']}]|[^{space}{of['L']}{of['N']}]+"
 
 
+class PairTable:
+    """Open-addressing hash table from pair numbers to merge ranks, looked up in bulk."""
+
+    BITS = 18
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = np.full(1 << self.BITS, -1, np.int64)
+        self.ranks = np.zeros(1 << self.BITS, np.int64)
+        left, at = np.arange(len(keys)), self.slot(keys)
+        while len(left):
+            first = np.unique(at[left], return_index=True)[1]
+            put = left[first[self.keys[at[left[first]]] < 0]]
+            self.keys[at[put]], self.ranks[at[put]] = keys[put], put
+            left = left[self.keys[at[left]] != keys[left]]
+            at[left] = (at[left] + 1) & ((1 << self.BITS) - 1)
+
+    def slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.BITS)).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        out, at, live = np.full(len(keys), NEVER), self.slot(keys), np.arange(len(keys))
+        while len(live):
+            there = self.keys[at[live]]
+            hit = there == keys[live]
+            out[live[hit]] = self.ranks[at[live[hit]]]
+            live = live[~hit & (there >= 0)]
+            at[live] = (at[live] + 1) & ((1 << self.BITS) - 1)
+        return out
+
+
 class SpeculativeBpe:
     """Encoder and decoder for one vocabulary file (its JSON text)."""
 
@@ -96,19 +128,17 @@ class SpeculativeBpe:
         self.left = np.full(size, -1, np.int64)
         self.right = np.full(size, -1, np.int64)
         self.made = np.full(size, -1, np.int64)
-        self.rank: dict[tuple[int, int], tuple[int, int]] = {}
-        keys = np.empty(len(merges), np.int64)
+        keys, self.result = np.empty(len(merges), np.int64), np.empty(len(merges), np.int64)
         for r, (a, b) in enumerate(merges):
             x, y, z = vocab[a], vocab[b], vocab[a + b]
-            self.rank[x, y] = (r, z)
-            keys[r] = x * size + y
+            keys[r], self.result[r] = x * size + y, z
             if letters[z] is None:
                 letters[z] = letters[x] + letters[y]
                 self.left[z], self.right[z], self.made[z] = x, y, r
-        order = np.argsort(keys)
-        self.pair_keys, self.pair_ranks = keys[order], order
-        self.base = {c: vocab[c] for c in byte_letters().values()}
-        self.base_end = {c: vocab[c + self.suffix] for c in byte_letters().values()}
+        self.pairs = PairTable(keys)
+        self.base, self.base_end = np.zeros(512, np.int64), np.zeros(512, np.int64)
+        for c in byte_letters().values():
+            self.base[ord(c)], self.base_end[ord(c)] = vocab[c], vocab[c + self.suffix]
         sound = self.sound_tokens()
         import ahocorasick
 
@@ -122,16 +152,13 @@ class SpeculativeBpe:
         table = byte_letters()
         self.to_letters = [table[b] for b in range(256)]
         self.ascii_letters = {b: table[b] for b in range(128)}
-        self.no_merge = (len(merges), -1)
         self.words: dict[str, tuple[bytes, str]] = {}
         self.memo: dict[str, tuple[bytes, str]] = {}
         self.speculated = self.failed = 0
 
     def pair_rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Rank of the merge of each pair; a huge number where there is none."""
-        k = a * self.size + b
-        at = np.minimum(np.searchsorted(self.pair_keys, k), len(self.pair_keys) - 1)
-        return np.where(self.pair_keys[at] == k, self.pair_ranks[at], np.iinfo(np.int64).max)
+        """Rank of the merge of each pair; ``NEVER`` where there is none."""
+        return self.pairs.get(a * self.size + b)
 
     def sound_tokens(self) -> np.ndarray:
         """Tokens that the merges make from their own letters: both parts are such tokens, and
@@ -145,9 +172,8 @@ class SpeculativeBpe:
 
     def compatible(self, a: np.ndarray, b: np.ndarray, until: np.ndarray | None = None) -> np.ndarray:
         """For each pair of tokens: does no merge cross their border (before rank ``until``)?"""
-        never = np.iinfo(np.int64).max
         a, b = a.astype(np.int64).copy(), b.astype(np.int64).copy()
-        a_gone = np.full(len(a), never) if until is None else until.astype(np.int64).copy()
+        a_gone = np.full(len(a), NEVER) if until is None else until.astype(np.int64).copy()
         b_gone = a_gone.copy() if until is None else a_gone - 1
         ok = np.ones(len(a), bool)
         live = np.arange(len(a))
@@ -181,23 +207,50 @@ class SpeculativeBpe:
         covered[owner[~own]] = False
         return tokens, owner, covered
 
-    def merged(self, word: str) -> list[int]:
-        """The exact result: apply the lowest-ranked merge, leftmost first, until none is left."""
-        rank, none = self.rank, self.no_merge
-        parts = [self.base[c] for c in word[:-1]] + [self.base_end[word[-1]]]
-        merges = [rank.get(p, none) for p in zip(parts, parts[1:], strict=False)]
-        while merges:
-            best = min(merges)
-            if best is none:
-                break
-            i = merges.index(best)
-            parts[i:i + 2] = [best[1]]
-            del merges[i]
-            if i:
-                merges[i - 1] = rank.get((parts[i - 1], parts[i]), none)
-            if i < len(merges):
-                merges[i] = rank.get((parts[i], parts[i + 1]), none)
-        return parts
+    def merged(self, words: list[str]) -> list[list[int]]:
+        """The exact results: in each word, the lowest-ranked merge, leftmost first, until none is left.
+        All words advance together, one merge a round."""
+        out: list[list[int]] = [[]] * len(words)
+        size = np.array([len(w) for w in words], np.int64)
+        letters = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+        tokens = self.base[letters]
+        tokens[np.cumsum(size) - 1] = self.base_end[letters[np.cumsum(size) - 1]]
+        word = np.arange(len(words))
+        rank = np.full(len(tokens), NEVER)
+        inner = np.ones(len(tokens), bool)
+        inner[np.cumsum(size) - 1] = False
+        at = np.flatnonzero(inner)
+        rank[at] = self.pair_rank(tokens[at], tokens[at + 1])
+        while len(word):
+            stop = np.cumsum(size)
+            least = np.minimum.reduceat(rank, stop - size)
+            done = least == NEVER
+            if done.any():
+                flat = tokens.tolist()
+                for w, a, b in zip(word[done].tolist(), (stop - size)[done].tolist(), stop[done].tolist(), strict=True):
+                    out[w] = flat[a:b]
+                stay = np.repeat(~done, size)
+                tokens, rank = tokens[stay], rank[stay]
+                word, size, least = word[~done], size[~done], least[~done]
+                if not len(word):
+                    break
+                stop = np.cumsum(size)
+            owner = np.repeat(np.arange(len(word)), size)
+            hits = np.flatnonzero(rank == least[owner])
+            first = hits[np.r_[True, owner[hits[1:]] != owner[hits[:-1]]]]
+            tokens[first] = self.result[least]
+            keep = np.ones(len(tokens), bool)
+            keep[first + 1] = False
+            tokens, rank = tokens[keep], rank[keep]
+            first = first - np.arange(len(first))
+            size = size - 1
+            stop = np.cumsum(size)
+            rank[first] = NEVER
+            right = first[first + 1 < stop]
+            rank[right] = self.pair_rank(tokens[right], tokens[right + 1])
+            left = first[first > stop - size] - 1
+            rank[left] = self.pair_rank(tokens[left], tokens[left + 1])
+        return out
 
     def encode_words(self, words: list[str]) -> dict[str, tuple[bytes, str]]:
         """Id bytes and decoded text of distinct byte-level words."""
@@ -212,9 +265,10 @@ class SpeculativeBpe:
         self.speculated += len(words)
         self.failed += int((~good).sum())
         text, at, flat = self.text, np.searchsorted(owner, np.arange(len(words) + 1)).tolist(), tokens.tolist()
+        exact = iter(self.merged([w for w, ok in zip(words, good.tolist(), strict=True) if not ok]))
         out = {}
         for k, (w, ok) in enumerate(zip(words, good.tolist(), strict=True)):
-            ids = flat[at[k]:at[k + 1]] if ok else self.merged(w)
+            ids = flat[at[k]:at[k + 1]] if ok else next(exact)
             out[w] = struct.pack(f"<{len(ids)}I", *ids), " ".join([text[t] for t in ids])
         return out
 
@@ -244,7 +298,7 @@ class SpeculativeBpe:
         words = dict.fromkeys(s for segments in cut for s in segments if isinstance(s, str))
         known = self.words
         new = [w for w in words if w not in known]
-        if len(known) + len(new) > MEMO:
+        if len(known) + len(new) > WORDS:
             known.clear()
             new = list(words)
         known.update(self.encode_words(new))
@@ -320,7 +374,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", t
     spec = docs.sparkSession.sparkContext.broadcast(vocabulary_spec(vocabulary))
 
     def run(batches):
-        bpe = SpeculativeBpe(spec.value)
+        bpe = worker_held("bpe", spec.value, lambda: SpeculativeBpe(spec.value))
         for pdf in batches:
             rows = list(bpe.digests([t or "" for t in pdf["text"]]))
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_tokens": [r[0] for r in rows],
@@ -334,7 +388,7 @@ def token_lists(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_c
     spec = docs.sparkSession.sparkContext.broadcast(vocabulary_spec(vocabulary))
 
     def run(batches):
-        bpe = SpeculativeBpe(spec.value)
+        bpe = worker_held("bpe", spec.value, lambda: SpeculativeBpe(spec.value))
         for pdf in batches:
             ids = [bpe.encode(t) for t in pdf["text"]]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "ids": ids, "decoded": [bpe.decode(i) for i in ids]})
