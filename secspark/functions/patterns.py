@@ -22,10 +22,13 @@ def sql_str(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
+# Dotted capital I, dotless i, long s, Kelvin sign -> the ASCII letter they match.
+FOLDS_TO_ASCII = ("\u0130\u0131\u017f\u212a", "iisk")
+
 # Literals each catalogue pattern cannot match without (a necessary condition,
 # so testing them first never changes a result).  Checked on a lower-cased
-# copy for case-insensitive patterns; the two letters whose upper case folds
-# onto ASCII (long s, dotless i) are mapped first so the check stays safe.
+# copy for case-insensitive patterns; the letters outside ASCII that a
+# case-insensitive regex takes for an ASCII letter are mapped onto it first.
 REQUIRED_LITERALS = {
     "sqli_union": ["union", "select"],
     "sqli_or_comment": ["'", "or", "1", "="],

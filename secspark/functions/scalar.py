@@ -58,14 +58,57 @@ def access_log_ts(text) -> Column:
     return F.try_to_timestamp(col(text), F.lit("d/MMM/yyyy:HH:mm:ss xx"))
 
 
-def iso_ts(text) -> Column:
-    """ISO-8601 text; ``Z`` or an offset, naive means UTC (session zone is UTC)."""
-    return col(text).try_cast("timestamp")
+# Fixed value: the ISO-8601 forms accepted for a time (extended or compact, one character
+# between date and time, optional fraction and offset).
+ISO_RE = (r"^([0-9]{4})(?:-([0-9]{2})-([0-9]{2})|([0-9]{2})([0-9]{2}))"
+          r"(?:[^0-9]([0-9]{2})(?::?([0-9]{2})(?::?([0-9]{2})(?:[.,]([0-9]+))?)?)?"
+          r"(?:Z|([+-])([0-9]{2})(?::?([0-9]{2})(?::?([0-9]{2})(?:\.[0-9]+)?)?)?)?)?\z")
+ISO_USUAL_RE = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}:[0-9]{2}(?:\.[0-9]{1,6})?(?:Z|[+-][0-9]{2}:[0-9]{2})?\z"
+
 
+def iso_ts(text) -> Column:
+    """ISO-8601 text; ``Z`` or an offset, naive means UTC (session zone is UTC).
 
-def first_iso_ts(cols: list) -> Column:
-    """First parseable of several time keys."""
-    return F.coalesce(*[iso_ts(c) for c in cols])
+    Only text that is a date, or a date and a time, passes: a bare time, a
+    partial or padded date and a zone name are null.  Compact forms count.
+    The usual form is cast at once; the rest is taken apart.
+    """
+    c = col(text)
+    groups = F.split(F.regexp_replace(c, ISO_RE, ",".join(f"${i}" for i in range(1, 14))), ",", -1)
+    # the parts are bound once (a one-element transform), which also keeps generated code small
+    parsed = F.get(F.transform(F.array(groups), _ts_of_parts), F.lit(0))
+    return F.when(c.startswith("0000"), F.lit(None).cast("timestamp")).when(
+        c.rlike(ISO_USUAL_RE), c.try_cast("timestamp")).when(c.rlike(ISO_RE), parsed)
+
+
+def _ts_of_parts(parts: Column) -> Column:
+    """Time of the groups of ``ISO_RE``: year, month and day (extended, or compact), hour, minute,
+    second, fraction, sign and parts of the offset; missing parts are empty."""
+    def text(i: int) -> Column:
+        return F.get(parts, F.lit(i - 1))
+
+    def number(i: int) -> Column:
+        return F.when(text(i) == "", F.lit(0)).otherwise(text(i).try_cast("int"))
+
+    seconds = F.concat(F.lpad(number(8).cast("string"), 2, "0"), F.lit("."), F.rpad(F.substring(text(9), 1, 6), 6, "0"))
+    local = F.try_make_timestamp(number(1), number(2) + number(4), number(3) + number(5), number(6), number(7),
+                                 seconds.try_cast("decimal(8,6)"))
+    offset = (number(11) * 3600 + number(12) * 60 + number(13)).cast("bigint")
+    shift = F.when(text(10) == "-", -offset).otherwise(offset) * US_PER_S
+    sound = (number(6) < 24) & (number(8) < 60) & (number(11) < 24) & (number(12) < 60) & (number(13) < 60)
+    return F.when(sound, F.timestamp_micros(F.unix_micros(local) - shift))
+
+
+def json_iso_ts(text, record, key: str) -> Column:
+    """J3 for the value of a top-level JSON key: only a JSON string is a time.
+
+    ``text`` is the value as text.  Numbers are the one other kind of value
+    that can look like a time (``20260307``), so the JSON type is looked up
+    for text of digits alone.
+    """
+    c = col(text)
+    kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json(col(record)), f"$['{key}']", "variant"))
+    return F.when(~c.rlike(r"^[0-9]+\z") | (kind == "STRING"), iso_ts(c))
 
 
 def iso_utc(ts) -> Column:
@@ -106,11 +149,17 @@ IPV6_RE = ("^(" + "|".join([
 
 
 def ipv4_value(ip) -> Column:
-    """32-bit value of a dotted quad (null when not a valid IPv4 address)."""
-    ip = col(ip)
-    parts = [F.regexp_extract(ip, IPV4_RE, i).cast("bigint") for i in range(1, 5)]
-    v = parts[0] * (1 << 24) + parts[1] * (1 << 16) + parts[2] * (1 << 8) + parts[3]
-    return F.when(ip.rlike(IPV4_RE), v)
+    """32-bit value of a dotted quad (null when not a valid IPv4 address): four parts of one
+    to three digits without leading zeros, none above 255."""
+    parts = F.split(col(ip), r"\.", -1)
+
+    def part(i: int) -> Column:
+        text = F.get(parts, F.lit(i))
+        n = text.try_cast("int")
+        return F.when(n.between(0, 255) & (n.cast("string") == text), n.cast("bigint"))
+
+    v = part(0) * (1 << 24) + part(1) * (1 << 16) + part(2) * (1 << 8) + part(3)
+    return F.when(F.size(parts) == 4, v)
 
 
 def _ip_to_int(s: str) -> int:
@@ -249,7 +298,7 @@ def _decode_one(b64):
     if b64 is None:
         return None
     try:
-        return base64.b64decode(b64).decode("utf-16-le", errors="replace")[:200]
+        return base64.b64decode(b64).decode("utf-16-le", errors="replace")
     except Exception:  # noqa: BLE001 - bad base64 gives null, as documented
         return None
 
@@ -260,7 +309,7 @@ def _decode_ps_udf(s: pd.Series) -> pd.Series:
 
 
 def decode_powershell(cmd) -> Column:
-    """base64 payload after ``-e/-enc/-EncodedCommand`` -> UTF-16LE text, first 200 chars.
+    """base64 payload after ``-e/-enc/-EncodedCommand`` -> the whole UTF-16LE text.
 
     Python's base64 and codec rules (padding check, replacement of bad code
     units) decide the result, so the decode runs in an Arrow-batched pandas

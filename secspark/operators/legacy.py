@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 from ..functions import constants as K
 from ..functions import scalar as X
 from ..functions.patterns import java_regex
+from ..session import stored
 from . import sequence as S
 from .parse import _is_blank
 
@@ -43,8 +44,7 @@ def _legacy_struct(**cols: Column) -> Column:
 
 def _json_event(rec: Column, line: Column) -> Column:
     """C11: a JSON object with a string ``timestamp``; other keys go to ``metadata``."""
-    ts = X.iso_ts(rec["timestamp"])
-    is_str = line.rlike(r'"timestamp"\s*:\s*"')  # a JSON string value, not a number or object
+    ts = X.json_iso_ts(rec["timestamp"], line, "timestamp")  # a JSON string value, not a number or object
 
     def dflt(key, d):
         return F.when(F.map_contains_key(rec, key), rec[key]).otherwise(F.lit(d))
@@ -53,7 +53,7 @@ def _json_event(rec: Column, line: Column) -> Column:
     ev = _legacy_struct(timestamp=ts, event_type=dflt("event_type", "unknown"), source=dflt("source", "json"),
                         host=rec["host"], user=rec["user"], ip=rec["ip"], raw_message=dflt("message", ""),
                         metadata=meta)
-    return F.when(rec.isNotNull() & is_str & ts.isNotNull(), ev)
+    return F.when(rec.isNotNull() & ts.isNotNull(), ev)
 
 
 def _ssh_event(line: Column, hit: Column, year: int) -> Column:
@@ -107,9 +107,11 @@ def parse_legacy(df: DataFrame, year: int | None = None, value_col: str = "value
 
 
 def read_legacy(spark, path: str, year: int | None = None) -> DataFrame:
-    """A file or a directory tree, every line tried, sorted by time."""
-    df = spark.read.option("recursiveFileLookup", True).text(path)
-    return parse_legacy(df, year).orderBy("timestamp")
+    """A file or a directory tree, every line tried, sorted by time; ties keep arrival order (H3)."""
+    from ..sources.files import file_ranks, with_arrival_order
+    df = with_arrival_order(spark.read.option("recursiveFileLookup", True).text(path),
+                            file_ranks(spark, [path], recursive=True)).drop("source_file")
+    return parse_legacy(df, year).orderBy("timestamp", "ingest_seq")
 
 
 def event_json(prefix: str = "") -> Column:
@@ -124,35 +126,57 @@ def _finding(rule_id, severity: Column, title, description: Column, confidence:
              first: Column, last: Column) -> list[Column]:
     return [F.lit(rule_id).alias("rule_id"), severity.alias("severity"), F.lit(title).alias("title"),
             description.alias("description"), confidence.cast("double").alias("confidence"),
-            evidence.alias("evidence"), first.alias("first_seen"), last.alias("last_seen")]
+            evidence.alias("evidence"), F.size(evidence).cast("bigint").alias("n_evidence"), first.alias("first_seen"), last.alias("last_seen")]
+
+
+def _failures(events: DataFrame) -> DataFrame:
+    """Failed logins with their group: null user or ip is a group of its own, so a sentinel that
+    cannot come out of the parsers stands in for null."""
+    f = events.filter(F.col("event_type").isin("auth_failure", "login_failure"))
+    none = F.lit("\u0000null")
+    return (f.withColumn("_us", F.unix_micros("timestamp")).withColumn("_ku", F.coalesce("user", none))
+             .withColumn("_ki", F.coalesce("ip", none)))
+
+
+def _first_windows(f: DataFrame, cfg: DetectionConfig) -> DataFrame:
+    """``(_ku, _ki, start_us, n)``: the first window of each group that reaches the threshold."""
+    w_us = cfg.brute_force_window_minutes * 60 * 1_000_000
+    n = S.forward_counts(f, ["_ku", "_ki"], "_us", w_us).filter(F.col("n") >= cfg.brute_force_threshold)
+    return n.groupBy("_ku", "_ki").agg(F.min(F.struct(F.col("_us").alias("start_us"), "n")).alias("_w")).select(
+        "_ku", "_ki", "_w.start_us", "_w.n")
+
+
+def legacy_brute_force_evidence(events: DataFrame, config: DetectionConfig | None = None) -> DataFrame:
+    """G3 evidence as a long table: ``user, ip, start_us, timestamp, event`` for every failure of a finding's
+    window, joined by group and time bucket, so a hot group is spread over its buckets."""
+    cfg = config or DetectionConfig()
+    w_us = cfg.brute_force_window_minutes * 60 * 1_000_000
+    f = stored(_failures(events), "legacy-failures")
+    m = S.burst_members(f, _first_windows(f, cfg), ["_ku", "_ki"], "_us", w_us)
+    return m.select("user", "ip", "start_us", "timestamp", event_json().alias("event"))
 
 
 def legacy_brute_force(events: DataFrame, config: DetectionConfig | None = None) -> DataFrame:
     """G3 + F10: first qualifying window per (user, ip); null keys form their own group.
 
+    The finding has the number of its events (``n_evidence``); the events themselves are the long table
+    of :func:`legacy_brute_force_evidence`, since a window can hold any number of them.
+
     D6 predicates: failures are ``auth_failure``/``login_failure`` here,
     ``process_creation``/``windows_event`` for G8, ``web_request`` for G9 and
     ``login_success``/``auth_success`` for G4."""
     cfg = config or DetectionConfig()
     w_us = cfg.brute_force_window_minutes * 60 * 1_000_000
-    f = events.filter(F.col("event_type").isin("auth_failure", "login_failure")).withColumn(
-        "_us", F.unix_micros("timestamp"))
-    # null keys form their own group: a sentinel that cannot come out of the parsers stands in for null
-    f = f.withColumn("_ku", F.coalesce(F.col("user"), F.lit("\u0000null"))).withColumn(
-        "_ki", F.coalesce(F.col("ip"), F.lit("\u0000null")))
+    f = stored(_failures(events).select("_ku", "_ki", "_us"), "legacy-failures")
     keys = ["_ku", "_ki"]
-    n = S.forward_counts(f, keys, "_us", w_us).filter(F.col("n") >= cfg.brute_force_threshold)
-    first = n.groupBy(*keys).agg(F.min("_us").alias("_start"))
-    m = (f.join(first, keys).filter((F.col("_us") >= F.col("_start")) & (F.col("_us") <= F.col("_start") + w_us)))
-    g = m.groupBy(*keys, "_start").agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.array_sort(F.collect_list(F.struct("_us", event_json().alias("j")))).alias("_ev"),
-        F.min("timestamp").alias("_first"), F.max("timestamp").alias("_last"))
-    return g.select(*_finding(
-        "brute_force_login_attempts", F.lit("high"), "Brute force login attempts detected",
-        F.lit("Repeated authentication failures were observed for the same user or source."),
+    m = S.burst_members(f, _first_windows(f, cfg), keys, "_us", w_us)
+    g = m.groupBy(*keys, "start_us").agg(F.count(F.lit(1)).alias("_n"), F.max("_us").alias("_end"))
+    first, last = F.timestamp_micros("start_us"), F.timestamp_micros("_end")
+    out = g.select("_n", *_finding(
+        "brute_force_login_attempts", F.lit("high"), K.LEGACY_TITLES["brute_force"], F.lit(K.LEGACY_TEXTS["brute_force"]),
         F.least(F.lit(0.95), F.lit(0.6) + F.lit(0.05) * F.col("_n")),
-        F.transform("_ev", lambda x: x["j"]), X.iso_utc("_first"), X.iso_utc("_last")))
+        F.array().cast("array<string>"), X.iso_utc(first), X.iso_utc(last)))
+    return out.withColumn("n_evidence", F.col("_n")).drop("_n")
 
 
 def is_encoded_powershell(msg: Column) -> Column:
@@ -167,8 +191,8 @@ def legacy_encoded_powershell(events: DataFrame) -> DataFrame:
     e = events.filter(F.col("event_type").isin("process_creation", "windows_event")
                       & (is_encoded_powershell(F.coalesce(F.col("raw_message"), F.lit(""))) | truthy))
     iso = X.iso_utc("timestamp")
-    return e.select(*_finding("encoded_powershell", F.lit("critical"), "Encoded PowerShell detected",
-                              F.lit("A PowerShell command line indicated encoded execution."), F.lit(0.99),
+    return e.select(*_finding("encoded_powershell", F.lit("critical"), K.LEGACY_TITLES["powershell"],
+                              F.lit(K.LEGACY_TEXTS["powershell"]), F.lit(0.99),
                               F.array(event_json()), iso, iso))
 
 
@@ -181,8 +205,8 @@ def legacy_web_attacks(events: DataFrame) -> DataFrame:
     e = events.filter(F.col("event_type") == "web_request").withColumn("_ind", ind).filter(F.size("_ind") > 0)
     iso = X.iso_utc("timestamp")
     sev = F.when(F.array_contains("_ind", "path_traversal"), F.lit("high")).otherwise(F.lit("medium"))
-    desc = F.concat(F.lit("The request path matched: "), F.array_join("_ind", ", "), F.lit("."))
-    return e.select(*_finding("web_attack_pattern", sev, "Potential web attack pattern detected", desc,
+    desc = F.format_string(K.LEGACY_TEXTS["web_attack"], F.array_join("_ind", ", "))
+    return e.select(*_finding("web_attack_pattern", sev, K.LEGACY_TITLES["web_attack"], desc,
                               F.lit(0.9), F.array(event_json()), iso, iso))
 
 
@@ -192,10 +216,10 @@ def legacy_impossible_travel(events: DataFrame, config: DetectionConfig | None =
     cfg = config or DetectionConfig()
     e = events.filter(F.col("event_type").isin("login_success", "auth_success")
                       & (F.col("user") != "") & (F.col("ip") != ""))
-    e = e.withColumn("_us", F.unix_micros("timestamp")).withColumn("_seq", F.monotonically_increasing_id()) \
-         .withColumn("_j", event_json())
-    p = S.lag_by_key(e.select("user", "ip", "timestamp", "_us", "_seq", "_j"), ["user"], ["_us", "_seq"], "_us",
-                     ["_us", "ip", "timestamp", "_j"], bucket_seconds * 1_000_000)
+    # ties of time keep arrival order; without it, the order of the record's own text
+    seq = F.col("ingest_seq") if "ingest_seq" in events.columns else F.struct(*LEGACY_COLS)
+    e = stored(e.select(*LEGACY_COLS, F.unix_micros("timestamp").alias("_us"), seq.alias("_seq")), "legacy-logins")
+    p = S.lag_by_key(e, ["user"], ["_us", "_seq"], "_us", ["_us", *LEGACY_COLS], bucket_seconds * 1_000_000)
     p = p.filter(F.col("prev__us").isNotNull())
     delta = F.col("_us") - F.col("prev__us")
     p = p.filter((delta < cfg.impossible_travel_min_minutes * 60 * 1_000_000) & (F.col("prev_ip") != F.col("ip")))
@@ -208,11 +232,11 @@ def legacy_impossible_travel(events: DataFrame, config: DetectionConfig | None =
     dist = X.haversine_km(a["lat"], a["lon"], b["lat"], b["lon"])
     p = p.withColumn("_d", dist).withColumn("_dh", delta / 3.6e9)
     p = p.filter((F.col("_dh") > 0) & (F.col("_d") / F.col("_dh") > 900) & (F.col("_d") >= 500))
-    first = p.groupBy("user").agg(F.min_by(F.struct("prev_timestamp", "timestamp", "prev__j", "_j"),
-                                           F.struct("_us", "_seq")).alias("_p"))
+    first = p.groupBy("user").agg(F.min_by(
+        F.struct("prev_timestamp", "timestamp", event_json("prev_").alias("prev__j"), event_json().alias("_j")),
+        F.struct("_us", "_seq")).alias("_p"))
     return first.select(*_finding(
-        "impossible_travel", F.lit("medium"), "Impossible travel style anomaly detected",
-        F.lit("The same user logged in from different IPs in a short time window."), F.lit(0.8),
+        "impossible_travel", F.lit("medium"), K.LEGACY_TITLES["travel"], F.lit(K.LEGACY_TEXTS["travel"]), F.lit(0.8),
         F.array("_p.prev__j", "_p._j"), X.iso_utc("_p.prev_timestamp"), X.iso_utc("_p.timestamp")))
 
 
@@ -239,38 +263,3 @@ def findings_summary_dict(findings: DataFrame) -> dict:
         "rule_counts": {r["rule_id"]: r["n_findings"] for r in rows if r["rule_id"]},
         "impact_note": K.LEGACY_IMPACT_NOTE,
     }
-
-
-# --------------------------------------------------------------------------
-# Driver-table rendering for the legacy queries
-# --------------------------------------------------------------------------
-LEGACY_METHODS = ["GET", "POST", "PUT", "DELETE", "PATCH", "HEAD"]
-
-
-def render_legacy_lines(se: DataFrame) -> DataFrame:
-    """Mixed legacy lines: SSH failures, short access lines, JSON logins and processes."""
-    from ..plans import testbed as TB
-    eid, et = F.col("event_id"), F.col("event_type")
-    iso = F.concat(F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("Z"))
-    ssh = F.concat(F.date_format("timestamp", "MMM"), F.lit(" "), F.lpad(F.dayofmonth("timestamp").cast("string"), 2, " "),
-                   F.lit(" "), F.date_format("timestamp", "HH:mm:ss"), F.lit(" "), F.col("host"), F.lit(" sshd["),
-                   F.col("pid").cast("string"), F.lit("]: Failed password for "),
-                   F.when(eid % 5 == 0, F.lit("invalid user ")).otherwise(F.lit("")), F.col("user_name"),
-                   F.lit(" from "), F.col("user_ip"), F.lit(" port "), F.col("source_port").cast("string"), F.lit(" ssh2"))
-    web = F.concat(F.col("source_ip"), F.lit(" - - ["), F.date_format("timestamp", "dd/MMM/yyyy:HH:mm:ss"),
-                   F.lit(' +0000] "'), TB.pick(LEGACY_METHODS, eid), F.lit(" "), F.col("http_url"),
-                   F.lit(' HTTP/1.1" '), F.col("http_status_code").cast("string"), F.lit(" "),
-                   F.when(eid % 3 == 0, F.lit("-")).otherwise((100 + eid % 900).cast("string")))
-    login = F.to_json(F.struct(iso.alias("timestamp"),
-                               F.when(eid % 2 == 0, F.lit("login_success")).otherwise(F.lit("auth_success")).alias("event_type"),
-                               F.lit("vpn").alias("source"), F.col("host").alias("host"), F.col("user_name").alias("user"),
-                               F.col("source_ip").alias("ip"), F.lit("login ok").alias("message"),
-                               eid.alias("line_no")))
-    proc = F.to_json(F.struct(iso.alias("timestamp"),
-                              F.when(eid % 2 == 0, F.lit("process_creation")).otherwise(F.lit("windows_event")).alias("event_type"),
-                              F.lit("windows").alias("source"), F.col("host").alias("host"), F.col("user_name").alias("user"),
-                              F.col("process_command_line").alias("message"),
-                              F.when(eid % 9 == 0, F.lit(True)).alias("encoded_powershell"), eid.alias("line_no")))
-    line = (F.when(et == "error", ssh).when(et == "view", web).when(et.isin("signup", "click"), login)
-             .otherwise(proc))
-    return se.select(eid.alias("event_id"), line.alias("value"))

@@ -116,9 +116,13 @@ def _ssh_stage(df: DataFrame, v: Column, year: int) -> tuple[DataFrame, Column]:
 def _access_stage(df: DataFrame, v: Column, source_type: str) -> tuple[DataFrame, Column]:
     """Combined access log (A2 nginx, A3 apache: same format, different stamp);
     request split at the first space and the last `` HTTP/``."""
+    # one pass: the line is replaced by its groups.  No group can hold the separator: the user has no
+    # space, the time no bracket, and the quoted groups no quotation mark
     p = java_regex(ACCESS_RE)
-    df = _stage(df, {"_hit": v.rlike(p)})
-    df = _stage(df, {f"_g{i}": F.when(F.col("_hit"), F.regexp_extract(v, p, i)) for i in (1, 2, 3, 4, 5, 8)})
+    repl = '"] '.join(f"${i}" for i in (1, 2, 3, 4, 5, 8))
+    df = _stage(df, {"_m": F.when(v.rlike(p), F.split(F.regexp_replace(v, p + "(?s:.*)$", repl), r'"\] ', -1))})
+    df = _stage(df, {"_hit": F.col("_m").isNotNull(),
+                     **{f"_g{g}": F.col("_m")[i] for i, g in enumerate((1, 2, 3, 4, 5, 8))}})
     request = F.col("_g4")
     sp = F.instr(request, " ")
     rest = F.substring(request, sp + 1, F.length(request))
@@ -146,6 +150,12 @@ def json_truthy(c: Column) -> Column:
     return F.when(c.isNotNull() & ~c.isin(_FALSY_JSON_TEXT), c)
 
 
+def event_number(text: Column) -> Column:
+    """A whole number, or a JSON number with a fraction, which is cut off (``4624.0``)."""
+    t = F.trim(text)
+    return F.coalesce(t.try_cast("bigint"), F.when(t.rlike(r"^-?[0-9]+\.[0-9]+\z"), t.try_cast("double").cast("bigint")))
+
+
 def _props_entries(rec: Column) -> Column:
     """``Properties`` (or ``properties``) as array<struct<k, v>> in order."""
     src = F.coalesce(json_truthy(rec["Properties"]), json_truthy(rec["properties"]))
@@ -199,9 +209,9 @@ def _windows_stage(df: DataFrame, v: Column) -> tuple[DataFrame, Column]:
     picks = {name: X.first_truthy(json_truthy(prop(keys[0])), *[json_truthy(rec[k]) for k in keys[1:]])
              for name, keys in _WIN_PICKS.items()}
     df = _stage(df, {
-        "_wid": F.when(declared.isNotNull(), F.trim(declared).try_cast("bigint"))
+        "_wid": F.when(declared.isNotNull(), event_number(declared))
                  .otherwise(F.when(msg_id != "", msg_id.try_cast("bigint"))),
-        "_ts": X.first_iso_ts([rec[k] for k in K.WINDOWS_TIME_KEYS]),
+        "_ts": F.coalesce(*[X.json_iso_ts(rec[k], v, k) for k in K.WINDOWS_TIME_KEYS]),
         "_label": (F.when(F.map_contains_key(rec, "EventID"), F.coalesce(rec["EventID"], F.lit("None")))
                     .when(F.map_contains_key(rec, "event_id"), F.coalesce(rec["event_id"], F.lit("None")))
                     .otherwise(F.lit("0"))),
@@ -236,7 +246,7 @@ def _jsonl_stage(df: DataFrame, v: Column) -> tuple[DataFrame, Column]:
     rec = F.col("_rec")
     known = K.JSON_KNOWN_FIELDS
     df = _stage(df, {"_tstext": X.truthy(rec["timestamp"])})
-    df = _stage(df, {"_ts": X.iso_ts(F.col("_tstext"))})
+    df = _stage(df, {"_ts": X.json_iso_ts(F.col("_tstext"), v, "timestamp")})
     ev = event_struct(
         timestamp=F.col("_ts"),
         source_type=F.when(F.map_contains_key(rec, "source_type"), rec["source_type"]).otherwise(F.lit("json")),

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import stored
 
 UNB = Window.unboundedPreceding
 CUR = Window.currentRow
@@ -31,36 +31,46 @@ def choose_bucket(window_us: int, factor: int = 16, floor_us: int = 3_600_000_00
     return max(factor * int(window_us), floor_us, 2 * int(window_us) + 1)
 
 
+def checked_bucket(bucket_us: int | None, window_us: int) -> int:
+    """The caller's bucket width, or the default one; narrower than ``2 W + 1`` would lose rows."""
+    if bucket_us is None:
+        return choose_bucket(window_us)
+    if bucket_us < 2 * window_us + 1:
+        raise ValueError(f"bucket of {bucket_us} us is too narrow: at least 2 * window + 1 = {2 * window_us + 1} us")
+    return int(bucket_us)
+
+
 # --------------------------------------------------------------------------
 # Forward window counts: n(t) = #rows of the key with time in [t, t + W]
 # --------------------------------------------------------------------------
 def forward_counts(df: DataFrame, keys: list[str], us: str, window_us: int,
                    bucket_us: int | None = None) -> DataFrame:
-    """One row per input row: ``(keys, us, n)`` with ``n`` = rows of the key in ``[us, us + W]``.
-
-    Each row is placed in bucket ``b``; rows in the first ``W`` of bucket ``b``
-    are also copied into ``b - 1`` as halo.  A probe row per tick is merged in
-    and two running counts over the same partitioning give
-    ``n = #(time <= t + W) - #(time < t)`` without a second shuffle.
+    """One row per key and distinct time: ``(keys, us, n)`` with ``n`` = rows of the key in ``[us, us + W]``.
+
+    Rows are first counted per tick, with map-side combine: an attack that
+    piles rows onto few ticks costs its distinct ticks, not its rows.  Each
+    tick is placed in bucket ``b``; ticks in the first ``W`` of a bucket are
+    also copied into ``b - 1`` as halo.  A probe per tick is merged in and two
+    running sums over the same partitioning give
+    ``n = #(time <= t + W) - #(time < t)`` without another shuffle.
     """
-    B = bucket_us or choose_bucket(window_us)
-    base = df.select(*keys, F.col(us).alias("_t")).withColumn("_b", bucket_of(F.col("_t"), B))
-    own = base.select(*keys, "_t", F.col("_b").alias("_g"), F.lit(True).alias("_own"))
-    halo = (base.filter(F.col("_t") - F.col("_b") * B <= window_us)
-                .select(*keys, "_t", (F.col("_b") - 1).alias("_g"), F.lit(False).alias("_own")))
-    data = own.unionByName(halo).select(*keys, "_t", "_g", F.lit(0).alias("_kind"),
-                                        F.col("_t").alias("_o"), F.lit(1).alias("_isdata"))
-    # one probe per row (tied rows get equal counts); no distinct here, which
-    # would shuffle the whole input once more -- callers dedupe the few candidates
-    probes = own.select(*keys, (F.col("_t") + window_us).alias("_t"), "_g", F.lit(1).alias("_kind"),
-                        F.col("_t").alias("_o"), F.lit(0).alias("_isdata"))
-    u = data.unionByName(probes)
+    B = checked_bucket(bucket_us, window_us)
+    t, b = F.col("_t"), bucket_of(F.col("_t"), B)
+    ticks = df.select(*keys, F.col(us).alias("_t")).groupBy(*keys, "_t").agg(F.count(F.lit(1)).alias("_c"))
+
+    def place(group: Column, time: Column, kind: int, weight: Column) -> Column:
+        return F.struct(group.alias("_g"), time.alias("_time"), F.lit(kind).alias("_kind"), weight.alias("_w"))
+
+    none = F.lit(0).cast("bigint")
+    placed = F.array(place(b, t, 0, F.col("_c")), place(b, t + window_us, 1, none),
+                     F.when(t - b * B <= window_us, place(b - 1, t, 0, F.col("_c"))))
+    u = ticks.select(*keys, F.col("_t").alias("_o"), F.inline(F.array_compact(placed)))
     part = [*keys, "_g"]
     # ordering 1: data before probe at equal time -> #data with time <= t + W
-    w1 = Window.partitionBy(*part).orderBy("_t", "_kind").rowsBetween(UNB, CUR)
+    w1 = Window.partitionBy(*part).orderBy("_time", "_kind").rowsBetween(UNB, CUR)
     # ordering 2: probes keyed by their origin, before data at equal time -> #data with time < t
     w2 = Window.partitionBy(*part).orderBy("_o", F.col("_kind").desc()).rowsBetween(UNB, CUR)
-    u = u.withColumn("_le", F.sum("_isdata").over(w1)).withColumn("_lt", F.sum("_isdata").over(w2))
+    u = u.withColumn("_le", F.sum("_w").over(w1)).withColumn("_lt", F.sum("_w").over(w2))
     return (u.filter(F.col("_kind") == 1)
              .select(*keys, F.col("_o").alias(us), (F.col("_le") - F.col("_lt")).alias("n")))
 
@@ -79,14 +89,14 @@ def greedy_bursts(df: DataFrame, keys: list[str], us: str, window_us: int, thres
     after a burst at ``t`` the next start is the first candidate after
     ``t + W``.  A candidate with no other candidate in ``[t - W, t)`` is always
     picked (a *head*); from each head the chain ``next(next(...))`` is
-    followed by pointer doubling (``log2`` of the longest chain in rounds of
-    equi-joins on ``(key, t)``), so no group is ever collected into one row.
+    followed by pointer doubling (:func:`_follow_chains`), so no group is ever
+    collected into one row.
 
     Returns ``(keys, start_us, n)``.
     """
-    B = bucket_us or choose_bucket(window_us)
+    B = checked_bucket(bucket_us, window_us)
     cand = forward_counts(df, keys, us, window_us, B).filter(F.col("n") >= threshold)
-    cand = cand.select(*keys, F.col(us).alias("_t"), "n").dropDuplicates([*keys, "_t"])
+    cand = stored(cand.select(*keys, F.col(us).alias("_t"), "n"), "candidates")
     cand = cand.withColumn("_b", bucket_of(F.col("_t"), B))
 
     # candidates + right halo (first 2W of the next bucket) + left halo (last W of the previous)
@@ -117,43 +127,28 @@ def greedy_bursts(df: DataFrame, keys: list[str], us: str, window_us: int, thres
     return _follow_chains(nodes, keys).select(*keys, F.col("_t").alias("start_us"), "n")
 
 
-def _follow_chains(nodes: DataFrame, keys: list[str], checkpoint_every: int = 8) -> DataFrame:
+def _follow_chains(nodes: DataFrame, keys: list[str]) -> DataFrame:
     """Heads plus every node reached from a head through ``_j`` pointers.
 
-    Pointer doubling: ``J_{k+1}(x) = J_k(J_k(x))`` until no pointer survives,
-    then ``S <- S u J_k(S)`` from the largest jump down.  Each round is one
-    equi-join on ``(key, t)``; intermediate tables are persisted (recomputable
-    if an executor is lost) and the lineage is cut by a reliable checkpoint
-    every few rounds.  The (small) result is checkpointed eagerly so the
-    cached intermediates can be released.
+    Pointer doubling, smallest jump first.  ``reached`` holds the nodes less
+    than ``2**k`` steps from a head; joining it with the ``2**k``-step jumps
+    doubles that, and joining the jumps with themselves doubles the jumps.
+    Both tables are written to the shared folder in every round, so each
+    round plans two joins over two scans whatever the chain's length, and a
+    chain of ``c`` bursts takes ``log2(c)`` rounds.  ``(key, t)`` is unique on
+    both sides of every join, so no key is hot.
     """
-    spark = nodes.sparkSession
-    ensure_checkpoint_dir(spark)
-    nodes = nodes.persist()
-    cached = [nodes]
-    links = nodes.filter(F.col("_j").isNotNull()).select(*keys, "_t", "_j").persist()
-    cached.append(links)
+    nodes = stored(nodes, "burst-nodes")
+    jumps = nodes.filter(F.col("_j").isNotNull()).select(*keys, "_t", "_j")
     reached = nodes.filter("_head").select(*keys, "_t")
-    if not links.isEmpty():
-        jumps, cur, rounds = [links], links, 0
-        while True:
-            a, b = cur.alias("a"), cur.alias("b")
-            nxt = (a.join(b, [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys] + [F.col("a._j") == F.col("b._t")])
-                    .select(*[F.col(f"a.{k}") for k in keys], F.col("a._t"), F.col("b._j")))
-            rounds += 1
-            nxt = nxt.checkpoint() if rounds % checkpoint_every == 0 else nxt.persist()
-            cached.append(nxt)
-            if nxt.isEmpty():
-                break
-            jumps.append(nxt)
-            cur = nxt
-        for j in reversed(jumps):
-            step = reached.join(j, [*keys, "_t"]).select(*keys, F.col("_j").alias("_t"))
-            reached = reached.unionByName(step)
-    out = reached.join(nodes.select(*keys, "_t", "n"), [*keys, "_t"]).checkpoint()
-    for c in cached:
-        c.unpersist()
-    return out
+    while not jumps.isEmpty():
+        step = reached.join(jumps, [*keys, "_t"]).select(*keys, F.col("_j").alias("_t"))
+        reached = stored(reached.unionByName(step), "burst-reached")
+        a, b = jumps.alias("a"), jumps.alias("b")
+        same = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys]
+        jumps = stored(a.join(b, [*same, F.col("a._j") == F.col("b._t")])
+                        .select(*[F.col(f"a.{k}") for k in keys], F.col("a._t"), F.col("b._j")), "burst-jumps")
+    return reached.join(nodes.select(*keys, "_t", "n"), [*keys, "_t"])
 
 
 def burst_members(rows: DataFrame, bursts: DataFrame, keys: list[str], us: str, window_us: int,
@@ -164,7 +159,7 @@ def burst_members(rows: DataFrame, bursts: DataFrame, keys: list[str], us: str,
     meets at most ``B / W + 2`` of them: the equi-join on ``(key, bucket)``
     has a bounded fan-out before the range filter.
     """
-    B = bucket_us or choose_bucket(window_us)
+    B = checked_bucket(bucket_us, window_us)
     b = bursts.withColumn("_g", bucket_of(F.col("start_us"), B))
     # a burst starting late in bucket g also covers the start of bucket g + 1
     b = b.unionByName(b.filter((F.col("_g") + 1) * B - F.col("start_us") <= window_us)
@@ -211,7 +206,7 @@ def trailing_counts(df: DataFrame, keys: list[str], us: str, seq: str, is_probe:
     Counted rows in the last ``W`` of a bucket are copied into the next bucket
     as halo; three running windows over one partitioning give the answer.
     """
-    B = bucket_us or choose_bucket(window_us)
+    B = checked_bucket(bucket_us, window_us)
     d = df.withColumn("_probe", is_probe).withColumn("_cnt", is_counted & ~F.col("_probe"))
     d = d.filter(F.col("_probe") | F.col("_cnt")).withColumn("_b", bucket_of(F.col(us), B))
     own = d.withColumn("_g", F.col("_b")).withColumn("_own", F.lit(True))
@@ -232,3 +227,26 @@ def trailing_counts(df: DataFrame, keys: list[str], us: str, seq: str, is_probe:
     out = u.filter(F.col("_probe") & F.col("_own")).withColumn("n", F.col("_le") - F.col("_lt"))
     return out.withColumn("first_us", F.when(F.col("n") > 0, F.col("first_us"))).drop(
         "_probe", "_cnt", "_b", "_g", "_own", "_c", "_k2", "_k2o", "_le", "_lt")
+
+
+# --------------------------------------------------------------------------
+# Next row of a kind within W (CS-001 evidence)
+# --------------------------------------------------------------------------
+def next_within(df: DataFrame, keys: list[str], us: str, seq: str, is_probe: Column, is_target: Column,
+                payload: list[str], window_us: int, bucket_us: int | None = None) -> DataFrame:
+    """For probe rows: ``next_<col>`` of the first target later in (time, seq) order, if it is within ``W``.
+
+    Targets in the first ``W`` of a bucket are copied into the bucket before;
+    one running window per ``(key, bucket)``, so rows in are rows out.
+    """
+    B = checked_bucket(bucket_us, window_us)
+    d = df.withColumn("_probe", is_probe).withColumn("_target", is_target & ~F.col("_probe"))
+    d = d.filter(F.col("_probe") | F.col("_target"))
+    b = bucket_of(F.col(us), B)
+    early = F.col("_target") & (F.col(us) - b * B <= window_us)
+    d = d.withColumn("_g", F.explode(F.when(early, F.array(b, b - 1)).otherwise(F.array(b))))
+    w = Window.partitionBy(*keys, "_g").orderBy(F.col(us).desc(), F.col(seq).desc()).rowsBetween(UNB, CUR)
+    found = F.last(F.when(F.col("_target"), F.struct(*[F.col(c) for c in payload])), ignorenulls=True).over(w)
+    d = d.withColumn("_next", found).filter("_probe")
+    near = F.col(f"_next.{us}") <= F.col(us) + window_us
+    return d.select(*df.columns, *[F.when(near, F.col(f"_next.{c}")).alias("next_" + c.lstrip("_")) for c in payload])

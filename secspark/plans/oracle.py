@@ -276,7 +276,14 @@ IT_CTES = (
 IT_PAIRS = _with(*IT_CTES) + (
     "SELECT user_name, p_c AS from_country, country AS to_country, p_ip AS from_ip, source_ip AS to_ip, "
     "round(dist, 1) AS distance_km, CAST(floor(delta / 1000000) AS BIGINT) AS delta_s, round(speed, 1) AS implied_speed_kmh, "
-    "p_us AS first_us, us AS second_us FROM it")
+    "p_us AS first_us, us AS second_us, "
+    # Days only if any, then H:MM:SS and the microseconds only if any
+    "CASE WHEN delta // 86400000000 = 0 THEN '' WHEN delta // 86400000000 = 1 THEN '1 day, ' "
+    "ELSE CAST(delta // 86400000000 AS VARCHAR) || ' days, ' END "
+    "|| CAST(delta // 3600000000 % 24 AS VARCHAR) || ':' || lpad(CAST(delta // 60000000 % 60 AS VARCHAR), 2, '0') "
+    "|| ':' || lpad(CAST(delta // 1000000 % 60 AS VARCHAR), 2, '0') "
+    "|| CASE WHEN delta % 1000000 = 0 THEN '' ELSE '.' || lpad(CAST(delta % 1000000 AS VARCHAR), 6, '0') END AS delta_text "
+    "FROM it")
 
 
 def _geo_ip() -> str:
@@ -297,8 +304,8 @@ GEO_DISTANCE = _with(_coords_cte()) + (
 SP_BASE = f"sp AS ({_sp_select()})"
 SP_ALERTS = _with(SP_BASE) + "SELECT event_id, severity, matched_patterns, mitre_attack_ids, description FROM sp WHERE _rank IS NOT NULL"
 SP_DECODE = _with(SP_BASE) + (
-    f"SELECT event_id, left(replace(decode(from_base64(regexp_extract(_cmd, {sql_str(re2_regex(K.ENCODED_POWERSHELL_RE, True))}, 1))), "
-    f"chr(0), ''), 200) AS decoded_payload FROM sp WHERE _rank IS NOT NULL AND "
+    f"SELECT event_id, replace(decode(from_base64(regexp_extract(_cmd, {sql_str(re2_regex(K.ENCODED_POWERSHELL_RE, True))}, 1))), "
+    f"chr(0), '') AS decoded_payload FROM sp WHERE _rank IS NOT NULL AND "
     f"regexp_matches(_cmd, {sql_str(re2_regex(K.ENCODED_POWERSHELL_RE, True))})")
 PATH_BASENAME = (f"SELECT event_id, {_basename('process_parent_name')} AS parent_base, {_basename('process_name')} AS child_base "
                  "FROM sec_events WHERE event_type = 'purchase'")
@@ -320,6 +327,13 @@ CS_ALERTS = _with(
     f"'Successful login for ''' || user_name || ''' from ' || source_ip || ' followed ' || {_v('failed_attempts')} "
     f"|| ' failed login(s) within {Q.CS_WINDOW_S}s' AS description FROM m")
 
+CS_EVIDENCE = _with(
+    "l AS (SELECT event_id, us, user_ip AS source_ip, event_type FROM sec_events WHERE event_type IN ('error','signup','click'))",
+    "n AS (SELECT f.event_id, f.source_ip, f.us AS failure_us, (SELECT min(s.us) FROM l s WHERE s.source_ip = f.source_ip "
+    "AND s.event_type <> 'error' AND (s.us > f.us OR (s.us = f.us AND s.event_id > f.event_id))) AS success_us "
+    "FROM l f WHERE f.event_type = 'error')") + (
+    f"SELECT event_id, source_ip, failure_us, success_us FROM n WHERE success_us <= failure_us + {W_CS}")
+
 _GROUP = _pick(TB.GROUPS, "event_id // 5")
 AG_ALERTS = (
     f"SELECT event_id, user_name, grp AS \"group\", 'high' AS severity, "
@@ -334,7 +348,10 @@ ALL_ALERTS = _with(*BF_CTES, *IT_CTES, SP_BASE, WA_BASE,
                    "UNION ALL SELECT 'WA-001', w.severity, s.us, 1 FROM wa w JOIN sec_events s USING (event_id) "
                    "UNION ALL SELECT 'IT-001', 'medium', us, 2 FROM it)")
 _RULE_ORDER = "CASE rule_id " + " ".join(f"WHEN '{r}' THEN {i + 1}" for i, r in enumerate(K.RULE_ORDER)) + " ELSE 5 END"
-ALERTS_UNION = ALL_ALERTS + "SELECT rule_id, severity, ts_us, CAST(n_source_events AS BIGINT) AS n_source_events FROM alerts"
+ALERTS_UNION = ALL_ALERTS + (
+    "SELECT rule_id, severity, CAST(CASE severity WHEN 'info' THEN 0 WHEN 'low' THEN 1 WHEN 'medium' THEN 2 "
+    "WHEN 'high' THEN 3 WHEN 'critical' THEN 4 END AS BIGINT) AS severity_rank, ts_us, "
+    "CAST(n_source_events AS BIGINT) AS n_source_events FROM alerts")
 ALERTS_NEWEST = ALL_ALERTS + (
     f"SELECT rule_id, ts_us, row_number() OVER (ORDER BY ts_us DESC, {_RULE_ORDER}) AS rank FROM alerts "
     f"ORDER BY ts_us DESC, {_RULE_ORDER} LIMIT 50")
@@ -366,7 +383,7 @@ FINGERPRINT = ("SELECT event_id, sha256(concat_ws(chr(31), "
 # --------------------------------------------------------------------------
 # Legacy
 # --------------------------------------------------------------------------
-_LMETHOD = _pick(L.LEGACY_METHODS, "event_id")
+_LMETHOD = _pick(TB.LEGACY_METHODS, "event_id")
 _LPATH = "http_url || ' HTTP/1.1'"
 LEGACY_EVENTS = (
     "lev AS ("
@@ -458,7 +475,7 @@ ORACLES: dict[str, str] = {k: _plain(v) for k, v in {
     "it_pairs": IT_PAIRS, "geo_lookup": GEO_LOOKUP, "geo_distance": GEO_DISTANCE,
     "sp_alerts": SP_ALERTS, "sp_decode": SP_DECODE, "path_basename": PATH_BASENAME,
     "wa_alerts": WA_ALERTS, "wa_families": WA_FAMILIES, "wa_pages": WA_PAGES,
-    "cs_alerts": CS_ALERTS, "ag_alerts": AG_ALERTS,
+    "cs_alerts": CS_ALERTS, "cs_evidence": CS_EVIDENCE, "ag_alerts": AG_ALERTS,
     "alerts_union": ALERTS_UNION, "alerts_newest": ALERTS_NEWEST, "alert_samples": ALERT_SAMPLES,
     "summary_by_rule": SUMMARY_BY_RULE, "summary_by_severity": SUMMARY_BY_SEVERITY, "summary_totals": SUMMARY_TOTALS,
     "severity_from_score": SEVERITY_FROM_SCORE, "fingerprint": FINGERPRINT,

@@ -199,7 +199,8 @@ def it_pairs(spark, sf_dir):
                     F.round("distance_km", 1).alias("distance_km"),
                     F.floor(F.col("delta_us") / 1_000_000).cast("bigint").alias("delta_s"),
                     F.round("implied_speed_kmh", 1).alias("implied_speed_kmh"),
-                    F.col("prev__us").alias("first_us"), F.col("_us").alias("second_us"))
+                    F.col("prev__us").alias("first_us"), F.col("_us").alias("second_us"),
+                    X.timedelta_text(F.col("delta_us")).alias("delta_text"))
 
 
 def geo_ips(se: DataFrame) -> DataFrame:
@@ -291,6 +292,11 @@ def cs_alerts(spark, sf_dir):
                     F.col("first_us").alias("first_failure_us"), "description")
 
 
+def cs_evidence(spark, sf_dir):
+    c = CredentialStuffing(window_seconds=CS_WINDOW_S).covered_failures(_events(spark, sf_dir, ip_col="user_ip"))
+    return c.select("event_id", "source_ip", F.col("_us").alias("failure_us"), F.col("next_us").alias("success_us"))
+
+
 def ag_alerts(spark, sf_dir):
     ev = P.parse(TB.render_group_adds(_se(spark, sf_dir)), "json")
     t = AdminGroupAdd().typed(ev, keep=["event_id"])
@@ -305,10 +311,10 @@ def _rules():
 
 
 def _shared(df: DataFrame) -> DataFrame:
-    """Several rules scan the same events: write them once to the checkpoint folder."""
-    from ..session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    """Several rules scan the same events: write them once, partitioned by kind."""
+    from ..session import stored
+    kind = "event_action" if "event_action" in df.columns else "event_type"
+    return stored(df, "events", partition_by=[kind])
 
 
 def all_alerts(spark, sf_dir):
@@ -318,7 +324,8 @@ def all_alerts(spark, sf_dir):
 
 def alerts_union(spark, sf_dir):
     a = all_alerts(spark, sf_dir)
-    return a.select("rule_id", "severity", _us(), "n_source_events")
+    return a.select("rule_id", "severity", F.col("severity_rank").cast("bigint").alias("severity_rank"), _us(),
+                    "n_source_events")
 
 
 def alerts_newest(spark, sf_dir, k: int = 50):
@@ -364,8 +371,8 @@ def fingerprint(spark, sf_dir):
 # Legacy API
 # --------------------------------------------------------------------------
 def legacy_events(spark, sf_dir):
-    lines = L.render_legacy_lines(_se(spark, sf_dir))
-    return L.parse_legacy(lines, TB.SSH_YEAR)
+    lines = TB.render_legacy_lines(_se(spark, sf_dir))
+    return L.parse_legacy(lines, TB.SSH_YEAR).withColumnRenamed("event_id", "ingest_seq")
 
 
 def legacy_parse(spark, sf_dir):
@@ -377,7 +384,7 @@ def legacy_parse(spark, sf_dir):
 
 
 def _findings_cols(f):
-    return f.select("rule_id", "severity", "title", "confidence", F.size("evidence").cast("bigint").alias("n_evidence"),
+    return f.select("rule_id", "severity", "title", "confidence", "n_evidence",
                     "first_seen", "last_seen")
 
 
@@ -412,7 +419,7 @@ QUERIES = {
     "it_pairs": it_pairs, "geo_lookup": geo_lookup, "geo_distance": geo_distance,
     "sp_alerts": sp_alerts, "sp_decode": sp_decode, "path_basename": path_basename,
     "wa_alerts": wa_alerts, "wa_families": wa_families, "wa_pages": wa_pages,
-    "cs_alerts": cs_alerts, "ag_alerts": ag_alerts,
+    "cs_alerts": cs_alerts, "cs_evidence": cs_evidence, "ag_alerts": ag_alerts,
     "alerts_union": alerts_union, "alerts_newest": alerts_newest, "alert_samples": alert_samples,
     "summary_by_rule": summary_by_rule, "summary_by_severity": summary_by_severity,
     "summary_totals": summary_totals,

@@ -6,23 +6,25 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import report as R
 from ..operators.rules import all_rules, detect, evidence
+from ..session import stored
 from ..sources import files, sinks
 
 
-def run_pipeline(spark: SparkSession, paths, rules=None, out: str | None = None, fmt: str | None = None,
-                 year: int | None = None, persist_events: bool = True) -> dict:
-    """Returns ``{"events", "alerts", "evidence"}`` DataFrames and the ``summary`` dict.
+def shared_events(events: DataFrame) -> DataFrame:
+    """Events that several rules read: written once as Parquet, partitioned by ``event_action``, so each
+    rule reads its own partition and the columns it needs."""
+    return stored(events, "events", partition_by=["event_action"])
+
 
-    ``events`` is persisted once (serialised, spills to disk) because every
-    rule scans it; on a cluster, writing it as Parquet partitioned by
-    ``event_action`` gives each rule partition pruning instead.
-    """
+def run_pipeline(spark: SparkSession, paths, rules=None, out: str | None = None, fmt: str | None = None,
+                 year: int | None = None, store_events: bool = True) -> dict:
+    """Returns ``{"events", "alerts", "evidence"}`` DataFrames and the ``summary`` dict."""
     events = files.read_events(spark, paths, fmt=fmt, year=year)
-    if persist_events:
-        events = events.persist()
+    if store_events:
+        events = shared_events(events)
     rules = all_rules() if rules is None else list(rules)
     # the summary and the sink both read the alerts: compute them once (small next to events)
-    alerts = R.newest_first(detect(events, rules).persist())
+    alerts = R.newest_first(stored(detect(events, rules), "alerts"))
     ev = evidence(events, rules)
     summary = sinks.write_alerts(alerts, events, out, ev) if out else R.summary_dict(alerts, events)
     return {"events": events, "alerts": alerts, "evidence": ev, "summary": summary}

@@ -90,8 +90,10 @@ def _s(c: Column) -> Column:
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    from ..sources.files import spread
-    return spread(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
+    """A driver table, dealt by its first column (an id) over the session's shuffle partitions: the rows
+    are narrow here, and what the queries render and parse from them is much wider."""
+    df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), df.columns[0])
 
 
 def sec_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -267,3 +269,37 @@ def render_group_adds(se: DataFrame) -> DataFrame:
                     pick(GROUPS, (eid / 5).cast("bigint")).alias("group"), F.lit("4732").alias("event_id"),
                     _s(eid).alias("record_id"))
     return se.filter(F.col("event_type") == "signup").select("event_id", F.to_json(body).alias("value"))
+
+
+# --------------------------------------------------------------------------
+# Driver-table rendering for the legacy queries
+# --------------------------------------------------------------------------
+LEGACY_METHODS = ["GET", "POST", "PUT", "DELETE", "PATCH", "HEAD"]
+
+
+def render_legacy_lines(se: DataFrame) -> DataFrame:
+    """Mixed legacy lines: SSH failures, short access lines, JSON logins and processes."""
+    eid, et = F.col("event_id"), F.col("event_type")
+    iso = F.concat(F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("Z"))
+    ssh = F.concat(F.date_format("timestamp", "MMM"), F.lit(" "), F.lpad(F.dayofmonth("timestamp").cast("string"), 2, " "),
+                   F.lit(" "), F.date_format("timestamp", "HH:mm:ss"), F.lit(" "), F.col("host"), F.lit(" sshd["),
+                   F.col("pid").cast("string"), F.lit("]: Failed password for "),
+                   F.when(eid % 5 == 0, F.lit("invalid user ")).otherwise(F.lit("")), F.col("user_name"),
+                   F.lit(" from "), F.col("user_ip"), F.lit(" port "), F.col("source_port").cast("string"), F.lit(" ssh2"))
+    web = F.concat(F.col("source_ip"), F.lit(" - - ["), F.date_format("timestamp", "dd/MMM/yyyy:HH:mm:ss"),
+                   F.lit(' +0000] "'), pick(LEGACY_METHODS, eid), F.lit(" "), F.col("http_url"),
+                   F.lit(' HTTP/1.1" '), F.col("http_status_code").cast("string"), F.lit(" "),
+                   F.when(eid % 3 == 0, F.lit("-")).otherwise((100 + eid % 900).cast("string")))
+    login = F.to_json(F.struct(iso.alias("timestamp"),
+                               F.when(eid % 2 == 0, F.lit("login_success")).otherwise(F.lit("auth_success")).alias("event_type"),
+                               F.lit("vpn").alias("source"), F.col("host").alias("host"), F.col("user_name").alias("user"),
+                               F.col("source_ip").alias("ip"), F.lit("login ok").alias("message"),
+                               eid.alias("line_no")))
+    proc = F.to_json(F.struct(iso.alias("timestamp"),
+                              F.when(eid % 2 == 0, F.lit("process_creation")).otherwise(F.lit("windows_event")).alias("event_type"),
+                              F.lit("windows").alias("source"), F.col("host").alias("host"), F.col("user_name").alias("user"),
+                              F.col("process_command_line").alias("message"),
+                              F.when(eid % 9 == 0, F.lit(True)).alias("encoded_powershell"), eid.alias("line_no")))
+    line = (F.when(et == "error", ssh).when(et == "view", web).when(et.isin("signup", "click"), login)
+             .otherwise(proc))
+    return se.select(eid.alias("event_id"), line.alias("value"))

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings the engine needs for correct results (UTC timestamps, try_* parsing)
 # and the scale knobs it expects (AQE coalescing and skew handling).
@@ -52,7 +54,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster "
                              "(checkpoints must survive the loss of an executor)")
         d = tempfile.mkdtemp(prefix="secspark-ckpt-")
@@ -67,3 +69,16 @@ def prepare(spark: SparkSession) -> SparkSession:
     for k in ("spark.sql.session.timeZone", "spark.sql.mapKeyDedupPolicy"):
         spark.conf.set(k, REQUIRED_CONF[k])
     return spark
+
+
+def stored(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
+    """Write a frame as Parquet under the shared checkpoint folder and read it back.
+
+    Cuts the lineage like ``checkpoint()`` and survives lost executors, but keeps the data
+    columnar: later readers still prune columns, push filters down and skip partitions.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    writer = df.write.partitionBy(*partition_by) if partition_by else df.write
+    writer.parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(*df.columns)

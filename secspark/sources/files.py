@@ -7,7 +7,11 @@ ever reach the driver.
 
 from __future__ import annotations
 
+import fnmatch
 import os
+import posixpath
+import re
+import urllib.parse
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,32 +23,18 @@ from ..operators import parse as P
 from ..schema import EVENT_COLUMNS
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin a scan that has fewer splits than the cluster has cores.
-
-    Parsing is CPU-bound per record; a small file with one row group would
-    otherwise be parsed by a single task.  Large inputs already have many
-    splits and pass through unchanged (no shuffle).
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 # --------------------------------------------------------------------------
 # Routing by file name
 # --------------------------------------------------------------------------
+NAMED_FORMATS = ("apache", "nginx")
+
+
 def route_format(path: str) -> str | None:
-    """Format for a path: ``apache*`` / ``nginx*`` base names first, then the longest suffix."""
-    p = str(path).lower()
-    base = p.rsplit("/", 1)[-1]
-    if base.startswith("apache"):
-        return "apache"
-    if base.startswith("nginx"):
-        return "nginx"
-    for ext, name in sorted(K.EXTENSION_MAP.items(), key=lambda kv: len(kv[0]), reverse=True):
-        if p.endswith(ext):
-            return name
-    return None
+    """Format for a path: a base name that starts with a format's name, else the longest known suffix."""
+    name = os.fspath(path).lower()
+    leaf = posixpath.basename(name)
+    suffix = max(filter(name.endswith, K.EXTENSION_MAP), key=len, default=None)
+    return next(filter(leaf.startswith, NAMED_FORMATS), K.EXTENSION_MAP.get(suffix))
 
 
 def route_format_col(path: Column) -> Column:
@@ -72,37 +62,56 @@ def sniff_format_col(first: Column) -> Column:
 
 
 def first_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """``(file_path, first)``: first non-blank line per file (one row per file)."""
-    df = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("file_path"),
+    """``(file, first)``: first non-blank line per file (one row per file)."""
+    df = spark.read.text(paths).select("value", _file_key().alias("file"),
                                        F.col("_metadata.file_block_start").alias("_blk"),
                                        F.monotonically_increasing_id().alias("_row"))
     df = df.filter(~F.col("value").rlike(r"(?U)^\s*$"))
-    return df.groupBy("file_path").agg(F.min_by("value", F.struct("_blk", "_row")).alias("first"))
+    return df.groupBy("file").agg(F.min_by("value", F.struct("_blk", "_row")).alias("first"))
 
 
 def _uri(path: str) -> str:
-    return "file:" + os.path.abspath(path) if "://" not in path and not path.startswith("file:") else path
+    """A path as Spark names files: scheme, absolute path, special characters percent-encoded."""
+    text = os.fspath(path)
+    scheme, rest = re.fullmatch(r"(?:([A-Za-z][A-Za-z0-9+.-]*):)?(.*)", text, re.DOTALL).groups()
+    if scheme is None or scheme.lower() == "file":
+        rest = os.path.abspath(re.sub(r"^/+", "/", rest))
+        scheme = "file"
+    # Spark escapes ASCII characters only
+    return f"{scheme}:" + re.sub(r"[\x00-\x7f]+", lambda m: urllib.parse.quote(m[0], safe="/:@!$&'()*,;=~+-._"), rest)
 
 
-def sniff_formats(spark: SparkSession, paths: list[str], per_file_limit: int = 16) -> dict[str, str | None]:
-    """Format per un-routable file from its first non-blank line.
+def _file_key() -> Column:
+    """The scanned file's name in the form of :func:`_uri` (one slash after ``file:``)."""
+    return F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "file:/")
 
-    For a few files, ``take(1)`` per file reads splits in order and stops at
-    the first non-blank line, so a large file is not scanned to the end.
-    For many files one aggregate over all of them is cheaper than many jobs.
-    """
+
+def files_of(spark: SparkSession, paths: list[str], recursive: bool = False) -> list[tuple[int, str]]:
+    """(position of the given path, file) for every file of the given files, folders and globs, in arrival
+    order: by the given path, then by name.  Only names are listed; no data is read."""
+    given = [_uri(p) for p in paths]
+
+    def position(file: str) -> int:
+        for i, g in enumerate(given):
+            if file == g or file.startswith(g.rstrip("/") + "/") or fnmatch.fnmatchcase(file, g):
+                return i
+        return len(given)
+
+    names = {re.sub("^file:/+", "file:/", f) for f in
+             spark.read.option("recursiveFileLookup", recursive).text(paths).inputFiles()}
+    return sorted((position(f), f) for f in names)
+
+
+def sniff_formats(spark: SparkSession, paths: list[str]) -> dict[str, str | None]:
+    """Format per un-routable path from its first non-blank line: one job for any number of paths,
+    one row per path to the driver (which plans one scan per path)."""
     if not paths:
         return {}
-    if len(paths) <= per_file_limit:
-        out = {}
-        for p in paths:
-            rows = (spark.read.text(p).filter(~F.col("value").rlike(r"(?U)^\s*$"))
-                    .select(sniff_format_col(F.col("value")).alias("fmt")).take(1))
-            out[p] = rows[0]["fmt"] if rows else None
-        return out
-    rows = first_lines(spark, paths).select("file_path", sniff_format_col(F.col("first")).alias("fmt")).collect()
-    by_uri = {r["file_path"]: r["fmt"] for r in rows}
-    return {p: by_uri.get(_uri(p)) for p in paths}
+    places = spark.createDataFrame([(f, i, k) for k, (i, f) in enumerate(files_of(spark, paths))],
+                                   "file string, path int, place long")
+    found = first_lines(spark, paths).join(places, "file").groupBy("path").agg(F.min_by("first", "place").alias("first"))
+    by_path = {r["path"]: r["fmt"] for r in found.select("path", sniff_format_col(F.col("first")).alias("fmt")).collect()}
+    return {p: by_path.get(i) for i, p in enumerate(paths)}
 
 
 # --------------------------------------------------------------------------
@@ -123,17 +132,22 @@ def resolve_formats(spark: SparkSession, paths: list[str], fmt: str | None = Non
     return out
 
 
-def _with_order(df: DataFrame, ranks: dict[str, int]) -> DataFrame:
-    """H2: ``ingest_seq`` = (file rank in the path list, split start, row id within the split)."""
-    rank_map = F.create_map(*[x for u, r in ranks.items() for x in (F.lit(u), F.lit(r))])
-    return (df.withColumn("source_file", F.col("_metadata.file_path"))
-              .withColumn("ingest_seq", F.struct(
-                  F.coalesce(rank_map[F.col("_metadata.file_path")], F.lit(-1)).alias("file_rank"),
-                  F.col("_metadata.file_block_start").alias("block"),
-                  F.monotonically_increasing_id().alias("row"))))
+def file_ranks(spark: SparkSession, paths: list[str], recursive: bool = False) -> DataFrame:
+    """H2: every scanned file with its rank in arrival order (a small table, joined to the scans)."""
+    rows = [(f, k) for k, (_, f) in enumerate(files_of(spark, paths, recursive))]
+    return spark.createDataFrame(rows, "_file string, file_rank int")
+
+
+def with_arrival_order(df: DataFrame, ranks: DataFrame) -> DataFrame:
+    """H2: ``ingest_seq`` = (file rank, split start, row id within the split)."""
+    named = df.select("value", F.col("_metadata.file_path").alias("source_file"), _file_key().alias("_file"),
+                      F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_row"))
+    return named.join(ranks, "_file", "left").select(
+        "value", "source_file", F.struct(F.coalesce("file_rank", F.lit(-1)).alias("file_rank"),
+                                         F.col("_block").alias("block"), F.col("_row").alias("row")).alias("ingest_seq"))
 
 
-def scan_records(spark: SparkSession, paths: list[str], fmt: str, ranks: dict[str, int]) -> DataFrame:
+def scan_records(spark: SparkSession, paths: list[str], fmt: str, ranks: DataFrame) -> DataFrame:
     """Records of one format: ``value`` (a line or one JSON record) + order columns.
 
     Line files: A1 auth log, A2/A3 access logs, A5 Windows events one object
@@ -148,9 +162,9 @@ def scan_records(spark: SparkSession, paths: list[str], fmt: str, ranks: dict[st
     line_files = [p for p in paths if not p.lower().endswith(".json")]
     frames = []
     if line_files:
-        frames.append(_with_order(spark.read.text(line_files), ranks).select("value", "source_file", "ingest_seq"))
+        frames.append(with_arrival_order(spark.read.text(line_files), ranks).select("value", "source_file", "ingest_seq"))
     if json_files and fmt == "windows_json":
-        doc = _with_order(spark.read.text(json_files, wholetext=True), ranks)
+        doc = with_arrival_order(spark.read.text(json_files, wholetext=True), ranks)
         txt = F.trim(F.col("value"))
         arr = F.when(txt.startswith("["), F.from_json(txt, T.ArrayType(T.StringType()))) \
                .when(txt.startswith("{") & F.from_json(txt, T.MapType(T.StringType(), T.StringType())).isNotNull(),
@@ -171,7 +185,7 @@ def read_events(spark: SparkSession, paths, fmt: str | None = None, year: int |
     """Many files -> one ``events`` frame (+ ``source_file``, ``ingest_seq``)."""
     paths = [str(p) for p in ([paths] if isinstance(paths, (str, os.PathLike)) else paths)]
     formats = resolve_formats(spark, paths, fmt)
-    ranks = {_uri(p): i for i, p in enumerate(paths)}
+    ranks = file_ranks(spark, paths)
     frames = []
     for f in K.FORMATS:
         group = [p for p in paths if formats[p] == f]
@@ -185,7 +199,7 @@ def read_rejects(spark: SparkSession, paths, fmt: str | None = None, year: int |
     """The records that did not parse, with their file."""
     paths = [str(p) for p in ([paths] if isinstance(paths, (str, os.PathLike)) else paths)]
     formats = resolve_formats(spark, paths, fmt)
-    ranks = {_uri(p): i for i, p in enumerate(paths)}
+    ranks = file_ranks(spark, paths)
     frames = [P.rejects(scan_records(spark, [p for p in paths if formats[p] == f], f, ranks), f, year)
               for f in K.FORMATS if any(formats[p] == f for p in paths)]
     return reduce(lambda a, b: a.unionByName(b), frames)
@@ -195,7 +209,7 @@ def parse_counts(spark: SparkSession, paths, fmt: str | None = None, year: int |
     """A12 counters per file: ``parsed`` and ``skipped``."""
     paths = [str(p) for p in ([paths] if isinstance(paths, (str, os.PathLike)) else paths)]
     formats = resolve_formats(spark, paths, fmt)
-    ranks = {_uri(p): i for i, p in enumerate(paths)}
+    ranks = file_ranks(spark, paths)
     frames = [P.parse_counts(scan_records(spark, [p for p in paths if formats[p] == f], f, ranks), f,
                              ["source_file"], year)
               for f in K.FORMATS if any(formats[p] == f for p in paths)]

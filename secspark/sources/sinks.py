@@ -1,46 +1,51 @@
 """Sinks (B1, B2): alerts / findings as JSON lines plus a one-row summary.
 
-Alerts are written as one JSON object per line by every task in parallel;
-only the summary (a handful of counters) is a single file.  There is no single
-big JSON array, which would have to pass through one task.
+Every part is written by Spark's own writers, so any file system Spark knows
+will do.  Alerts are one JSON object per line, written by every task in
+parallel; the summary is one row.  There is no single big JSON array, which
+would have to pass through one task.
 """
 
 from __future__ import annotations
 
 import json
-import os
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import scalar as X
 from ..operators import report as R
 
 
+def alert_json(alerts: DataFrame) -> DataFrame:
+    """``value``: the alert as JSON text, its ``context`` an object (it is JSON text already)."""
+    plain = F.struct("rule_id", "rule_name", "severity", "description", X.iso_utc("timestamp").alias("timestamp"),
+                     "alert_id", "n_source_events")
+    head = F.to_json(plain, {"ignoreNullFields": "false"})
+    return alerts.select(F.concat(F.substring(head, F.lit(1), F.length(head) - 1), F.lit(',"context":'),
+                                  F.coalesce("context", F.lit("null")), F.lit("}")).alias("value"))
+
+
 def write_alerts(alerts: DataFrame, events: DataFrame, out_dir: str, evidence: DataFrame | None = None,
                  mode: str = "overwrite") -> dict:
-    """B1: ``out_dir/alerts`` (JSON lines), ``out_dir/evidence`` and ``out_dir/summary.json``."""
-    alerts.select("rule_id", "rule_name", "severity", "description",
-                  F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias("timestamp"),
-                  "alert_id", "n_source_events", "context").write.mode(mode).json(os.path.join(out_dir, "alerts"))
+    """B1: ``out_dir/alerts`` (JSON lines), ``out_dir/evidence`` and ``out_dir/summary``."""
+    alert_json(alerts).write.mode(mode).text(f"{out_dir}/alerts")
     if evidence is not None:
-        evidence.write.mode(mode).json(os.path.join(out_dir, "evidence"))
+        evidence.write.mode(mode).json(f"{out_dir}/evidence")
     summary = R.summary_dict(alerts, events)
     summary["event_count"] = sum(summary["by_source_type"].values())
-    _write_small_json(os.path.join(out_dir, "summary.json"), summary)
+    _write_summary(alerts.sparkSession, f"{out_dir}/summary", summary, mode)
     return summary
 
 
 def write_findings(findings: DataFrame, out_dir: str, mode: str = "overwrite") -> dict:
     """B2: legacy findings as JSON lines + summary."""
     from ..operators import legacy as L
-    findings.write.mode(mode).json(os.path.join(out_dir, "findings"))
+    findings.write.mode(mode).json(f"{out_dir}/findings")
     summary = L.findings_summary_dict(findings)
-    _write_small_json(os.path.join(out_dir, "summary.json"), summary)
+    _write_summary(findings.sparkSession, f"{out_dir}/summary", summary, mode)
     return summary
 
 
-def _write_small_json(path: str, obj: dict) -> None:
-    # The summary is a few counters; on a cluster pass a shared-file-system path.
-    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-    with open(path, "w", encoding="utf-8") as fh:
-        json.dump(obj, fh, indent=2, default=str)
+def _write_summary(spark: SparkSession, path: str, summary: dict, mode: str) -> None:
+    spark.createDataFrame([(json.dumps(summary, default=str),)], "value string").write.mode(mode).text(path)

@@ -73,3 +73,48 @@ def test_fingerprint_stable_and_distinct(spark):
                              {"timestamp": at(1), "user_name": "a"}])
     fps = [r["fp"] for r in ev.select(event_fingerprint().alias("fp")).collect()]
     assert fps[0] == fps[1] != fps[2] and len(fps[0]) == 64
+
+
+def _reference_time(text):
+    """The documented J3 rule, written with the standard library (micros since 1970, or None)."""
+    try:
+        t = dt.datetime.fromisoformat(text[:-1] + "+00:00" if text.endswith("Z") else text)
+    except (TypeError, ValueError, AttributeError):
+        return None
+    t = t if t.tzinfo else t.replace(tzinfo=dt.timezone.utc)
+    return (t - dt.datetime(1970, 1, 1, tzinfo=dt.timezone.utc)) // dt.timedelta(microseconds=1)
+
+
+def test_iso_times_match_the_standard_library(spark):
+    texts = ["2026-03-07T14:00:00Z", "2026-03-07T14:00:00", "2026-03-07 14:00:00.5+02:00", "2026-03-07", "20260307",
+             "20260307T140000", "2026-03-07T14", "2026-03-07T14:05", "20260307T1405+0530", "2026-03-07T14:00:00,25",
+             "2026-03-07T14:00:00.1234567-08:00", "2026-03-07T140000", "20260307 14:00:01Z", "2026-03-07x14:00",
+             "2026-03-07T10:00:00+05:30:15", "14:00:00", "T14:00:00", "2026", "2026-03", "2026-3-7", "+12026-01-01",
+             " 2026-03-07", "2026-03-07 ", "2026-03-07T14:00:00 America/New_York", "2026-02-30", "2026-13-01",
+             "2026-03-07T14:60", "2026-03-07T14:00:60", "x", "", "0000-01-01", "2026-03-07T14:00:00+24:00", "2026-03-07T",
+             None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = {r["t"]: r["v"] for r in df.select("t", F.unix_micros(X.iso_ts("t")).alias("v")).collect()}
+    assert got == {t: _reference_time(t) for t in texts}
+
+
+def test_case_folding_of_the_literal_gate(spark):
+    """Every character that a case-insensitive pattern takes for an ASCII letter folds onto that letter."""
+    from secspark.functions.patterns import java_regex
+    from secspark.operators.rules.patterns import _folded
+    chars = [(chr(c),) for c in range(128, 0x110000) if not 0xD800 <= c < 0xE000 and chr(c).isalpha()]
+    df = spark.createDataFrame(chars, "c string").repartition(2)
+    hits = df.filter(F.col("c").rlike(java_regex("^[a-z]$", True))).select("c", _folded(F.col("c")).alias("f"))
+    hits = hits.collect()
+    assert {"\u017f", "\u212a"} <= {r["c"] for r in hits}
+    assert all(len(r["f"]) == 1 and "a" <= r["f"] <= "z" for r in hits), hits
+    letters = [("\u0130", "i"), ("\u0131", "i"), ("\u017f", "s"), ("\u212a", "k")]
+    for c, a in letters:
+        assert spark.createDataFrame([(c,)], "c string").select(_folded(F.col("c"))).first()[0] == a
+
+
+def test_decoded_payload_is_whole(spark):
+    import base64
+    text = "Write-Host " + "x" * 900
+    cmd = "powershell -enc " + base64.b64encode(text.encode("utf-16-le")).decode()
+    assert spark.createDataFrame([(cmd,)], "c string").select(X.decode_powershell(F.col("c"))).first()[0] == text

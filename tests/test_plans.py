@@ -27,11 +27,11 @@ def test_per_event_rules_do_not_shuffle(spark, tmp_path):
         assert "Exchange" not in _plan(rule.alerts(ev))
 
 
-def test_forward_counts_one_shuffle_by_key_and_bucket(spark):
+def test_forward_counts_shuffles_ticks_then_buckets(spark):
     df = spark.createDataFrame([(f"k{i % 3}", i * 7) for i in range(100)], "k string, t long")
     plan = _plan(S.forward_counts(df, ["k"], "t", 10, bucket_us=40))
     exchanges = re.findall(r"Exchange.*", plan)
-    assert len(exchanges) == 1, exchanges
+    assert len(exchanges) == 2, exchanges  # combined ticks, then (key, bucket)
 
 
 def test_scan_reads_only_needed_columns(spark, tmp_path):
@@ -57,3 +57,13 @@ def test_hot_key_spreads_over_tasks(spark):
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", prev[0])
         spark.conf.set("spark.sql.shuffle.partitions", prev[1])
+
+
+def test_rules_read_their_own_partition_and_columns(spark, tmp_path):
+    from secspark.plans.run import shared_events
+    rows = [{"timestamp": at(i), "event_action": "http_request", "http_url": "/x"} for i in range(5)] + \
+           [{"timestamp": at(i), "event_action": "process_create", "process_command_line": "mimikatz"} for i in range(5)]
+    ev = shared_events(make_events(spark, rows))
+    full = SuspiciousProcess().alerts(ev)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^]]*event_action[^]]*process_create", full)
+    assert ev.count() == 10

@@ -1,5 +1,4 @@
 import json
-import os
 
 from conftest import at, make_events
 
@@ -34,10 +33,11 @@ def test_write_alerts(spark, tmp_path):
     out = str(tmp_path / "report")
     summary = sinks.write_alerts(R.newest_first(alerts), ev, out)
     assert summary["event_count"] == 7
-    lines = [json.loads(l) for f in os.listdir(out + "/alerts") if f.endswith(".json")
-             for l in open(os.path.join(out, "alerts", f))]
-    assert len(lines) == 2 and all("context" in l for l in lines)
-    assert json.load(open(out + "/summary.json"))["total_alerts"] == 2
+    lines = [json.loads(r["value"]) for r in spark.read.text(out + "/alerts").collect()]
+    assert len(lines) == 2 and all(isinstance(l["context"], dict) for l in lines)
+    bf = next(l for l in lines if l["rule_id"] == "BF-001")
+    assert bf["context"]["failed_attempts"] == 6 and bf["timestamp"] == at(35).isoformat()
+    assert json.loads(spark.read.text(out + "/summary").first()["value"])["total_alerts"] == 2
 
 
 def test_legacy_chain(spark, tmp_path):
@@ -57,10 +57,33 @@ def test_legacy_chain(spark, tmp_path):
                   ("encoded_powershell", "critical"), ("impossible_travel", "medium"),
                   ("web_attack_pattern", "high"), ("web_attack_pattern", "medium")]
     bf = [r for r in f if r["rule_id"] == "brute_force_login_attempts"][0]
-    assert abs(bf["confidence"] - 0.85) < 1e-12 and len(bf["evidence"]) == 5
+    assert abs(bf["confidence"] - 0.85) < 1e-12 and bf["n_evidence"] == 5
+    ev5 = L.legacy_brute_force_evidence(ev).collect()
+    assert len(ev5) == 5 and {(r["user"], r["ip"]) for r in ev5} == {("root", "9.9.9.9")}
+    assert json.loads(ev5[0]["event"]) == {
+        "timestamp": ev5[0]["timestamp"].strftime("%Y-%m-%dT%H:%M:%S+00:00"), "event_type": "auth_failure",
+        "source": "linux_auth", "host": "h", "user": "root", "ip": "9.9.9.9",
+        "raw_message": json.loads(ev5[0]["event"])["raw_message"], "metadata": json.loads(ev5[0]["event"])["metadata"]}
     web = sorted(r["description"] for r in f if r["rule_id"] == "web_attack_pattern")
     assert web == ["The request path matched: sqli, path_traversal.", "The request path matched: xss."]
     s = L.findings_summary_dict(L.detect_legacy(ev))
     assert s["total_findings"] == 6 and s["severity_counts"]["critical"] == 2
     out = sinks.write_findings(L.detect_legacy(ev), str(tmp_path / "legacy"))
     assert out["rule_counts"]["impossible_travel"] == 1
+
+
+def test_legacy_tree_in_arrival_order(spark, tmp_path):
+    """Equal times keep the order of file names, then of lines."""
+    (tmp_path / "b").mkdir()
+    for name, users in (("b/z 1.log", ["u3", "u4"]), ("a.log", ["u1", "u2"])):
+        (tmp_path / name).write_text("".join(
+            f'{{"timestamp": "2026-03-07T14:00:00Z", "event_type": "login_success", "user": "{u}"}}\n' for u in users))
+    got = [r["user"] for r in L.read_legacy(spark, str(tmp_path)).collect()]
+    assert got == ["u1", "u2", "u3", "u4"]
+
+
+def test_legacy_time_must_be_a_json_string(spark):
+    lines = ['{"timestamp": 20260307, "meta": {"timestamp": "2026-03-07T14:00:00Z"}}', '{"timestamp": "20260307"}',
+             '{"timestamp": "14:00:00"}', '{"timestamp": {"timestamp": "2026-03-07"}}']
+    ev = L.parse_legacy(spark.createDataFrame([(l,) for l in lines], "value string"), 2026).collect()
+    assert len(ev) == 1

@@ -5,6 +5,8 @@ import random
 from conftest import at, make_events
 from test_sequence import py_greedy
 
+from secspark.functions import constants as K
+from secspark.functions.patterns import java_regex
 from secspark.operators.rules import (AdminGroupAdd, BruteForce, CredentialStuffing, ImpossibleTravel,
                                       SuspiciousProcess, WebAttack, detect)
 
@@ -158,14 +160,51 @@ def test_cs_evidence_random_vs_brute_force(spark):
         rows.append(ok("u", ip, t) if rnd.random() < 0.3 else fail("u", ip, t))
     ev = make_events(spark, rows)
     rule = CredentialStuffing(window_seconds=10)
-    got = rule.evidence(ev).groupBy("alert_id").count().collect()
-    want = {}
+    intervals = sorted((r["to_us"], r["n_failures"], r["from_us"]) for r in rule.intervals(ev).collect())
+    want, covered = {}, set()
     for i, s in enumerate(rows):
         if s["event_outcome"] != "success":
             continue
         prior = [j for j, f in enumerate(rows) if f["event_outcome"] == "failure" and f["source_ip"] == s["source_ip"]
                  and (f["timestamp"], j) < (s["timestamp"], i) and (s["timestamp"] - f["timestamp"]).total_seconds() <= 10]
         if prior:
-            want[i] = len(prior) + 1
-    assert sorted(r["count"] for r in got) == sorted(want.values())
+            covered |= set(prior)
+            us = [int(rows[j]["timestamp"].timestamp()) * 1_000_000 for j in prior]
+            want[i] = (int(s["timestamp"].timestamp()) * 1_000_000, len(prior), min(us))
+    assert intervals == sorted(want.values())
+    # each alert's success once, each failure of any interval once
+    got = rule.evidence(ev)
+    assert got.count() == len(want) + len(covered)
+    assert got.select("alert_id").distinct().join(rule.alerts(ev), "alert_id").count() == got.select("alert_id").distinct().count()
     assert rule.alerts(ev).count() == len(want)
+
+
+# One string per catalogue pattern that the pattern alone explains, written out by hand.
+WEB_EXAMPLES = {
+    "sqli_union": "/p?id=7 union  select 1", "sqli_comment": "/p?id=7--", "sqli_or_comment": "/p?id=7' or '1'='1", "sqli_sleep": "/p?id=sleep(9)",
+    "sqli_select_from": "/p?q=select a from b", "xss_script_tag": "/p?x=<SCRIPT>", "xss_event_handler": "/p?x=a onload=b",
+    "xss_js_uri": "/go?u=JavaScript:f", "xss_img_tag": "/p?x=<img src=a onerror=b>",
+    "path_traversal_dotdot": "/a/../../b", "path_traversal_encoded": "/a/%2e%2e%2fb", "path_traversal_etc_passwd": "/etc/passwd",
+    "cmd_injection_pipe": "/p?h=a|id", "cmd_injection_semicolon": "/p?h=a;cat", "cmd_injection_backtick": "/p?h=`id`",
+    "ssrf_metadata": "/f?u=169.254.169.254", "ssrf_localhost": "/f?u=http://localhost/", "rfi_remote": "/p?file=http://h/s.txt",
+}
+
+
+def test_every_web_pattern_has_a_literal_example(spark):
+    names = [n for n, *_ in K.WEB_PATTERNS]
+    rows = [web(u, ua="") for u in WEB_EXAMPLES.values()]
+    got = {r["http_url"]: r["matched_patterns"] for r in WebAttack().typed(make_events(spark, rows)).collect()}
+    missed = {n for n, u in WEB_EXAMPLES.items() if n not in got.get(u, [])}
+    assert not missed, missed
+    assert set(WEB_EXAMPLES) == set(names)
+
+
+def test_letters_that_fold_to_ascii_are_not_lost(spark):
+    rows = [web("/x?<scr\u0130pt>a", ua=""), web("/j JAVASCR\u0130PT:alert", ua=""), web("/<\u0130mg src=x onerror=1", ua=""),
+            web("/y?q=\u017felect a from b", ua="")]
+    ev = make_events(spark, rows)
+    got = {r["http_url"] for r in WebAttack().typed(ev).collect()}
+    alone = {r["http_url"] for r in ev.filter(" or ".join(["false"] + [
+        "http_url rlike '" + java_regex(rx, ci).replace("\\", "\\\\").replace("'", "\\'") + "'"
+        for _, rx, ci, *_ in K.WEB_PATTERNS])).collect()}
+    assert got == alone

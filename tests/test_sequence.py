@@ -1,5 +1,7 @@
 import random
+import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from secspark.operators import sequence as S
@@ -31,7 +33,7 @@ def test_forward_counts_brute_force(spark):
     got = {(r["k"], r["t"]): r["n"] for r in S.forward_counts(df, ["k"], "t", 10, bucket_us=25).collect()}
     want = {(k, t): sum(1 for k2, t2 in rows if k2 == k and t <= t2 <= t + 10) for k, t in set(rows)}
     assert got == want
-    assert S.forward_counts(df, ["k"], "t", 10, bucket_us=25).count() == len(rows)
+    assert S.forward_counts(df, ["k"], "t", 10, bucket_us=25).count() == len(set(rows))  # one row per tick
 
 
 def test_greedy_bursts_random(spark):
@@ -43,6 +45,56 @@ def test_greedy_bursts_random(spark):
         assert got == want, (seed, W, T)
 
 
+def test_narrow_buckets_are_refused(spark):
+    df = spark.createDataFrame([("k", i, i) for i in range(5)], "k string, t long, seq long")
+    for call in (lambda b: S.forward_counts(df, ["k"], "t", 10, b), lambda b: S.greedy_bursts(df, ["k"], "t", 10, 2, b),
+                 lambda b: S.burst_members(df, df.withColumnRenamed("t", "start_us"), ["k"], "t", 10, b),
+                 lambda b: S.trailing_counts(df, ["k"], "t", "seq", F.lit(True), F.lit(False), 10, b),
+                 lambda b: S.next_within(df, ["k"], "t", "seq", F.lit(True), F.lit(False), ["t"], 10, b)):
+        for bucket in (5, 11, 20):
+            with pytest.raises(ValueError):
+                call(bucket)
+        call(21)
+
+
+def test_a_chain_of_a_thousand_bursts(spark):
+    """Steady attack: every burst follows from the one before; neither time nor plan explodes."""
+    ts = [k * 3 for k in range(4000)]
+    df = spark.createDataFrame([("k", t) for t in ts], "k string, t long")
+    began = time.time()
+    out = S.greedy_bursts(df, ["k"], "t", 10, 3)
+    got = sorted((r["start_us"], r["n"]) for r in out.collect())
+    assert got == py_greedy(ts, 10, 3) and len(got) == 1000
+    assert time.time() - began < 60
+    joins = out._jdf.queryExecution().logical().toString().count("Join")
+    assert joins <= 3
+
+
+def test_a_spike_costs_its_ticks_not_its_rows(spark):
+    """One key with nine tenths of the rows on a few ticks of one bucket."""
+    rows = [("hot", 100 + i % 7) for i in range(18000)] + [(f"k{i}", i) for i in range(2000)]
+    df = spark.createDataFrame(rows, "k string, t long").repartition(4)
+    got = {(r["k"], r["t"]): r["n"] for r in S.forward_counts(df, ["k"], "t", 10).collect()}
+    assert got["hot", 100] == 18000 and len(got) == 2007
+    plan = S.forward_counts(df, ["k"], "t", 10)._jdf.queryExecution().executedPlan().toString()
+    window_input = plan[plan.rindex("Window"):]
+    assert "partial_count" in window_input  # ticks are combined before the rows reach a window
+
+
+def test_next_within_brute_force(spark):
+    rnd = random.Random(9)
+    rows = [(f"ip{rnd.randrange(3)}", rnd.randrange(300), i, rnd.random() < 0.3) for i in range(300)]
+    df = spark.createDataFrame(rows, "k string, t long, seq long, ok boolean")
+    out = S.next_within(df, ["k"], "t", "seq", ~F.col("ok"), F.col("ok"), ["t", "seq"], 15, 31).collect()
+    got = {r["seq"]: r["next_seq"] for r in out}
+    want = {}
+    for k, t, s, ok in rows:
+        if not ok:
+            later = sorted((t2, s2) for k2, t2, s2, ok2 in rows if k2 == k and ok2 and (t2, s2) > (t, s))
+            want[s] = later[0][1] if later and later[0][0] <= t + 15 else None
+    assert got == want and len(out) == len(want)
+
+
 def test_lag_by_key_across_buckets(spark):
     rows = [(k, t, i) for i, (k, t) in enumerate(_random_rows(6, keys=3, n=120, span=1000))]
     df = spark.createDataFrame(rows, "k string, t long, seq long")

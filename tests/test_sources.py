@@ -55,3 +55,33 @@ def test_broken_json_document_fails(spark, tmp_path):
     p = _write(tmp_path, "broken.json", "[{\"EventID\": 4624,")
     with pytest.raises(Exception):
         SRC.read_events(spark, [p]).collect()
+
+
+@pytest.mark.parametrize("n", [1, 16, 17, 40])
+def test_sniffing_is_the_same_for_any_number_of_files(spark, tmp_path, n):
+    folder = tmp_path / "in put é"
+    folder.mkdir()
+    paths = []
+    for i in range(n):
+        p = _write(folder, f"part {i:02d}%20.txt", f'\n \n1.2.3.4 - - [07/Mar/2026:14:00:{i:02d} +0000] "GET /{i} HTTP/1.1" 200 1 "-" "u"\n')
+        paths.append(("file://" + p) if i % 2 else p)
+    assert set(SRC.sniff_formats(spark, paths).values()) == {"nginx"}
+    ev = SRC.read_events(spark, paths)
+    assert sorted((r["http_url"], r["ingest_seq"]["file_rank"]) for r in ev.collect()) == sorted((f"/{i}", i) for i in range(n))
+
+
+def test_arrival_order_of_equal_times(spark, tmp_path):
+    """Given order first, then names inside a folder: URIs, spaces, folders and globs alike."""
+    (tmp_path / "d 1").mkdir()
+    (tmp_path / "g").mkdir()
+
+    def line(u):
+        return f'{{"timestamp": "2026-03-07T14:00:00Z", "user_name": "{u}"}}\n'
+    last = _write(tmp_path / "d 1", "b.jsonl", line("d"))
+    _write(tmp_path / "d 1", "a.jsonl", line("c"))
+    first = _write(tmp_path, "z z.jsonl", line("a") + line("b"))
+    _write(tmp_path / "g", "1.jsonl", line("e"))
+    paths = ["file://" + first, str(tmp_path / "d 1"), str(tmp_path / "g" / "*.jsonl")]
+    ev = SRC.read_events(spark, paths, fmt="json").orderBy("timestamp", "ingest_seq")
+    assert [r["user_name"] for r in ev.collect()] == ["a", "b", "c", "d", "e"]
+    assert [i for i, _ in SRC.files_of(spark, paths)] == [0, 1, 1, 2] and last
