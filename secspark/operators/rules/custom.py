@@ -43,7 +43,9 @@ class CredentialStuffing(Rule):
         return alert_key(self.rule_id, F.col("source_ip"), F.col("_us"), F.col("_seq"))
 
     def typed(self, events: DataFrame) -> DataFrame:
-        m = self.matches(events)
+        return self.described(self.matches(events))
+
+    def described(self, m: DataFrame) -> DataFrame:
         first_at = X.iso_utc(F.timestamp_micros("first_us"))
         return m.select(
             F.lit(self.severity).alias("severity"),

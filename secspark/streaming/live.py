@@ -2,29 +2,42 @@
 
 * Parse jobs and the per-event rules (SP-001, WA-001) are narrow projections,
   so the batch functions run unchanged on a ``readStream`` frame.
-* BF-001 needs order within a key.  Here it is a stateful operator
-  (``applyInPandasWithState``, event-time timeout): each key keeps only its
-  failures not yet decided, sorted by time.  A greedy step at the earliest
-  pending failure ``t`` is final once the watermark passes ``t + W``: the
-  window ``[t, t + W]`` can no longer grow.  The state of a key is therefore
-  bounded by the failures of one window plus the watermark delay.
+* BF-001, IT-001 and CS-001 need order within a key.  They are stateful
+  operators (``applyInPandasWithState``, event-time timeout): a key keeps what
+  is not yet decided, and a row is decided once the watermark has passed it
+  (BF-001: has passed the end of its window).
+
+The state of a key is bounded by what one window plus the watermark delay can
+hold in *distinct ticks* (BF-001 and CS-001 keep counts per tick) or logins of
+one user (IT-001).  Rows behind the watermark are dropped by Spark; the delay
+is the ``watermark`` parameter, and :func:`late_rows` says how many were lost.
+
+The watermark only moves with the input, so what lies within the last delay
+(and window) waits in the state.  When a stream ends for good,
+:func:`flush_brute_force` reads the state that the stopped query left in its
+checkpoint and returns the bursts that were still open.
 """
 
 from __future__ import annotations
 
 import bisect
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from ..functions import scalar as X
 from ..operators import parse as P
+from ..operators.rules import BruteForce, CredentialStuffing, ImpossibleTravel
+from ..operators.rules.base import alert_key, event_fingerprint, json_context, pack_alerts
 from ..operators.rules.brute_force import KEYS, failed_logins
+from ..operators.rules.travel import located_logins
 
-BURST_SCHEMA = ("source_ip string, user_name string, start_us long, end_us long, failed_attempts long")
-STATE_SCHEMA = "pending array<long>"
+BURST_SCHEMA = "source_ip string, user_name string, start_us long, end_us long, failed_attempts long"
+TICKS_SCHEMA = "ticks array<long>, counts array<long>"
+FOREVER = 1 << 62
 
 
 def read_stream(spark: SparkSession, directory: str, fmt: str, year: int | None = None,
@@ -37,19 +50,33 @@ def read_stream(spark: SparkSession, directory: str, fmt: str, year: int | None
     return P.parse(lines, fmt, year)
 
 
-def _greedy_step(pending: list[int], horizon: int, window_us: int, threshold: int):
-    """Decide every burst start that is final before ``horizon``; return (bursts, rest)."""
-    out = []
-    i = 0
-    n = len(pending)
-    while i < n and pending[i] + window_us < horizon:
-        j = bisect.bisect_right(pending, pending[i] + window_us, lo=i)
-        if j - i >= threshold:
-            out.append((pending[i], pending[j - 1], j - i))
+def late_rows(query) -> int:
+    """Rows that the query's stateful operators dropped for being behind the watermark (recent batches)."""
+    return sum(op.get("numRowsDroppedByWatermark", 0) for p in query.recentProgress for op in p["stateOperators"])
+
+
+def _greedy_step(ticks: list[int], counts: list[int], horizon: int, window_us: int, threshold: int):
+    """Decide every burst start that is final before ``horizon``: (bursts, number of ticks decided)."""
+    out, i = [], 0
+    while i < len(ticks) and ticks[i] + window_us < horizon:
+        j = bisect.bisect_right(ticks, ticks[i] + window_us, lo=i)
+        n = sum(counts[i:j])
+        if n >= threshold:
+            out.append((ticks[i], ticks[j - 1], n))
             i = j
         else:
             i += 1
-    return out, pending[i:]
+    return out, i
+
+
+def _merged(ticks: list[int], counts: list[int], batches: Iterator[pd.DataFrame]) -> tuple[list[int], list[int]]:
+    """Ticks with their counts, in order, after adding the batches' rows."""
+    held = dict(zip(ticks, counts, strict=True))
+    for b in batches:
+        for t, n in b["us"].value_counts().items():
+            held[int(t)] = held.get(int(t), 0) + int(n)
+    order = sorted(held)
+    return order, [held[t] for t in order]
 
 
 def stream_brute_force(events: DataFrame, threshold: int = 5, window_seconds: int = 600,
@@ -60,23 +87,141 @@ def stream_brute_force(events: DataFrame, threshold: int = 5, window_seconds: in
          .select(*KEYS, "timestamp", F.unix_micros("timestamp").alias("us")))
 
     def step(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        pending = list(state.get[0]) if state.exists else []
-        for b in batches:
-            pending.extend(int(x) for x in b["us"])
-        pending.sort()
-        wm_us = state.getCurrentWatermarkMs() * 1000
-        bursts, rest = _greedy_step(pending, wm_us, window_us, threshold)
-        if rest:
-            state.update((rest,))
-            state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, (rest[0] + window_us) // 1000 + 1))
+        ticks, counts = _merged(*(map(list, state.get) if state.exists else ([], [])), batches)
+        horizon = state.getCurrentWatermarkMs()
+        bursts, done = _greedy_step(ticks, counts, horizon * 1000, window_us, threshold)
+        if done < len(ticks):
+            state.update((ticks[done:], counts[done:]))
+            state.setTimeoutTimestamp(max(horizon + 1, (ticks[done] + window_us) // 1000 + 1))
         elif state.exists:
             state.remove()
         if bursts:
-            yield pd.DataFrame([(key[0], key[1], s, e, n) for s, e, n in bursts],
-                               columns=["source_ip", "user_name", "start_us", "end_us", "failed_attempts"])
+            yield pd.DataFrame([(*key, *b) for b in bursts], columns=["source_ip", "user_name", "start_us", "end_us",
+                                                                      "failed_attempts"])
+
+    return f.groupBy(*KEYS).applyInPandasWithState(step, BURST_SCHEMA, TICKS_SCHEMA, "append",
+                                                   GroupStateTimeout.EventTimeTimeout)
 
-    return f.groupBy(*KEYS).applyInPandasWithState(step, BURST_SCHEMA, STATE_SCHEMA, "append",
-                                                    GroupStateTimeout.EventTimeTimeout)
+
+def flush_brute_force(spark: SparkSession, checkpoint: str, threshold: int = 5, window_seconds: int = 600) -> DataFrame:
+    """The bursts still open in the state of a stopped :func:`stream_brute_force` query, in its schema."""
+    window_us = int(window_seconds) * 1_000_000
+    state = spark.read.format("statestore").load(checkpoint).select(
+        "key.*", F.col("value.groupState.ticks").alias("ticks"), F.col("value.groupState.counts").alias("counts"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(ip, user, *b) for ip, user, ticks, counts in pdf.itertuples(index=False)
+                    for b in _greedy_step(list(ticks), list(counts), FOREVER, window_us, threshold)[0]]
+            yield pd.DataFrame(rows, columns=["source_ip", "user_name", "start_us", "end_us", "failed_attempts"])
+
+    return state.select(F.col("source_ip"), F.col("user_name"), "ticks", "counts").mapInPandas(run, BURST_SCHEMA)
+
+
+def brute_force_alerts(bursts: DataFrame, rule: BruteForce | None = None) -> DataFrame:
+    """Burst rows (streaming or flushed) in the common alert shape; the sets of methods and sources of
+    the batch rule are not kept per tick and are left out of the context."""
+    rule = rule or BruteForce()
+    span = F.floor((F.col("end_us") - F.col("start_us")) / 1_000_000).cast("bigint")
+    first, last = F.timestamp_micros("start_us"), F.timestamp_micros("end_us")
+    typed = bursts.select(
+        F.lit(rule.severity).alias("severity"),
+        F.format_string("%d failed logins for user '%s' from %s within %ds", "failed_attempts", "user_name", "source_ip",
+                        span).alias("description"),
+        last.alias("timestamp"),
+        alert_key(rule.rule_id, F.col("source_ip"), F.col("user_name"), F.col("start_us")).alias("alert_id"),
+        F.col("failed_attempts").alias("n_source_events"),
+        json_context(F.col("source_ip"), F.col("user_name").alias("user"), F.col("failed_attempts"),
+                     F.lit(rule.window_seconds).alias("window_seconds"), X.iso_utc(first).alias("first_seen"),
+                     X.iso_utc(last).alias("last_seen")).alias("context"))
+    return pack_alerts(typed, rule.rule_id, rule.rule_name)
+
+
+def _in_order(decide: Callable, columns: list[str]):
+    """A state function that keeps rows until the watermark has passed them and then hands them, in
+    order of time and arrival, to ``decide(key, kept, rows)`` -> (kept, output rows).
+
+    State: the undecided rows and the rows that ``decide`` wants kept, both as JSON text.
+    """
+    import json
+
+    def step(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        waiting, kept = map(json.loads, state.get) if state.exists else ([], [])
+        for b in batches:
+            waiting += json.loads(b.drop(columns=["timestamp"]).to_json(orient="records"))
+        waiting.sort(key=lambda r: r["us"])
+        horizon = state.getCurrentWatermarkMs()
+        n = sum(r["us"] < horizon * 1000 for r in waiting)
+        kept, out = decide(key, kept, waiting[:n])
+        waiting = waiting[n:]
+        state.update((json.dumps(waiting), json.dumps(kept)))
+        if waiting:
+            state.setTimeoutTimestamp(max(horizon + 1, waiting[0]["us"] // 1000 + 1))
+        if out:
+            yield pd.DataFrame(out, columns=columns)
+    return step
+
+
+IN_ORDER_STATE = "waiting string, kept string"
+TRAVEL_SCHEMA = ("user_name string, prev__us long, prev_source_ip string, prev_country string, prev__fp string, "
+                 "_us long, source_ip string, country string, _fp string")
+
+
+def stream_impossible_travel(events: DataFrame, rule: ImpossibleTravel | None = None,
+                             watermark: str = "10 minutes") -> DataFrame:
+    """IT-001 alerts on a stream: a user's state is the last decided login and the undecided ones."""
+    rule = rule or ImpossibleTravel()
+    e = located_logins(events).withWatermark("timestamp", watermark).withColumn("fp", event_fingerprint())
+    e = e.select("user_name", "timestamp", F.unix_micros("timestamp").alias("us"), "source_ip", "country", "fp")
+
+    def decide(key, kept, rows):
+        out = []
+        for r in rows:
+            if kept:
+                p = kept[0]
+                out.append((key[0], p["us"], p["source_ip"], p["country"], p["fp"], r["us"], r["source_ip"], r["country"], r["fp"]))
+            kept = [r]
+        return kept, out
+
+    pairs = e.groupBy("user_name").applyInPandasWithState(
+        _in_order(decide, [c.split()[0] for c in TRAVEL_SCHEMA.split(", ")]), TRAVEL_SCHEMA, IN_ORDER_STATE, "append",
+        GroupStateTimeout.EventTimeTimeout)
+    pairs = pairs.withColumns({"prev_timestamp": F.timestamp_micros("prev__us"), "timestamp": F.timestamp_micros("_us")})
+    return pack_alerts(rule.described(rule.judged(pairs)), rule.rule_id, rule.rule_name)
+
+
+STUFFING_SCHEMA = "source_ip string, user_name string, _us long, _seq long, n long, first_us long"
+
+
+def stream_credential_stuffing(events: DataFrame, rule: CredentialStuffing | None = None,
+                               watermark: str = "10 minutes") -> DataFrame:
+    """CS-001 alerts on a stream: an address's state is its failures per tick within the window before
+    the watermark, and the undecided logins."""
+    rule = rule or CredentialStuffing()
+    window_us = rule.window_us
+    e = events.filter((F.col("event_action") == "login") & (F.col("source_ip") != "")
+                      & F.col("event_outcome").isin("success", "failure")).withWatermark("timestamp", watermark)
+    e = e.select("source_ip", "timestamp", F.unix_micros("timestamp").alias("us"), "user_name",
+                 (F.col("event_outcome") == "success").alias("ok"))
+
+    def decide(key, kept, rows):
+        out = []
+        for r in rows:
+            if r["ok"]:
+                near = [(t, n) for t, n in kept if t >= r["us"] - window_us]
+                if near:
+                    out.append((key[0], r["user_name"], r["us"], 0, sum(n for _, n in near), near[0][0]))
+            elif kept and kept[-1][0] == r["us"]:
+                kept[-1][1] += 1
+            else:
+                kept.append([r["us"], 1])
+        newest = rows[-1]["us"] if rows else 0
+        return [k for k in kept if k[0] >= newest - window_us], out
+
+    hits = e.groupBy("source_ip").applyInPandasWithState(
+        _in_order(decide, [c.split()[0] for c in STUFFING_SCHEMA.split(", ")]), STUFFING_SCHEMA, IN_ORDER_STATE, "append",
+        GroupStateTimeout.EventTimeTimeout)
+    return pack_alerts(rule.described(hits.withColumn("timestamp", F.timestamp_micros("_us"))), rule.rule_id, rule.rule_name)
 
 
 def stream_alerts(events: DataFrame, rules=None) -> DataFrame:

@@ -1,3 +1,4 @@
+import os
 import random
 
 from conftest import at
@@ -52,3 +53,62 @@ def test_stream_per_event_rules(spark, tmp_path):
     q.stop()
     rows = spark.sql("SELECT rule_id, severity FROM wa_stream").collect()
     assert [(r["rule_id"], r["severity"]) for r in rows] == [("WA-001", "critical")]
+
+
+def _run(df, name, tmp_path):
+    q = (df.writeStream.format("memory").queryName(name).outputMode("append")
+         .option("checkpointLocation", str(tmp_path / name)).start())
+    q.processAllAvailable()
+    late = live.late_rows(q)
+    q.stop()
+    return late
+
+
+def test_stream_bf_flush_alert_shape_and_late_rows(spark, tmp_path):
+    """Open bursts come out of the stopped query's state; rows behind the watermark are counted."""
+    rows = [("a", s) for s in (0, 0, 5, 9, 100, 101, 102, 103, 104)] + [("b", s) for s in (100, 110, 120)]
+    src = tmp_path / "in"
+    src.mkdir()
+    (src / "p1.log").write_text("\n".join(_ssh(at(s), u, "9.9.9.9") for u, s in rows) + "\n")
+    (src / "p2.log").write_text(_ssh(at(90), "zz", "1.1.1.1") + "\n")
+    (src / "p3.log").write_text(_ssh(at(1), "a", "9.9.9.9") + "\n")
+    for i in (1, 2, 3):  # the source takes files by age
+        os.utime(src / f"p{i}.log", (1000 * i, 1000 * i))
+    ev = live.read_stream(spark, str(src), "linux_auth", year=2026, max_files_per_trigger=1)
+    late = _run(live.stream_brute_force(ev, threshold=3, window_seconds=60, watermark="0 seconds"), "bf_open", tmp_path)
+    assert late >= 1
+    done = spark.sql("SELECT * FROM bf_open").collect()
+    left = live.flush_brute_force(spark, str(tmp_path / "bf_open"), 3, 60)
+    got = sorted((r["user_name"], r["failed_attempts"]) for r in done + left.collect())
+    assert got == [("a", 4), ("a", 5), ("b", 3)]
+    alert = live.brute_force_alerts(left, BruteForce(threshold=3, window_seconds=60)).filter("description like '%a%'").first()
+    assert set(alert.asDict()) == {"rule_id", "rule_name", "severity", "severity_rank", "description", "timestamp", "alert_id",
+                                   "n_source_events", "context"} and alert["rule_id"] == "BF-001"
+
+
+def _json(rows):
+    import json
+    return "".join(json.dumps({"timestamp": t.isoformat(), "event_action": "login", "event_outcome": o, "user_name": u,
+                               "source_ip": ip, "source_geo_country": c}) + "\n" for t, o, u, ip, c in rows)
+
+
+def test_stream_travel_and_stuffing_match_batch(spark, tmp_path):
+    from secspark.operators.rules import CredentialStuffing, ImpossibleTravel
+    rnd = random.Random(6)
+    rows = [(at(rnd.randrange(4000)), rnd.choice(["success", "failure", "failure"]), rnd.choice("ab"),
+             f"9.9.9.{rnd.randrange(2)}", rnd.choice(["US", "CN", "DE"])) for _ in range(120)]
+    rows = sorted({r[0]: r for r in rows}.values())
+    end = [(at(hours=9), "failure", "zz", "8.8.8.8", "US")]
+    src = tmp_path / "in"
+    src.mkdir()
+    for i, part in enumerate((rows[:60], rows[60:], end, [(at(hours=10), "failure", "zz", "8.8.8.8", "US")])):
+        (src / f"p{i}.jsonl").write_text(_json(part))
+        os.utime(src / f"p{i}.jsonl", (1000 * i + 1000, 1000 * i + 1000))
+    batch = SRC.read_events(spark, [str(src / "p0.jsonl"), str(src / "p1.jsonl")])
+    stream = live.read_stream(spark, str(src), "json", max_files_per_trigger=1)
+    for name, rule, make in (("it", ImpossibleTravel(), live.stream_impossible_travel),
+                             ("cs", CredentialStuffing(window_seconds=60), live.stream_credential_stuffing)):
+        _run(make(stream, rule, "0 seconds"), f"{name}_live", tmp_path)
+        got = sorted((r["description"], r["timestamp"]) for r in spark.sql(f"SELECT * FROM {name}_live").collect())
+        want = sorted((r["description"], r["timestamp"]) for r in rule.alerts(batch).collect())
+        assert got == want and want, name
