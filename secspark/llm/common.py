@@ -33,6 +33,20 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Stands in for a null id while rows are in Python: pandas would turn a column of longs with nulls into doubles.
+NO_ID = -(1 << 63)
+
+
+def key_id(column: str = "doc_id") -> Column:
+    """An id as a long that is never null (null: the lowest long)."""
+    return F.coalesce(F.col(column).cast("long"), F.lit(NO_ID))
+
+
+def restored(df: DataFrame, *columns: str) -> DataFrame:
+    """Null again where :func:`key_id` put its stand-in."""
+    return df.withColumns({c: F.when(F.col(c) != NO_ID, F.col(c)) for c in columns})
+
+
 def crc_mod(column: str, n: int) -> Column:
     """crc32 of a column's text form, modulo n."""
     return F.pmod(F.crc32(F.encode(F.col(column).cast("string"), "UTF-8")), F.lit(n))

@@ -8,7 +8,7 @@ fingerprints agree by chance in ``1 / 2**BITS`` of the bins, which the estimate
 
 ``near_chain`` fingerprints each text, an edited text (the last half of its code points
 replaced by the first as many of the next document in descending id order) and compares.
-The order is kept without a global sort: texts are dealt by id ranges (bounds are quantiles
+The order is kept without a global sort: texts are dealt by id ranges (cut near the quantiles
 of the ids, at most ``MAX_RANGES``, so the broadcast bounds stay under 1 MB) in one shuffle,
 and the first text of each range is also sent to the range that precedes it.
 
@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from secspark.llm.common import mix64, shingle_hashes, table
+from secspark.llm.common import key_id, mix64, restored, shingle_hashes, table
 
 BINS = 512
 BITS = 4
@@ -36,7 +36,6 @@ WIDTH = 5
 ROWS_PER_RANGE = 128
 MAX_RANGES = 65536
 EMPTY = "empty"
-LOWEST = -(1 << 63)
 
 SCHEMA = ("doc_id long, n_chars long, edited_sha256 string, fingerprint string, "
           "edited_fingerprint string, near_edited double, near_next double")
@@ -103,20 +102,28 @@ def _chain(batches):
                 out.append((held_id, len(held_text), hashlib.sha256(edited.encode("utf-8", "replace")).hexdigest(),
                             op.pack(held_codes), op.pack(edited_codes),
                             op.likeness(held_codes, edited_codes), op.likeness(held_codes, codes)))
-            held = None if guest else (range_id, None if pd.isna(doc_id) else int(doc_id), text, codes)
+            held = None if guest else (range_id, int(doc_id), text, codes)
         yield pd.DataFrame(out, columns=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
-                                         "near_edited", "near_next"]).astype({"doc_id": "Int64"})
+                                         "near_edited", "near_next"]).astype({"doc_id": "int64"})
 
 
 def near_chain(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    docs = docs.select(key_id(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     spark = docs.sparkSession
-    ordered = F.coalesce(F.col("doc_id"), F.lit(LOWEST))
     n = docs.count()
     ranges = min(MAX_RANGES, max(1, math.ceil(n / ROWS_PER_RANGE)))
-    cuts = [] if not n else docs.agg(F.percentile_approx(
-        ordered, [(i + 1) / ranges for i in range(ranges)], 20 * ranges).alias("cuts")).first()["cuts"]
-    tops = spark.sparkContext.broadcast(np.unique(np.array(cuts, np.int64)))
+    if not n:
+        return spark.createDataFrame([], SCHEMA)
+    cuts = docs.agg(F.percentile_approx("doc_id", [(i + 1) / ranges for i in range(ranges)], 20 * ranges)).first()[0]
+    near = spark.sparkContext.broadcast(np.unique(np.array(cuts, np.int64)))
+
+    @F.pandas_udf("int")
+    def about(ids: pd.Series) -> pd.Series:
+        return pd.Series(np.minimum(np.searchsorted(near.value, ids.to_numpy(), "left"), len(near.value) - 1))
+
+    # quantiles are doubles inside; a range's exact top is the largest id that falls into it
+    found = docs.groupBy(about("doc_id").alias("at")).agg(F.max("doc_id").alias("top")).toPandas()
+    tops = spark.sparkContext.broadcast(np.sort(found["top"].to_numpy(np.int64)))
 
     @F.pandas_udf("array<int>")
     def dealt_to(ids: pd.Series) -> pd.Series:
@@ -127,11 +134,11 @@ def near_chain(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         return pd.Series([[k, 0 if k == last else k + 1] if o else [k]
                           for k, o in zip(own.tolist(), opens.tolist(), strict=True)])
 
-    dealt = (docs.withColumn("_at", dealt_to(ordered))
+    dealt = (docs.withColumn("_at", dealt_to("doc_id"))
                  .select("doc_id", "text", F.posexplode("_at").alias("_guest", "_range"))
                  .repartition("_range")
-                 .sortWithinPartitions("_range", "_guest", F.col("doc_id").desc_nulls_last(), F.col("text").asc()))
-    return dealt.select("_range", "_guest", "doc_id", "text").mapInPandas(_chain, SCHEMA)
+                 .sortWithinPartitions("_range", "_guest", F.col("doc_id").desc(), F.col("text").asc()))
+    return restored(dealt.select("_range", "_guest", "doc_id", "text").mapInPandas(_chain, SCHEMA), "doc_id")
 
 
 def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from secspark.llm.common import crc_mod, table
+from secspark.llm.common import crc_mod, key_id, restored, table
 from secspark.llm.linear import dual_coordinate_descent, logistic, sampled, with_texts
 
 PER_LANGUAGE = 800
@@ -148,7 +148,8 @@ def identify(docs: DataFrame, model: Hierarchy) -> DataFrame:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "held_out": pdf["held_out"],
                                 "lang_pred": [x for x, _ in found], "score": [s for _, s in found]})
 
-    return docs.select("doc_id", (~learnable()).alias("held_out"), "text").mapInPandas(run, SCHEMA)
+    rows = docs.select(key_id().alias("doc_id"), F.coalesce(~learnable(), F.lit(False)).alias("held_out"), "text")
+    return restored(rows.mapInPandas(run, SCHEMA), "doc_id")
 
 
 def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,7 +34,7 @@ from pyarrow import fs as arrow_fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from secspark.llm.common import scratch, table
+from secspark.llm.common import NO_ID, key_id, scratch, table
 
 REVISIT_BYTES = 1000
 FRAME_BYTES = 256 << 10
@@ -63,8 +63,9 @@ def plan_records(pages: DataFrame) -> DataFrame:
                   .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))))
     salted = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
     joined = salted.join(owners.drop("n"), ["digest", "bytes", "salt"], "left")
-    return joined.select("page_id", "url", "payload", "digest", F.when(
-        F.col("owner").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("owner")), F.col("owner")).alias("refers_to"))
+    refers = F.when(F.col("owner").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("owner")), F.col("owner"))
+    return joined.withColumn("refers_to", refers).select(
+        key_id("page_id").alias("page_id"), "url", "payload", "digest", key_id("refers_to").alias("refers_to"))
 
 
 def record_id(page_id: int | None) -> str:
@@ -190,8 +191,8 @@ def write_archives(pages: DataFrame, out: str) -> DataFrame:
                 if writer is None:
                     name, n = f"{uuid.uuid4().hex}.warc.zst", 0
                     writer = BundleWriter(files.open_output_stream(f"{root}/bundles/{name}", compression=None))
-                page_id = None if pd.isna(page_id) else int(page_id)
-                refers = None if pd.isna(refers) else int(refers)
+                page_id = None if page_id == NO_ID else int(page_id)
+                refers = None if refers == NO_ID else int(refers)
                 writer.add(record_id(page_id), record_bytes(page_id, url, bytes(payload), digest, refers))
                 n += 1
                 if writer.written >= BUNDLE_BYTES:
@@ -219,10 +220,10 @@ def read_archives(spark: SparkSession, out: str, ids: list[int | None] | None =
         for pdf in batches:
             for path, content in zip(pdf["path"], pdf["content"], strict=True):
                 rows = [read_record(r) for r in Bundle(bytes(content)).records(wanted)]
-                part = pd.DataFrame(rows, columns=["page_id", "payload_bytes", "payload_digest", "record_type",
-                                                   "refers_to", "url", "payload"])
-                yield part.astype({"page_id": "Int64", "refers_to": "Int64"}).assign(bundle=path.rsplit("/", 1)[-1])[
-                    ["bundle", "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "payload"]]
+                columns = {k: [r[k] for r in rows] for k in ("page_id", "payload_bytes", "payload_digest", "record_type",
+                                                             "refers_to", "url", "payload")}
+                yield pd.DataFrame({"bundle": path.rsplit("/", 1)[-1]} | columns | {
+                    k: pd.array(columns[k], "Int64") for k in ("page_id", "refers_to")}, index=range(len(rows)))
 
     committed = spark.read.schema("bundle string").parquet(f"{out}/committed")
     if committed.isEmpty():

@@ -62,3 +62,17 @@ def test_equal_texts_have_equal_fingerprints(docs):
     pairs = {(r["text"], r["fingerprint"]) for r in docs.select("doc_id", "text").join(
         fp.near_chain(docs).select("doc_id", "fingerprint"), "doc_id").filter("doc_id in (3, 60, 61)").collect()}
     assert len(pairs) == 1
+
+
+def test_ids_beyond_the_exact_doubles(spark, vocab, monkeypatch):
+    monkeypatch.setattr(fp, "ROWS_PER_RANGE", 3)
+    ids = [(1 << 60) + i for i in range(40)] + [None, -(1 << 62), 5]
+    rows = [(i, " ".join(vocab[k:k + 9])) for k, i in enumerate(ids)]
+    got = fp.near_chain(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert sorted((r["doc_id"] for r in got), key=str) == sorted(ids, key=str)
+    text = dict(rows)
+    order = sorted(ids, key=lambda i: (i is None, -(i or 0)))
+    follows = {i: order[(k + 1) % len(order)] for k, i in enumerate(order)}
+    for r in got:
+        edited = fp.edit(text[r["doc_id"]], text[follows[r["doc_id"]]])
+        assert r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
