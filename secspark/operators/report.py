@@ -36,10 +36,12 @@ def by_severity(alerts: DataFrame) -> DataFrame:
 
 
 def by_rule(alerts: DataFrame) -> DataFrame:
-    """counts per rule with the documented true-positive prior."""
+    """counts per rule with the documented true-positive prior and note on false positives."""
     prior = F.create_map(*[x for k, v in K.TRUE_POSITIVE_ESTIMATES.items() for x in (F.lit(k), F.lit(v))])
+    note = F.create_map(*[F.lit(x) for text in K.FALSE_POSITIVE_NOTES for x in text.split(": ", 1)])
     return (alerts.groupBy("rule_id").agg(F.count(F.lit(1)).alias("n_alerts"))
-                  .withColumn("true_positive_estimate", prior[F.col("rule_id")]).orderBy("rule_id"))
+                  .withColumn("true_positive_estimate", prior[F.col("rule_id")])
+                  .withColumn("false_positive_note", note[F.col("rule_id")]).orderBy("rule_id"))
 
 
 def by_source_type(events: DataFrame) -> DataFrame:

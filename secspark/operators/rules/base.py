@@ -28,6 +28,13 @@ def event_fingerprint(prefix: str = "") -> Column:
     return F.sha2(F.concat_ws(X.FP_SEP, *parts), 256)
 
 
+def event_json(prefix: str = "") -> Column:
+    """The event as JSON text, every field present, the time in ISO form."""
+    fields = [X.iso_utc(F.col(prefix + n)).alias(n) if n == "timestamp" else F.col(prefix + n).alias(n)
+              for n, _ in EVENT_FIELDS]
+    return F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
+
+
 def seq_col(events: DataFrame) -> Column:
     """Arrival-order tie-breaker: ``ingest_seq`` when present."""
     return F.col("ingest_seq") if "ingest_seq" in events.columns else F.lit(0)

@@ -357,7 +357,10 @@ ALERTS_NEWEST = ALL_ALERTS + (
     f"ORDER BY ts_us DESC, {_RULE_ORDER} LIMIT 50")
 ALERT_SAMPLES = ALL_ALERTS + "SELECT rule_id, max(ts_us) AS ts_us FROM alerts GROUP BY rule_id"
 _PRIOR = "CASE rule_id " + " ".join(f"WHEN '{r}' THEN CAST({p} AS DOUBLE)" for r, p in K.TRUE_POSITIVE_ESTIMATES.items()) + " END"
-SUMMARY_BY_RULE = ALL_ALERTS + f"SELECT rule_id, count(*) AS n_alerts, {_PRIOR} AS true_positive_estimate FROM alerts GROUP BY rule_id"
+_NOTE = "CASE rule_id " + " ".join(
+    "WHEN '{}' THEN '{}'".format(*n.split(": ", 1)) for n in K.FALSE_POSITIVE_NOTES) + " END"
+SUMMARY_BY_RULE = ALL_ALERTS + (f"SELECT rule_id, count(*) AS n_alerts, {_PRIOR} AS true_positive_estimate, "
+                                f"{_NOTE} AS false_positive_note FROM alerts GROUP BY rule_id")
 SUMMARY_BY_SEVERITY = ALL_ALERTS + "SELECT severity, count(*) AS n_alerts FROM alerts GROUP BY severity"
 SUMMARY_TOTALS = ALL_ALERTS + ("SELECT (SELECT count(*) FROM alerts) AS total_alerts, "
                                "(SELECT count(*) FROM sec_events) AS event_count")

@@ -341,7 +341,8 @@ def alert_samples(spark, sf_dir):
 
 
 def summary_by_rule(spark, sf_dir):
-    return R.by_rule(all_alerts(spark, sf_dir)).select("rule_id", "n_alerts", "true_positive_estimate")
+    return R.by_rule(all_alerts(spark, sf_dir)).select("rule_id", "n_alerts", "true_positive_estimate",
+                                                          "false_positive_note")
 
 
 def summary_by_severity(spark, sf_dir):

@@ -87,3 +87,20 @@ def test_legacy_time_must_be_a_json_string(spark):
              '{"timestamp": "14:00:00"}', '{"timestamp": {"timestamp": "2026-03-07"}}']
     ev = L.parse_legacy(spark.createDataFrame([(l,) for l in lines], "value string"), 2026).collect()
     assert len(ev) == 1
+
+
+def test_event_json_has_every_field(spark):
+    from secspark.operators.rules.base import event_json
+    from secspark.schema import EVENT_FIELDS
+    ev = make_events(spark, [{"timestamp": at(1), "user_name": "a", "source_port": 22, "labels": {"k": "v"}}])
+    got = json.loads(ev.select(event_json()).first()[0])
+    assert set(got) == {n for n, _ in EVENT_FIELDS}
+    assert (got["timestamp"], got["user_name"], got["source_port"], got["labels"], got["http_url"]) == (
+        at(1).isoformat(), "a", 22, {"k": "v"}, None)
+
+
+def test_rule_rollup_has_prior_and_note(spark):
+    alerts, _ = _alerts(spark)
+    got = {r["rule_id"]: r for r in R.by_rule(alerts).collect()}
+    assert got["BF-001"]["true_positive_estimate"] == 0.85
+    assert got["WA-001"]["false_positive_note"].startswith("security scanners")
