@@ -144,7 +144,7 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted for every row."""
     rows = docs.select("doc_id", "text")
     score = score_of(docs.sparkSession, fit(rows, labels.select("doc_id", "quality")))
-    return (rows.select("doc_id", (~learnable()).alias("held_out"), score(F.col("text")).alias("score"))
+    return (rows.select("doc_id", F.coalesce(~learnable(), F.lit(False)).alias("held_out"), score(F.col("text")).alias("score"))
                 .withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0)))
 
 
