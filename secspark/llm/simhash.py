@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from secspark.llm.common import materialise, table
+from secspark.llm.common import NO_ID, key_id, materialise, table
 from secspark.llm.components import components
 
 WIDTH = 4
@@ -42,7 +42,6 @@ BLOCKS = ((0, 21), (21, 21), (42, 22))
 CODE_BITS = 15
 HOT = 8192
 PAIRS = 1 << 21
-LAST = (1 << 63) - 1
 
 
 def fingerprint(text: str | None) -> int:
@@ -238,9 +237,9 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_first(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: one document of each component stays, all its columns kept."""
     firsts = groups(fingerprints(docs.select("doc_id", "text"))).select(
-        F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_hash")).distinct()
-    columns = docs.columns
-    same = F.col("_d.doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("_d.text") == F.col("_hash"))
-    kept = docs.alias("_d").join(firsts, same, "left_semi")
-    place = F.row_number().over(W.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(0)))
-    return kept.withColumn("__place", place).filter("__place = 1").select(*[F.col(f"`{c}`") for c in columns])
+        F.coalesce(F.col("first.doc_id"), F.lit(NO_ID)).alias("__id"), F.col("first.text_hash").alias("__hash")).distinct()
+    # the join and the numbering share one dealing by (id, hash of the text)
+    rows = docs.withColumns({"__id": key_id(), "__hash": F.xxhash64("text")})
+    kept = rows.join(firsts, ["__id", "__hash"], "left_semi")
+    place = F.row_number().over(W.partitionBy("__id", "__hash").orderBy("__id"))
+    return kept.withColumn("__place", place).filter("__place = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
