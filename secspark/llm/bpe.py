@@ -24,19 +24,18 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-import struct
 import unicodedata
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from secspark.llm.common import table, worker_held
+from secspark.llm.common import key_id, restored, table
 
-MEMO = 300_000
-WORDS = 600_000
+MEMO = 400_000
 SLICE = 1 << 18
 GROUP = 1 << 21
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"  # fixed value: the supported split rule
@@ -57,7 +56,13 @@ def plain_pattern() -> str:
     """The vocabulary's split rule spelled out for the letters below U+0250."""
     of = {k: "".join(re.escape(chr(c)) for c in range(0x250) if unicodedata.category(chr(c))[0] == k) for k in "LN"}
     space = "\\t-\\r \\x85\\xa0"
-    return f"'s|'t|'re|'ve|'m|'ll|'d|[{of['L']}]+|[{of['N']}]|[^{space}{of['L']}{of['N']}]+"
+    return f"[{of['L']}]+|[{of['N']}]|'s|'t|'re|'ve|'m|'ll|'d|[^{space}{of['L']}{of['N']}]+"
+
+
+def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The positions start, start + 1, ... of runs of the given sizes, one run after the other."""
+    before = np.cumsum(sizes) - sizes
+    return np.repeat(starts - before, sizes) + np.arange(int(sizes.sum()))
 
 
 class PairTable:
@@ -110,6 +115,7 @@ class SpeculativeBpe:
         usual = [p["type"] for p in parts[0]] == ["NFC", "Replace", "Lowercase"] and [
             p.get("pattern", {}).get("Regex") for p in parts[1]] == [SPLIT, None]
         self.plain = re.compile(plain_pattern()).findall if usual else None
+        self.beyond = re.compile("[^\x00-\u024f]|\u0130").search
         self.special = {t["content"]: t["id"] for t in data["added_tokens"]}
         self.special_re = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
         vocab = model["vocab"]
@@ -152,8 +158,12 @@ class SpeculativeBpe:
         table = byte_letters()
         self.to_letters = [table[b] for b in range(256)]
         self.ascii_letters = {b: table[b] for b in range(128)}
-        self.words: dict[str, tuple[bytes, str]] = {}
-        self.memo: dict[str, tuple[bytes, str]] = {}
+        # The decoded text is the tokens' texts with a blank after each.
+        texts = [t.encode() + b" " for t in self.text]
+        self.letters = np.frombuffer(b"".join(texts), np.uint8)
+        self.letter_size = np.array([len(t) for t in texts], np.int64)
+        self.letter_start = np.cumsum(self.letter_size) - self.letter_size
+        self.forget()
         self.speculated = self.failed = 0
 
     def pair_rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -207,10 +217,9 @@ class SpeculativeBpe:
         covered[owner[~own]] = False
         return tokens, owner, covered
 
-    def merged(self, words: list[str]) -> list[list[int]]:
-        """The exact results: in each word, the lowest-ranked merge, leftmost first, until none is left.
-        All words advance together, one merge a round."""
-        out: list[list[int]] = [[]] * len(words)
+    def merged(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The exact results (tokens of all words, tokens per word): in each word, the lowest-ranked
+        merge, leftmost first, until none is left.  All words advance together, one merge a round."""
         size = np.array([len(w) for w in words], np.int64)
         letters = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
         tokens = self.base[letters]
@@ -221,15 +230,14 @@ class SpeculativeBpe:
         inner[np.cumsum(size) - 1] = False
         at = np.flatnonzero(inner)
         rank[at] = self.pair_rank(tokens[at], tokens[at + 1])
+        ended = []
         while len(word):
             stop = np.cumsum(size)
             least = np.minimum.reduceat(rank, stop - size)
             done = least == NEVER
             if done.any():
-                flat = tokens.tolist()
-                for w, a, b in zip(word[done].tolist(), (stop - size)[done].tolist(), stop[done].tolist(), strict=True):
-                    out[w] = flat[a:b]
                 stay = np.repeat(~done, size)
+                ended.append((word[done], size[done], tokens[~stay]))
                 tokens, rank = tokens[stay], rank[stay]
                 word, size, least = word[~done], size[~done], least[~done]
                 if not len(word):
@@ -250,115 +258,152 @@ class SpeculativeBpe:
             rank[right] = self.pair_rank(tokens[right], tokens[right + 1])
             left = first[first > stop - size] - 1
             rank[left] = self.pair_rank(tokens[left], tokens[left + 1])
-        return out
-
-    def encode_words(self, words: list[str]) -> dict[str, tuple[bytes, str]]:
-        """Id bytes and decoded text of distinct byte-level words."""
+        if not ended:
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        word, size, tokens = (np.concatenate(x) for x in zip(*ended, strict=True))
+        order = np.argsort(word)
+        return tokens[ragged((np.cumsum(size) - size)[order], size[order])], size[order]
+
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of distinct byte-level words, one word after the other, and tokens per word."""
         if not words:
-            return {}
+            return np.empty(0, np.int64), np.empty(0, np.int64)
         tokens, owner, good = self.greedy(words)
         if len(tokens) > 1:
             pairs, which = np.unique(tokens[:-1] * self.size + tokens[1:], return_inverse=True)
             fits = self.compatible(pairs // self.size, pairs % self.size)[which]
             crossed = ~fits & (owner[:-1] == owner[1:])  # borders between words don't count
             good[owner[:-1][crossed]] = False
+        bad = np.flatnonzero(~good)
         self.speculated += len(words)
-        self.failed += int((~good).sum())
-        text, at, flat = self.text, np.searchsorted(owner, np.arange(len(words) + 1)).tolist(), tokens.tolist()
-        exact = iter(self.merged([w for w, ok in zip(words, good.tolist(), strict=True) if not ok]))
-        out = {}
-        for k, (w, ok) in enumerate(zip(words, good.tolist(), strict=True)):
-            ids = flat[at[k]:at[k + 1]] if ok else next(exact)
-            out[w] = struct.pack(f"<{len(ids)}I", *ids), " ".join([text[t] for t in ids])
+        self.failed += len(bad)
+        exact, exact_size = self.merged([words[i] for i in bad.tolist()])
+        size = np.bincount(owner, minlength=len(words))
+        size[bad] = exact_size
+        start = np.cumsum(size) - size
+        out = np.empty(int(size.sum()), np.int64)
+        out[ragged(start[bad], exact_size)] = exact
+        out[ragged(start[good], size[good])] = tokens[good[owner]]
+        return out, size
+
+    def letters_of(self, word: str) -> str:
+        """Byte-level letters of a word."""
+        if word.isascii():
+            return word if word.isprintable() else word.translate(self.ascii_letters)
+        letters = self.to_letters
+        return "".join([letters[b] for b in word.encode()])
+
+    def cut(self, text: str) -> list[str]:
+        """Words of a text in plain letters, else its pieces between blanks and line feeds."""
+        if self.plain and "<|" not in text and (text.isascii() or not self.beyond(text)):
+            return self.plain(text.lower())
+        return [p for p in text.replace("\n", " ").split(" ") if p]
+
+    def segments(self, piece: str) -> list[str | int]:
+        """Byte-level words and special tokens of a word or piece."""
+        if piece.islower() and piece.isalpha() and not self.beyond(piece):
+            return [self.letters_of(piece)]
+        out: list[str | int] = []
+        for s in self.special_re.split(piece):
+            if s in self.special:
+                out.append(self.special[s])
+            elif self.plain and not self.beyond(s):
+                out += map(self.letters_of, self.plain(s.lower()))
+            elif s:
+                out += [w for w, _ in self.split(self.normalise(s))]
         return out
 
-    def words_of(self, piece: str) -> list[str]:
-        """Byte-level words of a piece without special tokens."""
-        if self.plain is None or (top := max(piece)) >= "\u0250" or "\u0130" in piece:
-            return [w for w, _ in self.split(self.normalise(piece))]
-        if top < "\x80":
-            if piece.isalpha():
-                return [piece.lower()]
-            found = self.plain(piece.lower())
-            return found if piece.isprintable() else [w.translate(self.ascii_letters) for w in found]
-        letters = self.to_letters
-        return ["".join([letters[b] for b in w.encode()]) for w in self.plain(piece.lower())]
+    def forget(self) -> None:
+        """Empty the memo: row numbers of words and pieces, and each row's run of token ids."""
+        self.row: dict[str, int] = {}
+        self.ids = np.empty(0, np.uint32)
+        self.start = self.count = np.empty(0, np.int64)
 
     def learn(self, pieces: list[str]) -> None:
-        """Put pieces (no blanks or line feeds) into the memo: id bytes and decoded text."""
-        cut: list[list[str | int]] = []
-        for p in pieces:
-            if "<|" not in p:
-                cut.append(self.words_of(p))
-                continue
-            segments: list[str | int] = []
-            for s in self.special_re.split(p):
-                segments += [self.special[s]] if s in self.special else self.words_of(s) if s else []
-            cut.append(segments)
-        words = dict.fromkeys(s for segments in cut for s in segments if isinstance(s, str))
-        known = self.words
-        new = [w for w in words if w not in known]
-        if len(known) + len(new) > WORDS:
-            known.clear()
-            new = list(words)
-        known.update(self.encode_words(new))
-        for p, segments in zip(pieces, cut, strict=True):
-            if len(segments) == 1 and isinstance(segments[0], str):
-                self.memo[p] = known[segments[0]]
-                continue
-            rows = [(struct.pack("<I", s), self.text[s]) if isinstance(s, int) else known[s] for s in segments]
-            self.memo[p] = b"".join([r[0] for r in rows]), " ".join([r[1] for r in rows])
-
-    def pieces(self, text: str) -> Iterator[list[str]]:
-        """The pieces between blanks and line feeds, slice by slice."""
+        """Put words and pieces into the memo."""
+        cut = [self.segments(p) for p in pieces]
+        number: dict[str | int, int] = {}
+        flat = np.array([number.setdefault(s, len(number)) for segments in cut for s in segments], np.int64)
+        plain = [s for s in number if isinstance(s, str)]
+        tokens, size = self.encode_words(plain)
+        special = [s for s in number if isinstance(s, int)]
+        tokens, size = np.r_[tokens, np.array(special, np.int64)], np.r_[size, np.ones(len(special), np.int64)]
+        place = np.empty(len(number), np.int64)  # of a segment in the encoded order
+        place[[number[s] for s in [*plain, *special]]] = np.arange(len(number))
+        start, flat = np.cumsum(size) - size, place[flat]
+        ids = tokens[ragged(start[flat], size[flat])].astype(np.uint32)
+        ends = np.r_[0, np.cumsum(size[flat])][np.cumsum([len(segments) for segments in cut])]
+        count = np.diff(ends, prepend=0)
+        self.row.update(zip(pieces, range(len(self.count), len(self.count) + len(pieces)), strict=True))
+        self.start = np.r_[self.start, ends - count + len(self.ids)]
+        self.count = np.r_[self.count, count]
+        self.ids = np.r_[self.ids, ids]
+
+    def know(self, cuts: list[list[str]]) -> None:
+        new = set().union(*cuts).difference(self.row)
+        if new and len(self.row) + len(new) > MEMO:
+            self.forget()
+            new = set().union(*cuts)
+        if new:
+            self.learn(list(new))
+
+    def slices(self, text: str) -> Iterator[str]:
         start = 0
         while start < len(text):
             stop = start + SLICE
             stop = len(text) if stop >= len(text) or (at := text.find(" ", stop)) < 0 else at
-            yield [p for p in text[start:stop].replace("\n", " ").split(" ") if p]
+            yield text[start:stop]
             start = stop
 
-    def know(self, pieces: list[str]) -> None:
-        new = [p for p in dict.fromkeys(pieces) if p not in self.memo]
-        if new and len(self.memo) + len(new) > MEMO:
-            self.memo.clear()
-            new = list(dict.fromkeys(pieces))
-        if new:
-            self.learn(new)
-
-    def coded(self, text: str) -> Iterator[tuple[bytes, str]]:
-        """(id bytes, decoded text) of each slice of a text."""
-        for pieces in self.pieces(text):
-            self.know(pieces)
-            rows = [self.memo[p] for p in pieces]
-            yield b"".join([r[0] for r in rows]), " ".join([r[1] for r in rows if r[1]])
+    def coded(self, cuts: list[list[str]]) -> Iterator[tuple[np.ndarray, bytes]]:
+        """Of each list of words and pieces: ids, and decoded text with a blank at the end."""
+        self.know(cuts)
+        sizes = [len(c) for c in cuts]
+        rows = np.fromiter(map(self.row.__getitem__, chain.from_iterable(cuts)), np.int64, sum(sizes))
+        count = self.count[rows]
+        ids = self.ids[ragged(self.start[rows], count)]
+        stop = np.r_[0, np.cumsum(count)][np.cumsum(sizes)]
+        size = self.letter_size[ids]
+        text = self.letters[ragged(self.letter_start[ids], size)]
+        text_stop = np.r_[0, np.cumsum(size)][stop]
+        a = x = 0
+        for b, y in zip(stop.tolist(), text_stop.tolist(), strict=True):
+            yield ids[a:b], text[x:y].tobytes()
+            a, x = b, y
 
     def digests(self, texts: list[str | None]) -> Iterator[tuple[int, str, str]]:
         """Per text: number of ids, SHA-256 of the ids, SHA-256 of the decoded text."""
-        group: list[str] = []
+        group: list[list[str]] = []
         size = 0
-        for text in [*texts, None]:
-            if group and (text is None or size + len(text) > GROUP):
-                if size <= GROUP:
-                    self.know([p for t in group for q in self.pieces(t) for p in q])
-                yield from map(self.digest, group)
+        for text in texts:
+            text = text or ""
+            if group and (size + len(text) > GROUP or len(text) > SLICE):
+                yield from self.group_digests(group)
                 group, size = [], 0
-            if text is not None:
-                group.append(text)
+            if len(text) > SLICE:
+                yield self.long_digest(text)
+            else:
+                group.append(self.cut(text))
                 size += len(text)
-
-    def digest(self, text: str) -> tuple[int, str, str]:
-        ids, decoded, n, first = hashlib.sha256(), hashlib.sha256(), 0, True
-        for id_bytes, words in self.coded(text):
-            ids.update(id_bytes)
-            n += len(id_bytes) // 4
-            if words:
-                decoded.update(((" " if not first else "") + words).encode())
-                first = False
+        if group:
+            yield from self.group_digests(group)
+
+    def group_digests(self, cuts: list[list[str]]) -> Iterator[tuple[int, str, str]]:
+        for ids, decoded in self.coded(cuts):
+            yield len(ids), hashlib.sha256(ids.astype("<u4")).hexdigest(), hashlib.sha256(decoded[:-1]).hexdigest()
+
+    def long_digest(self, text: str) -> tuple[int, str, str]:
+        ids, decoded, n, kept = hashlib.sha256(), hashlib.sha256(), 0, b""
+        for part in self.slices(text):
+            for part_ids, part_text in self.coded([self.cut(part)]):
+                ids.update(part_ids.astype("<u4"))
+                n += len(part_ids)
+                decoded.update((kept + part_text)[:-1])
+                kept = (kept + part_text)[-1:]
         return n, ids.hexdigest(), decoded.hexdigest()
 
     def encode(self, text: str | None) -> list[int]:
-        return np.frombuffer(b"".join(x for x, _ in self.coded(text or "")), "<u4").tolist()
+        return [i for part in self.slices(text or "") for ids, _ in self.coded([self.cut(part)]) for i in ids.tolist()]
 
     def decode(self, ids: list[int]) -> str:
         return " ".join(self.text[i] for i in ids)
@@ -374,13 +419,14 @@ def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", t
     spec = docs.sparkSession.sparkContext.broadcast(vocabulary_spec(vocabulary))
 
     def run(batches):
-        bpe = worker_held("bpe", spec.value, lambda: SpeculativeBpe(spec.value))
+        bpe = SpeculativeBpe(spec.value)
         for pdf in batches:
             rows = list(bpe.digests([t or "" for t in pdf["text"]]))
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_tokens": [r[0] for r in rows],
                                 "ids_sha256": [r[1] for r in rows], "decoded_sha256": [r[2] for r in rows]})
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, SCHEMA)
+    rows = docs.select(key_id(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return restored(rows.mapInPandas(run, SCHEMA), "doc_id")
 
 
 def token_lists(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -388,13 +434,13 @@ def token_lists(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_c
     spec = docs.sparkSession.sparkContext.broadcast(vocabulary_spec(vocabulary))
 
     def run(batches):
-        bpe = worker_held("bpe", spec.value, lambda: SpeculativeBpe(spec.value))
+        bpe = SpeculativeBpe(spec.value)
         for pdf in batches:
             ids = [bpe.encode(t) for t in pdf["text"]]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "ids": ids, "decoded": [bpe.decode(i) for i in ids]})
 
-    return (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-                .mapInPandas(run, "doc_id long, ids array<int>, decoded string"))
+    rows = docs.select(key_id(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return restored(rows.mapInPandas(run, "doc_id long, ids array<int>, decoded string"), "doc_id")
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

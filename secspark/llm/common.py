@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import sys
 import uuid
-from collections.abc import Callable
-from typing import Any
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -52,14 +49,6 @@ def crc_mod(column: str, n: int) -> Column:
     return F.pmod(F.crc32(F.encode(F.col(column).cast("string"), "UTF-8")), F.lit(n))
 
 
-def worker_held(kind: str, key: str, make: Callable[[], Any]) -> Any:
-    """An object that a Python worker keeps from task to task (one per kind; another key replaces it)."""
-    held = sys.__dict__.setdefault("_secspark_held", {})
-    if kind not in held or held[kind][0] != key:
-        held[kind] = (key, make())
-    return held[kind][1]
-
-
 def mix64(h: np.ndarray) -> np.ndarray:
     """Finalise 64-bit hashes (the SplitMix64 output function)."""
     h = h ^ (h >> np.uint64(30))
