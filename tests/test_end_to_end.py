@@ -3,14 +3,14 @@ import json
 from secspark.plans.run import run_pipeline
 
 AUTH = "\n".join(
-    [f"Mar  7 14:00:0{i} web-01 sshd[1{i}]: Accepted publickey for bob from 10.0.0.5 port 51012 ssh2" for i in range(2)]
-    + [f"Mar  7 14:10:{7 * i:02d} web-01 sshd[2{i}]: Failed password for invalid user root from 203.0.113.5 port 51012 ssh2"
+    [f"Mar  7 14:00:0{i} edge3 sshd[1{i}]: Accepted publickey for noor from 10.8.7.6 port 40404 ssh2" for i in range(2)]
+    + [f"Mar  7 14:10:{7 * i:02d} edge3 sshd[2{i}]: Failed password for invalid user kim from 198.18.4.9 port 40404 ssh2"
        for i in range(8)]
-    + ["Mar  7 14:11:05 web-01 sshd[30]: Accepted password for root from 203.0.113.5 port 51012 ssh2",
-       "Mar  7 14:30:00 web-01 systemd[1]: Started Session 1 of user root."]) + "\n"
+    + ["Mar  7 14:11:05 edge3 sshd[30]: Accepted password for kim from 198.18.4.9 port 40404 ssh2",
+       "Mar  7 14:30:00 edge3 cron[9]: rotated logs"]) + "\n"
 NGINX = "\n".join([
     '203.0.113.7 - - [07/Mar/2026:14:05:00 +0000] "GET /search?q=1\' OR \'1\'=\'1 HTTP/1.1" 200 64 "-" "curl/8.4.0"',
-    '10.0.0.5 - - [07/Mar/2026:14:01:12 +0000] "GET / HTTP/1.1" 200 5316 "-" "curl/8.4.0"']) + "\n"
+    '10.0.0.5 - - [07/Mar/2026:14:01:12 +0000] "GET / HTTP/1.1" 200 7421 "-" "curl/8.4.0"']) + "\n"
 APACHE = '198.51.100.42 - - [07/Mar/2026:14:07:10 +0000] "GET /etc/passwd HTTP/1.1" 404 64 "-" "curl/8.4.0"\n'
 WINDOWS = json.dumps([
     {"EventID": 4688, "TimeCreated": "2026-03-07T14:20:00+00:00",
