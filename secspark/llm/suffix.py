@@ -45,14 +45,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from secspark.llm.common import materialise, mix64, table
+from secspark.llm.common import key_id, materialise, mix64, restored, table
 
 LENGTH = 200
 GRAM = 48
 SEGMENT = 1 << 18
 BATCHES = 3
 HOT = 4096
-NO_ID = -(1 << 63)
+SALTS = 32
 PLACES = "doc_id long, th int, name long, block long, place long, before int, after int"
 BYTE_CODES = mix64(np.arange(256, dtype=np.uint64) + np.uint64(0x2545F4914F6CDD1D))
 
@@ -210,11 +210,6 @@ class Family:
         self.levels = []
 
 
-def key_id() -> Column:
-    """The id as a number that is never null (null: the lowest long)."""
-    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
-
-
 def keyed(docs: DataFrame) -> DataFrame:
     """Rows named by id and a hash of the text."""
     return docs.select(key_id().alias("doc_id"), F.hash("text").alias("th"), "text")
@@ -319,12 +314,15 @@ def repeated_spans(docs: DataFrame, batches: int = BATCHES, hot: int = HOT) -> D
     contexts = (wanted.alias("w").join(texts.alias("t"), same_row("w", "t")).select("w.doc_id", "w.th", "t.text", "w.wanted")
                       .mapInPandas(_contexts(LENGTH), context_schema))
     crowded = (hits.filter("mixed").select("name", "block").distinct().groupBy("name").agg(F.count(F.lit(1)).alias("_n"))
-                   .filter(F.col("_n") > hot).select("name", F.ceil(F.col("_n") / hot).cast("int").alias("_parts")))
+                   .filter(F.col("_n") > hot)  # at most one name in ``hot`` contexts: repeating it per salt is cheap
+                   .select("name", F.ceil(F.col("_n") / hot).cast("int").alias("_parts"),
+                           F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")))
     parts = F.coalesce(F.col("_parts"), F.lit(1))
     mine = F.pmod(F.xxhash64("doc_id", "th", "place"), parts).cast("int")
     cells = F.transform(F.sequence(F.lit(0), parts - 1), lambda j: F.least(mine, j) * parts + F.greatest(mine, j))
     split = "doc_id long, th int, start long, stop long"
-    resolved = (contexts.join(crowded, "name", "left").withColumn("cell", F.explode(cells))
+    salted = contexts.withColumn("salt", F.pmod(F.xxhash64("th", "place"), F.lit(SALTS)).cast("int"))
+    resolved = (salted.join(crowded, ["name", "salt"], "left").withColumn("cell", F.explode(cells))
                         .select("name", "cell", "doc_id", "th", "place", "before", "single", "data")
                         .repartition("name", "cell").sortWithinPartitions("name", "cell", "doc_id", "th", "place")
                         .mapInPandas(_resolve(LENGTH), split))
@@ -366,9 +364,9 @@ def removal_digest(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
             part = pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256"])
             yield part.assign(doc_id=pdf["doc_id"])[["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]]
 
-    return (rows.alias("t").join(spans.alias("s"), same_row("t", "s"), "left").select("t.doc_id", "t.text", "s.spans")
-                .mapInPandas(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-                .withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id"))))
+    found = rows.alias("t").join(spans.alias("s"), same_row("t", "s"), "left").select("t.doc_id", "t.text", "s.spans")
+    return restored(found.mapInPandas(
+        run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"), "doc_id")
 
 
 def op4_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
