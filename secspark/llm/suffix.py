@@ -21,9 +21,9 @@ family of n batches has at most log2(n) + 1 levels.
 
 *Matches.*  A block that occurs twice is repeated in whole.  Where a repeated name stands in
 different blocks, one context per block is fetched, and all windows of a name's contexts are
-compared at the same distance from the name.  A name with more than ``HOT`` contexts is cut
-into a triangle of cells (part i with part j), so that no group is unbounded and no pair of
-contexts is left out.  Fingerprints of blocks and windows have 64 bits for the array and 128
+compared at the same distance from the name: in one group, if the name has at most ``HOT``
+contexts.  The windows of a more crowded name become rows that are counted (with map-side
+combine) and joined back, so its work is spread over the windows and grows in proportion.  Fingerprints of blocks and windows have 64 bits for the array and 128
 bits for windows; names only gather candidates.
 
 Defined results: null text is empty; texts under ``LENGTH`` bytes keep all bytes; repeated
@@ -265,7 +265,11 @@ def compare(contexts: list[tuple[int, bytes]], length: int = LENGTH) -> list[lis
     return out
 
 
+SPAN = "doc_id long, th int, start long, stop long"
+
+
 def _resolve(length: int):
+    """Rows sorted by name -> spans of the repeated windows of blocks that occur once."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         group: list[tuple] = []
         key = None
@@ -280,11 +284,11 @@ def _resolve(length: int):
             group.clear()
 
         for pdf in batches:
-            for name, cell, *row in zip(pdf["name"], pdf["cell"], pdf["doc_id"], pdf["th"], pdf["place"],
-                                        pdf["before"], pdf["single"], pdf["data"], strict=True):
-                if (name, cell) != key:
+            for name, *row in zip(pdf["name"], pdf["doc_id"], pdf["th"], pdf["place"], pdf["before"], pdf["single"],
+                                  pdf["data"], strict=True):
+                if name != key:
                     settle()
-                    key = (name, cell)
+                    key = name
                 group.append(tuple(row))
             yield pd.DataFrame(spans, columns=["doc_id", "th", "start", "stop"]).astype({"doc_id": "int64"})
             spans.clear()
@@ -293,6 +297,20 @@ def _resolve(length: int):
     return run
 
 
+def _windows(length: int):
+    """Every window of a context as a row: its distance from the name and two halves of its fingerprint."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        digest = xxhash.xxh3_128_digest
+        for pdf in batches:
+            for name, doc_id, th, place, before, single, data in zip(
+                    *(pdf[c] for c in ("name", "doc_id", "th", "place", "before", "single", "data")), strict=True):
+                n = len(data) - length + 1
+                marks = np.frombuffer(b"".join([digest(data[t:t + length]) for t in range(n)]), np.int64).reshape(n, 2)
+                yield pd.DataFrame({"name": name, "distance": before - np.arange(n), "high": marks[:, 0], "low": marks[:, 1],
+                                    "doc_id": doc_id, "th": th, "start": place - before + np.arange(n), "single": single})
+    return run
+
+
 def same_row(a: str, b: str) -> Column:
     return (F.col(f"{a}.doc_id") == F.col(f"{b}.doc_id")) & (F.col(f"{a}.th") == F.col(f"{b}.th"))
 
@@ -303,29 +321,31 @@ def repeated_spans(docs: DataFrame, batches: int = BATCHES, hot: int = HOT) -> D
     hits = materialise(places(docs).join(blocks, ["name", "block"]), "suffix-hits")
     whole = hits.filter("n > 1").select("doc_id", "th", (F.col("place") - F.col("before")).alias("start"),
                                         (F.col("place") + F.col("after") + LENGTH).alias("stop"))
-    # One context of each block of the names that stand in several blocks.
+    # One place of each block of the names that stand in several blocks (equal rows have equal contexts).
     one = F.struct("doc_id", "th", "place", "before", "after")
-    wanted = (hits.filter("mixed").groupBy("name", "block").agg(F.min(one).alias("at"), F.min("n").alias("n"))
-                  .groupBy("at.doc_id", "at.th")
-                  .agg(F.collect_list(F.struct("name", "n", "at.place", "at.before", "at.after")).alias("wanted")))
-    texts = docs.select("doc_id", "th", "text")
-    # Equal rows give equal contexts: one of them is enough.
-    context_schema = "doc_id long, th int, name long, place long, before int, single boolean, data binary"
-    contexts = (wanted.alias("w").join(texts.alias("t"), same_row("w", "t")).select("w.doc_id", "w.th", "t.text", "w.wanted")
-                      .mapInPandas(_contexts(LENGTH), context_schema))
-    crowded = (hits.filter("mixed").select("name", "block").distinct().groupBy("name").agg(F.count(F.lit(1)).alias("_n"))
-                   .filter(F.col("_n") > hot)  # at most one name in ``hot`` contexts: repeating it per salt is cheap
-                   .select("name", F.ceil(F.col("_n") / hot).cast("int").alias("_parts"),
-                           F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")))
-    parts = F.coalesce(F.col("_parts"), F.lit(1))
-    mine = F.pmod(F.xxhash64("doc_id", "th", "place"), parts).cast("int")
-    cells = F.transform(F.sequence(F.lit(0), parts - 1), lambda j: F.least(mine, j) * parts + F.greatest(mine, j))
-    split = "doc_id long, th int, start long, stop long"
-    salted = contexts.withColumn("salt", F.pmod(F.xxhash64("th", "place"), F.lit(SALTS)).cast("int"))
-    resolved = (salted.join(crowded, ["name", "salt"], "left").withColumn("cell", F.explode(cells))
-                        .select("name", "cell", "doc_id", "th", "place", "before", "single", "data")
-                        .repartition("name", "cell").sortWithinPartitions("name", "cell", "doc_id", "th", "place")
-                        .mapInPandas(_resolve(LENGTH), split))
+    places_of = hits.filter("mixed").groupBy("name", "block").agg(F.min(one).alias("at"), F.min("n").alias("n"))
+    crowded = (places_of.groupBy("name").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot)
+                        # at most one name in ``hot`` places: repeating it per salt is cheap
+                        .select("name", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")))
+    salted = places_of.withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(SALTS)).cast("int"))
+    texts = docs.select("doc_id", "th", "text").alias("t")
+
+    def contexts(kind: str) -> DataFrame:
+        """Bytes around the places of names that are crowded (``left_semi``) or not (``left_anti``)."""
+        wanted = (salted.join(crowded, ["name", "salt"], kind).groupBy("at.doc_id", "at.th")
+                        .agg(F.collect_list(F.struct("name", "n", "at.place", "at.before", "at.after")).alias("wanted")))
+        return (wanted.alias("w").join(texts, same_row("w", "t")).select("w.doc_id", "w.th", "t.text", "w.wanted")
+                      .mapInPandas(_contexts(LENGTH), "doc_id long, th int, name long, place long, before int, "
+                                                      "single boolean, data binary"))
+
+    few = (contexts("left_anti").repartition("name").sortWithinPartitions("name", "doc_id", "th", "place")
+                                .mapInPandas(_resolve(LENGTH), SPAN))
+    window = ["name", "distance", "high", "low"]
+    many = contexts("left_semi").mapInPandas(
+        _windows(LENGTH), "name long, distance int, high long, low long, doc_id long, th int, start long, single boolean")
+    repeated = many.groupBy(*window).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    resolved = few.union(many.filter("single").join(repeated, window, "left_semi").select(
+        "doc_id", "th", "start", (F.col("start") + LENGTH).alias("stop")))
     return whole.union(resolved).groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
 
 
