@@ -1,4 +1,3 @@
-import datetime as dt
 import os
 import sys
 
@@ -6,33 +5,10 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from secspark.operators.parse import event_struct  # noqa: E402
-from secspark.schema import EVENT_FIELDS  # noqa: E402
 from secspark.session import get_spark  # noqa: E402
 
-BASE = dt.datetime(2026, 3, 7, 14, 0, 0, tzinfo=dt.timezone.utc)
-
 
 @pytest.fixture(scope="session")
 def spark():
     s = get_spark("local[2]", shuffle_partitions=4, app="secspark-tests")
     yield s
-
-
-def make_events(spark, rows: list[dict]):
-    """Events frame from dicts (missing fields null, labels default empty, ingest_seq = list order)."""
-    from pyspark.sql import functions as F
-    from pyspark.sql import types as T
-    schema = T.StructType([T.StructField(n, t) for n, t in EVENT_FIELDS] + [T.StructField("ingest_seq", T.LongType())])
-    data = []
-    for i, r in enumerate(rows):
-        d = {n: r.get(n) for n, _ in EVENT_FIELDS}
-        d["labels"] = r.get("labels") or {}
-        d["source_type"] = r.get("source_type", "test")
-        d["ingest_seq"] = i
-        data.append(d)
-    return spark.createDataFrame(data, schema)
-
-
-def at(seconds: float = 0, minutes: float = 0, hours: float = 0):
-    return BASE + dt.timedelta(seconds=seconds, minutes=minutes, hours=hours)

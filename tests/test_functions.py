@@ -68,7 +68,7 @@ def test_basename_and_decode(spark):
 
 def test_fingerprint_stable_and_distinct(spark):
     from secspark.operators.rules.base import event_fingerprint
-    from conftest import at, make_events
+    from events_helper import at, make_events
     ev = make_events(spark, [{"timestamp": at(0), "user_name": "a"}, {"timestamp": at(0), "user_name": "a"},
                              {"timestamp": at(1), "user_name": "a"}])
     fps = [r["fp"] for r in ev.select(event_fingerprint().alias("fp")).collect()]

@@ -5,7 +5,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from conftest import at, make_events
+from events_helper import at, make_events
 from secspark.operators import sequence as S
 from secspark.operators.rules import SuspiciousProcess, WebAttack
 

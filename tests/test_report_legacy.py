@@ -1,6 +1,6 @@
 import json
 
-from conftest import at, make_events
+from events_helper import at, make_events
 
 from secspark.operators import legacy as L
 from secspark.operators import report as R

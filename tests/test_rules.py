@@ -2,7 +2,7 @@ import base64
 import json
 import random
 
-from conftest import at, make_events
+from events_helper import at, make_events
 from test_sequence import py_greedy
 
 from secspark.functions import constants as K

@@ -1,7 +1,7 @@
 import os
 import random
 
-from conftest import at
+from events_helper import at
 
 from secspark.operators.rules import BruteForce
 from secspark.sources import files as SRC
