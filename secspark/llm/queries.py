@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from secspark.llm.align import op13_align
 from secspark.llm.bpe import op6_bpe
 from secspark.llm.decontam import op3_decontam
 from secspark.llm.fingerprint import op10_fingerprint
@@ -29,6 +30,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": op8_sharding,
     "op9_simhash": op9_simhash,
     "op10_fingerprint": op10_fingerprint,
+    "op13_align": op13_align,
 }
 
 ORACLES: dict[str, str] = {"op7_warc": WARC_SQL}
