@@ -12,6 +12,8 @@ from secspark.llm.decontam import op3_decontam
 from secspark.llm.fingerprint import op10_fingerprint
 from secspark.llm.langid import op1_langid
 from secspark.llm.license import op2_license
+from secspark.llm.lines import ORACLE as LINES_SQL
+from secspark.llm.lines import op12_lines
 from secspark.llm.quality import op5_quality
 from secspark.llm.sharding import op8_sharding
 from secspark.llm.simhash import op9_simhash
@@ -30,7 +32,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": op8_sharding,
     "op9_simhash": op9_simhash,
     "op10_fingerprint": op10_fingerprint,
+    "op12_lines": op12_lines,
     "op13_align": op13_align,
 }
 
-ORACLES: dict[str, str] = {"op7_warc": WARC_SQL}
+ORACLES: dict[str, str] = {"op7_warc": WARC_SQL, "op12_lines": LINES_SQL}
