@@ -15,6 +15,8 @@ from secspark.llm.license import op2_license
 from secspark.llm.lines import ORACLE as LINES_SQL
 from secspark.llm.lines import op12_lines
 from secspark.llm.quality import op5_quality
+from secspark.llm.rank import ORACLE as RANK_SQL
+from secspark.llm.rank import op11_rank
 from secspark.llm.sharding import op8_sharding
 from secspark.llm.simhash import op9_simhash
 from secspark.llm.suffix import op4_suffix
@@ -32,8 +34,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": op8_sharding,
     "op9_simhash": op9_simhash,
     "op10_fingerprint": op10_fingerprint,
+    "op11_rank": op11_rank,
     "op12_lines": op12_lines,
     "op13_align": op13_align,
 }
 
-ORACLES: dict[str, str] = {"op7_warc": WARC_SQL, "op12_lines": LINES_SQL}
+ORACLES: dict[str, str] = {"op7_warc": WARC_SQL, "op11_rank": RANK_SQL, "op12_lines": LINES_SQL}
