@@ -45,14 +45,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from secspark.llm.bpe import byte_letters
+from secspark.llm.bpe import byte_letters, ragged
 from secspark.llm.common import materialise, table
 
-MEMO = 150_000
+MEMO = 300_000
 HOT = 1 << 17
-GROUP = 1 << 22
+GROUP = 1 << 19
 # Fixed value: how byte-level vocabularies cut a text before merging.
 PRE_SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: The decimal digits of every id under 2^16, and how many there are.
+DIGITS = np.array([len(str(i)) for i in range(1 << 16)], np.uint8)
+NUMBERS = np.array([list(str(i).ljust(6).encode()) for i in range(1 << 16)], np.uint8)
 TOUCHING = re.compile(r"\s\s|^\s|\s$")
 
 
@@ -104,7 +107,6 @@ class Vocabulary:
 
     def __post_init__(self) -> None:
         self.sizes = np.array([len(t) for t in self.tokens], np.int64)
-        self.names = [str(i) for i in range(len(self.tokens))]
 
 
 def merge_ranks(spec: str) -> dict[bytes, int]:
@@ -134,8 +136,32 @@ def unsound(spec: str) -> list[int]:
     return [i for t, i in data["model"]["vocab"].items() if t not in special and [x.id for x in model.tokenize(t)] != [i]]
 
 
+class Ragged:
+    """Growing lists of ids, stored back to back."""
+
+    def __init__(self) -> None:
+        self.data, self.used = np.empty(1 << 12, np.int64), 0
+        self.start, self.size = np.empty(1 << 10, np.int64), np.empty(1 << 10, np.int64)
+        self.n = 0
+
+    def extend(self, data: np.ndarray, sizes: np.ndarray) -> None:
+        while self.used + len(data) > len(self.data):
+            self.data = np.concatenate([self.data, np.empty_like(self.data)])
+        while self.n + len(sizes) > len(self.start):
+            self.start, self.size = (np.concatenate([x, np.empty_like(x)]) for x in (self.start, self.size))
+        here = slice(self.n, self.n + len(sizes))
+        self.size[here], self.start[here] = sizes, self.used + np.cumsum(sizes) - sizes
+        self.data[self.used:self.used + len(data)] = data
+        self.n, self.used = self.n + len(sizes), self.used + len(data)
+
+    def take(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The lists of some codes one after the other, and their sizes."""
+        sizes = self.size[codes]
+        return self.data[ragged(self.start[codes], sizes)], sizes
+
+
 class Pair:
-    """Both tokenizers, made once per task from the content of their files."""
+    """Both tokenizers, made once per task from the content of their files, and what their words became."""
 
     def __init__(self, ranks: dict[bytes, int], pieces: bytes):
         import sentencepiece
@@ -150,77 +176,117 @@ class Pair:
         names = [self.second.id_to_piece(i) for i in range(self.second.get_piece_size())]
         self.b = Vocabulary([bytes([int(p[3:5], 16)]) if self.second.is_byte(i) else p.replace("▁", " ").encode()
                              for i, p in enumerate(names)])
+        if max(len(self.a.tokens), len(self.b.tokens)) > len(DIGITS):
+            raise ValueError("vocabularies of over 65,536 tokens are not supported")
         self.by_word = not any(re.search("[^▁]▁", p) for p in names)
-        self.words: dict[str, tuple[list[int], list[int]]] = {}
-
-    def encode(self, text: str) -> tuple[list[int], list[int]]:
-        """Ids of a blank and the text in A, and of the text in B (which adds the blank)."""
-        if not self.by_word or TOUCHING.search(text):
-            return self.first.encode_ordinary(" " + text), self.second.encode(text)
-        words, memo = text.split(" "), self.words
-        new = list({w for w in words if w not in memo})
-        if new:
-            if len(memo) + len(new) > MEMO:
-                memo.clear()
-                new = list(set(words))
-            memo.update(zip(new, zip([self.first.encode_ordinary(" " + w) for w in new],
-                                     self.second.encode(new, num_threads=1), strict=True), strict=True))
-        found = [memo[w] for w in words]
-        return (list(chain.from_iterable([x for x, _ in found])), list(chain.from_iterable([y for _, y in found])))
+        self.forget()
+
+    def forget(self) -> None:
+        self.codes: dict[str, int] = {}
+        self.a_ids, self.b_ids, self.same = Ragged(), Ragged(), np.zeros(0, bool)
+
+    def learn(self, words: list[str], whole: list[str]) -> None:
+        """Encode new words, and whole texts, with a blank before each."""
+        first, second, tokens = self.first.encode_ordinary, self.second, self.b.tokens
+        # A takes the words in one go and is cut at the blanks; these are the only blanks there.
+        data = "".join([" " + w for w in words]).encode("utf-8", "surrogatepass")
+        ends = np.r_[np.flatnonzero(np.frombuffer(data, np.uint8) == 32)[1:], len(data)] if words else np.empty(0, np.int64)
+        a = np.array(first(data.decode("utf-8", "surrogatepass")), np.int64)
+        self.a_ids.extend(a, np.diff(np.searchsorted(np.cumsum(self.a.sizes[a]), np.r_[0, ends], "right")))
+        for w in whole:
+            a = np.array(first(" " + w), np.int64)
+            self.a_ids.extend(a, np.array([len(a)]))
+            data += (" " + w).encode("utf-8", "surrogatepass")
+            ends = np.r_[ends, len(data)]
+        b = second.encode(words + whole, num_threads=1)
+        sizes = np.fromiter(map(len, b), np.int64, len(b))
+        flat = np.fromiter(chain.from_iterable(b), np.int64, int(sizes.sum()))
+        self.b_ids.extend(flat, sizes)
+        spelt = b"".join([tokens[i] for i in flat.tolist()])
+        b_ends = np.r_[0, np.cumsum(self.b.sizes[flat])][np.cumsum(sizes)]
+        same = np.ones(len(b), bool)
+        if spelt != data or not np.array_equal(ends, b_ends):
+            cuts = [np.r_[0, e].tolist() for e in (ends, b_ends)]
+            same = np.array([data[u:v] == spelt[x:y] for u, v, x, y in
+                             zip(cuts[0], cuts[0][1:], cuts[1], cuts[1][1:], strict=False)], bool)
+        self.codes.update(zip(words + whole, range(len(self.same), len(self.same) + len(b)), strict=True))
+        self.same = np.r_[self.same, same]
+
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Tokens of some texts: ids in A, ids in B, and how many of either each text has (none for texts
+        that are empty or that the tokens do not spell)."""
+        # A whole text holds touching blanks or blanks at its ends, so it is never taken for a word.
+        odd = [bool(t) and not (self.by_word and not TOUCHING.search(t)) for t in texts]
+        parts = [[] if not t else [t] if o else t.split(" ") for t, o in zip(texts, odd, strict=True)]
+        for _ in range(2):
+            new = set().union(*[p for p, o in zip(parts, odd, strict=True) if not o]).difference(self.codes)
+            if not self.codes or len(self.codes) + len(new) <= MEMO:
+                break
+            self.forget()
+        self.learn(list(new), list({t for t, o in zip(texts, odd, strict=True) if o}.difference(self.codes)))
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+        codes = np.fromiter(map(self.codes.__getitem__, chain.from_iterable(parts)), np.int64, int(sizes.sum()))
+        owner = np.repeat(np.arange(len(texts)), sizes)
+        # A word that is not spelt spoils its text: a word's tokens neither lend bytes to the next nor borrow any.
+        bad = np.bincount(owner[~self.same[codes]], minlength=len(texts)) > 0
+        codes, owner = codes[~bad[owner]], owner[~bad[owner]]
+        out = []
+        for side in (self.a_ids, self.b_ids):
+            ids, n = side.take(codes)
+            out.append((ids, np.bincount(owner, n, minlength=len(texts)).astype(np.int64)))
+        return out[0][0], out[1][0], out[0][1], out[1][1]
 
 
 @dataclass
 class Alignment:
-    """One text's tokens, groups and linked positions."""
+    """The tokens, groups and linked positions of several texts, back to back."""
 
-    a: np.ndarray
+    a: np.ndarray  # ids of A
     b: np.ndarray
-    runs: list[tuple[int, int, int]]
-    odd: list[tuple[int, int, int, int]]
-    left: list[int]
-    right: list[int]
+    n_a: np.ndarray  # tokens of A by text
+    n_b: np.ndarray
+    a_end: np.ndarray  # by group: number of A tokens up to its end
+    b_end: np.ndarray
+    left: np.ndarray  # by link: position of its A token
+    right: np.ndarray
 
     @property
-    def n_groups(self) -> int:
-        return sum(n for _, _, n in self.runs) + len(self.odd)
-
-    def links(self) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of every linked occurrence pair."""
-        size = np.array([n for _, _, n in self.runs], np.int64)
-        before = np.cumsum(size) - size
-        steps = np.arange(int(size.sum()))
-        i = np.repeat(np.array([r[0] for r in self.runs], np.int64) - before, size) + steps
-        j = np.repeat(np.array([r[1] for r in self.runs], np.int64) - before, size) + steps
-        return (self.a[np.concatenate([i, np.array(self.left, np.int64)])],
-                self.b[np.concatenate([j, np.array(self.right, np.int64)])])
-
-    def text(self, a_names: list[str], b_names: list[str]) -> str:
-        """The groups in order: ``a1,a2|b1;a3|b2,b3``."""
-        a, b = [a_names[x] for x in self.a.tolist()], [b_names[x] for x in self.b.tolist()]
-        parts = [(i, [f"{x}|{y}" for x, y in zip(a[i:i + n], b[j:j + n], strict=True)]) for i, j, n in self.runs]
-        parts += [(i, [f"{','.join(a[i:i_end])}|{','.join(b[j:j_end])}"]) for i, i_end, j, j_end in self.odd]
-        parts.sort(key=lambda p: p[0])
-        return ";".join(chain.from_iterable([p for _, p in parts]))
-
-
-def align(pair: Pair, text: str | None) -> Alignment | None:
-    """The alignment of a text; None if it has no tokens or they do not spell a blank and the text."""
-    if not text:
-        return None
-    want = b" " + text.encode("utf-8", "surrogatepass")
-    a, b = pair.encode(text)
-    if b"".join([pair.a.tokens[x] for x in a]) != want or b"".join([pair.b.tokens[x] for x in b]) != want:
-        return None
-    a_ids, b_ids = np.array(a, np.int64), np.array(b, np.int64)
-    a_ends, b_ends = np.cumsum(pair.a.sizes[a_ids]), np.cumsum(pair.b.sizes[b_ids])
-    return Alignment(a_ids, b_ids, *groups(a_ends.tolist(), b_ends.tolist()))
-
-
-def listed(values: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
-    """Arrays as one Arrow list column."""
-    offsets = np.zeros(len(values) + 1, np.int32)
-    np.cumsum([len(v) for v in values], out=offsets[1:])
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, np.int64), *values])).cast(kind))
+    def n_groups(self) -> np.ndarray:
+        return np.diff(np.searchsorted(self.a_end, np.r_[0, np.cumsum(self.n_a)], "right"))
+
+    def pairs(self, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct linked id pairs by text: text, pair (``A id * width + B id``), links."""
+        text = np.repeat(np.arange(len(self.n_a)), self.n_a)[self.left]
+        span = (int(self.a.max(initial=0)) + 1) * width
+        key = np.sort(text * span + self.a[self.left] * width + self.b[self.right])
+        heads = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else key
+        return key[heads] // span, key[heads] % span, np.diff(np.r_[heads, len(key)])
+
+    def texts(self) -> list[bytes]:
+        """The groups of each text in order: ``a1,a2|b1;a3|b2,b3``."""
+        a_size, b_size = np.diff(np.r_[0, self.a_end]), np.diff(np.r_[0, self.b_end])
+        place_a = np.arange(len(self.a)) + np.repeat(self.b_end - b_size, a_size)
+        place_b = np.arange(len(self.b)) + np.repeat(self.a_end, b_size)
+        ids = np.empty(len(self.a) + len(self.b), np.int64)
+        ids[place_a], ids[place_b] = self.a, self.b
+        sign = np.full(len(ids), ord(","), np.uint8)
+        sign[place_a[self.a_end - 1]], sign[place_b[self.b_end - 1]] = ord("|"), ord(";")
+        digits, cells = DIGITS[ids], NUMBERS[ids]
+        cells[np.arange(len(ids)), digits] = sign
+        data = cells[np.arange(cells.shape[1]) <= digits[:, None]].tobytes()
+        ends = np.cumsum(np.r_[0, digits.astype(np.int64) + 1])[np.r_[0, np.cumsum(self.n_a + self.n_b)]].tolist()
+        return [data[x:max(x, y - 1)] for x, y in zip(ends[:-1], ends[1:], strict=True)]
+
+
+def align(pair: Pair, texts: list[str | None]) -> Alignment:
+    """Align several texts at once: a text's end is an end of both, so stretches run on from text to text."""
+    a, b, n_a, n_b = pair.encode(texts)
+    runs, odd, left, right = groups(np.cumsum(pair.a.sizes[a]).tolist(), np.cumsum(pair.b.sizes[b]).tolist())
+    i, j, size = (np.array(c, np.int64) for c in (zip(*runs, strict=True) if runs else ([], [], [])))
+    i, j = ragged(i, size), ragged(j, size)
+    _, i_end, _, j_end = (np.array(c, np.int64) for c in (zip(*odd, strict=True) if odd else ([], [], [], [])))
+    return Alignment(a, b, n_a, n_b, np.sort(np.r_[i + 1, i_end]), np.sort(np.r_[j + 1, j_end]),
+                     np.r_[i, np.array(left, np.int64)], np.r_[j, np.array(right, np.int64)])
 
 
 def aligned(docs: DataFrame, spec: str, pieces: bytes) -> DataFrame:
@@ -235,25 +301,15 @@ def aligned(docs: DataFrame, spec: str, pieces: bytes) -> DataFrame:
         width = len(pair.b.tokens)
 
         def rows(batch: pa.RecordBatch, texts: list[str | None]) -> pa.RecordBatch:
-            figures, digests, codes, times = [], [], [], []
-            for text in texts:
-                one = align(pair, text)
-                if one is None:
-                    figures.append((0, 0, 0, 0))
-                    digests.append("")
-                    codes.append(np.empty(0, np.int64))
-                    times.append(np.empty(0, np.int64))
-                    continue
-                left, right = one.links()
-                code, n = np.unique(left * width + right, return_counts=True)
-                figures.append((len(one.a), len(one.b), one.n_groups, len(left)))
-                digests.append(hashlib.sha256(one.text(pair.a.names, pair.b.names).encode()).hexdigest())
-                codes.append(code)
-                times.append(n)
-            numbers = np.array(figures, np.int64).reshape(-1, 4)
+            one = align(pair, texts)
+            text, code, times = one.pairs(width)
+            offsets = pa.array(np.searchsorted(text, np.arange(len(texts) + 1)).astype(np.int32))
+            links = np.bincount(text, times, minlength=len(texts)).astype(np.int64)
+            digests = [hashlib.sha256(x).hexdigest() if n else "" for x, n in zip(one.texts(), one.n_a.tolist(), strict=True)]
             return pa.RecordBatch.from_arrays(
-                [batch.column("row"), batch.column("doc_id"), *[pa.array(numbers[:, k]) for k in range(4)],
-                 pa.array(digests, pa.string()), listed(codes, pa.int64()), listed(times, pa.int32())],
+                [batch.column("row"), batch.column("doc_id"), *map(pa.array, (one.n_a, one.n_b, one.n_groups, links)),
+                 pa.array(digests, pa.string()), pa.ListArray.from_arrays(offsets, pa.array(code)),
+                 pa.ListArray.from_arrays(offsets, pa.array(times.astype(np.int32)))],
                 names=["row", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs", "times"])
 
         for batch in batches:

@@ -95,7 +95,12 @@ def test_encoding_equals_the_plain_libraries(text):
         first = first_tokenizer(f.read())
     if not text:
         return
-    assert pair.encode(text) == (first.encode(" " + text, add_special_tokens=False).ids, pair.second.encode(text))
+    a, b, n_a, n_b = pair.encode([text, None, "", text])
+    want = first.encode(" " + text, add_special_tokens=False).ids, pair.second.encode(text)
+    if tokens((first, pair.second), text) is None:
+        assert a.tolist() == b.tolist() == [] and n_a.tolist() == n_b.tolist() == [0] * 4
+    else:
+        assert (a.tolist(), b.tolist()) == (want[0] * 2, want[1] * 2) and n_a.tolist() == [len(want[0]), 0, 0, len(want[0])]
 
 
 _kept = {}
