@@ -148,7 +148,7 @@ def _first_windows(f: DataFrame, cfg: DetectionConfig) -> DataFrame:
 
 def legacy_brute_force_evidence(events: DataFrame, config: DetectionConfig | None = None) -> DataFrame:
     """G3 evidence as a long table: ``user, ip, start_us, timestamp, event`` for every failure of a finding's
-    window, joined by group and time bucket, so a hot group is spread over its buckets."""
+    window; the starts are sorted in among the failures (:func:`burst_members`), so a hot group is spread."""
     cfg = config or DetectionConfig()
     w_us = cfg.brute_force_window_minutes * 60 * 1_000_000
     f = stored(_failures(events), "legacy-failures")
@@ -210,8 +210,7 @@ def legacy_web_attacks(events: DataFrame) -> DataFrame:
                               F.lit(0.9), F.array(event_json()), iso, iso))
 
 
-def legacy_impossible_travel(events: DataFrame, config: DetectionConfig | None = None,
-                             bucket_seconds: int = 3600) -> DataFrame:
+def legacy_impossible_travel(events: DataFrame, config: DetectionConfig | None = None) -> DataFrame:
     """First qualifying consecutive pair per user."""
     cfg = config or DetectionConfig()
     e = events.filter(F.col("event_type").isin("login_success", "auth_success")
@@ -219,7 +218,7 @@ def legacy_impossible_travel(events: DataFrame, config: DetectionConfig | None =
     # ties of time keep arrival order; without it, the order of the record's own text
     seq = F.col("ingest_seq") if "ingest_seq" in events.columns else F.struct(*LEGACY_COLS)
     e = stored(e.select(*LEGACY_COLS, F.unix_micros("timestamp").alias("_us"), seq.alias("_seq")), "legacy-logins")
-    p = S.lag_by_key(e, ["user"], ["_us", "_seq"], "_us", ["_us", *LEGACY_COLS], bucket_seconds * 1_000_000)
+    p = S.lag_by_key(e, ["user"], ["_us", "_seq"], ["_us", *LEGACY_COLS])
     p = p.filter(F.col("prev__us").isNotNull())
     delta = F.col("_us") - F.col("prev__us")
     p = p.filter((delta < cfg.impossible_travel_min_minutes * 60 * 1_000_000) & (F.col("prev_ip") != F.col("ip")))

@@ -26,13 +26,11 @@ class BruteForce(Rule):
     default_severity = "high"
     description = "Bursts of failed logins: one address, one account, at least the threshold within the window."
 
-    def __init__(self, threshold: int = 5, window_seconds: int = 600, severity: str | None = None,
-                 bucket_seconds: int | None = None) -> None:
+    def __init__(self, threshold: int = 5, window_seconds: int = 600, severity: str | None = None) -> None:
         super().__init__(severity)
         self.threshold = int(threshold)
         self.window_seconds = int(window_seconds)
         self.window_us = self.window_seconds * 1_000_000
-        self.bucket_us = S.checked_bucket(bucket_seconds and bucket_seconds * 1_000_000, self.window_us)
 
     def members(self, events: DataFrame) -> DataFrame:
         """Failed logins that fall in a picked burst, with the burst's ``start_us``.
@@ -45,8 +43,8 @@ class BruteForce(Rule):
         if memo is not None and memo[0] is events:  # alerts() and evidence() on the same input
             return memo[1]
         f = stored(failed_logins(events).withColumn("_us", F.unix_micros("timestamp")), "failed-logins")
-        bursts = S.greedy_bursts(f, KEYS, "_us", self.window_us, self.threshold, self.bucket_us)
-        out = S.burst_members(f, bursts, KEYS, "_us", self.window_us, self.bucket_us)
+        bursts = S.greedy_bursts(f, KEYS, "_us", self.window_us, self.threshold)
+        out = S.burst_members(f, bursts, KEYS, "_us", self.window_us)
         self._memo = (events, out)
         return out
 

@@ -21,11 +21,10 @@ class CredentialStuffing(Rule):
     default_severity = "critical"
     description = "A login that succeeds from an address which failed to log in shortly before."
 
-    def __init__(self, window_seconds: int = 300, bucket_seconds: int | None = None) -> None:
+    def __init__(self, window_seconds: int = 300) -> None:
         super().__init__()
         self.window_seconds = int(window_seconds)
         self.window_us = self.window_seconds * 1_000_000
-        self.bucket_us = S.checked_bucket(bucket_seconds and bucket_seconds * 1_000_000, self.window_us)
 
     def _logins(self, events: DataFrame) -> DataFrame:
         e = events.filter((F.col("event_action") == "login") & (F.col("source_ip") != ""))
@@ -36,7 +35,7 @@ class CredentialStuffing(Rule):
         e = self._logins(events)
         out = S.trailing_counts(e, ["source_ip"], "_us", "_seq",
                                 F.col("event_outcome") == "success", F.col("event_outcome") == "failure",
-                                self.window_us, self.bucket_us)
+                                self.window_us)
         return out.filter(F.col("n") > 0)
 
     def _id(self):
@@ -64,7 +63,7 @@ class CredentialStuffing(Rule):
         such success (``next_us``, ``next_seq``)."""
         e = S.next_within(self._logins(events), ["source_ip"], "_us", "_seq",
                           F.col("event_outcome") == "failure", F.col("event_outcome") == "success",
-                          ["_us", "_seq"], self.window_us, self.bucket_us)
+                          ["_us", "_seq"], self.window_us)
         return e.filter(F.col("next_us").isNotNull())
 
     def intervals(self, events: DataFrame) -> DataFrame:

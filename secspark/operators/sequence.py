@@ -1,18 +1,26 @@
-"""Per-key time-sequence operators that stay parallel when one key is hot.
-
-The rules ask per-key questions over time: "how many failures from this key
-in the next W seconds", "what was this user's previous login", "which greedy
-bursts does a key produce".  A plain ``Window.partitionBy(key)`` sends a key
-to one task, which breaks when one key carries a third of the data.  Here
-every window is partitioned by ``(key, time bucket)`` instead, and the few
-rows a bucket needs from its neighbour (its *halo*) are copied into it.
-Only running frames (``UNBOUNDED PRECEDING .. CURRENT ROW``) and ``lag`` are
-used, so each window pass is linear after the sort; sliding ``RANGE``
-frames, which Spark re-aggregates per row, are avoided.
+"""Per-key time-sequence operators that stay parallel when one key, or one moment, is hot.
+
+The rules ask per-key questions over time: "how many failures from this key in the next W
+seconds", "what was this user's previous login", "which greedy bursts does a key produce".  A plain
+``Window.partitionBy(key)`` sends a key to one task, and a window per key and time bucket sends a
+spike to one task.  Here time plays no part in the split: rows are range-partitioned by (key, order)
+into chunks of about equal *row counts* (:func:`in_chunks`), and every question is put as running
+sums and running last values (:func:`running`) in two levels:
+
+1. inside a chunk, one window per (chunk, key), with running frames only;
+2. between chunks, one row per (chunk, key) with the chunk's sum or last value; a window over
+   those rows gives what a chunk is *carried* from the chunks before it.  Chunks are ranges, so at
+   most one key runs on into a chunk: the carries are at most one row per chunk and
+   direction, whatever the data, and are broadcast.
+
+A count over ``[t, t + W]`` is then the difference of two running sums, one looked up by a probe row
+that is sorted in at ``t + W``.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,66 +28,100 @@ from ..session import stored
 
 UNB = Window.unboundedPreceding
 CUR = Window.currentRow
+#: Chunks per shuffle partition: chunks are dealt to tasks by hash, so a task gets several small ones.
+CHUNKS = 8
 
 
-def bucket_of(us: Column, bucket_us: int) -> Column:
-    return F.floor(us / F.lit(bucket_us)).cast("bigint")
+@dataclass
+class Run:
+    """A running value: the ``sum`` of a column, or the ``last`` one that is not null."""
 
+    value: Column
+    how: str = "sum"
+    back: bool = False  # from a key's last row to its first
+    own: bool = True  # does a row's own value count
 
-def choose_bucket(window_us: int, factor: int = 16, floor_us: int = 3_600_000_000) -> int:
-    """Bucket width: a multiple of the rule window (halo copies stay a small fraction)."""
-    return max(factor * int(window_us), floor_us, 2 * int(window_us) + 1)
 
+def in_chunks(df: DataFrame, keys: list[str], order: list[str], chunks: int | None = None) -> DataFrame:
+    """The rows with ``_chunk``: ranges of (keys, order) of about equal row counts, numbered in that order.
 
-def checked_bucket(bucket_us: int | None, window_us: int) -> int:
-    """The caller's bucket width, or the default one; narrower than ``2 W + 1`` would lose rows."""
-    if bucket_us is None:
-        return choose_bucket(window_us)
-    if bucket_us < 2 * window_us + 1:
-        raise ValueError(f"bucket of {bucket_us} us is too narrow: at least 2 * window + 1 = {2 * window_us + 1} us")
-    return int(bucket_us)
+    Rows that tie in keys and order share a chunk.  Written to the shared folder, which fixes
+    the numbers and cuts the lineage; a task writes several neighbouring chunks to one file.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartitionByRange(chunks or CHUNKS * parts, *[F.col(f"`{c}`") for c in [*keys, *order]])
+    return stored(dealt.withColumn("_chunk", F.spark_partition_id()).coalesce(parts), "chunks")
+
+
+def running(rows: DataFrame, keys: list[str], order: list[str], runs: dict[str, Run]) -> DataFrame:
+    """Add running values per key, in ``order``, to the rows of :func:`in_chunks`."""
+    part, place = ["_chunk", *keys], F.struct(*order)
+    values = {name: f"_value_{k}" for k, name in enumerate(runs)}
+    d = rows.withColumns({values[n]: r.value for n, r in runs.items()})
+
+    def whole(name: str, r: Run) -> Column:
+        v = F.col(values[name])
+        if r.how == "sum":
+            return F.sum(v).alias(name)
+        at = F.when(v.isNotNull(), place)  # rows without a value do not count
+        return (F.min_by(v, at) if r.back else F.max_by(v, at)).alias(name)
+
+    of_chunk = d.groupBy(*part).agg(*[whole(n, r) for n, r in runs.items()])
+    carries = {}
+    for name, r in runs.items():
+        before = Window.partitionBy(*keys).orderBy(F.desc("_chunk") if r.back else "_chunk").rowsBetween(UNB, -1)
+        carries[f"_carry_{name}"] = F.sum(name).over(before) if r.how == "sum" else F.last(name, ignorenulls=True).over(before)
+    carried = of_chunk.select(*part, *[c.alias(n) for n, c in carries.items()])
+    carried = carried.filter(" or ".join(f"{n} is not null" for n in carries))
+    carried = carried.select(*[F.col(c).alias(f"_at_{c}") for c in part], *carries)
+
+    for back in (False, True):
+        mine = {n: r for n, r in runs.items() if r.back is back}
+        if not mine:
+            continue
+        w = Window.partitionBy(*part).orderBy(*[F.desc(c) if back else F.asc(c) for c in order])
+        found = {}
+        for name, r in mine.items():
+            v, frame = F.col(values[name]), w.rowsBetween(UNB, CUR if r.own else -1)
+            found[name] = F.sum(v).over(frame) if r.how == "sum" else F.last(v, ignorenulls=True).over(frame)
+        d = d.withColumns(found)
+    same = [F.col(c).eqNullSafe(F.col(f"_at_{c}")) for c in part]
+    out = d.join(F.broadcast(carried), same, "left")  # at most one row per chunk and direction
+    none = F.lit(0)
+    return out.select(*rows.columns, *[
+        (F.coalesce(name, none) + F.coalesce(f"_carry_{name}", none) if r.how == "sum"
+         else F.coalesce(name, f"_carry_{name}")).alias(name) for name, r in runs.items()])
 
 
 # --------------------------------------------------------------------------
 # Forward window counts: n(t) = #rows of the key with time in [t, t + W]
 # --------------------------------------------------------------------------
-def forward_counts(df: DataFrame, keys: list[str], us: str, window_us: int,
-                   bucket_us: int | None = None) -> DataFrame:
+def forward_counts(df: DataFrame, keys: list[str], us: str, window_us: int, chunks: int | None = None) -> DataFrame:
     """One row per key and distinct time: ``(keys, us, n)`` with ``n`` = rows of the key in ``[us, us + W]``.
 
-    Rows are first counted per tick, with map-side combine: an attack that
-    piles rows onto few ticks costs its distinct ticks, not its rows.  Each
-    tick is placed in bucket ``b``; ticks in the first ``W`` of a bucket are
-    also copied into ``b - 1`` as halo.  A probe per tick is merged in and two
-    running sums over the same partitioning give
-    ``n = #(time <= t + W) - #(time < t)`` without another shuffle.
+    Rows are first counted per tick, with map-side combine: an attack that piles rows onto few
+    ticks costs its distinct ticks, not its rows.  Each tick is sorted in twice, as itself and as a
+    probe at ``t + W`` (after the tick of that time), and
+    ``n = #(time <= t + W) - #(time < t)`` adds up the two running sums per tick.
     """
-    B = checked_bucket(bucket_us, window_us)
-    t, b = F.col("_t"), bucket_of(F.col("_t"), B)
+    t = F.col("_t")
     ticks = df.select(*keys, F.col(us).alias("_t")).groupBy(*keys, "_t").agg(F.count(F.lit(1)).alias("_c"))
 
-    def place(group: Column, time: Column, kind: int, weight: Column) -> Column:
-        return F.struct(group.alias("_g"), time.alias("_time"), F.lit(kind).alias("_kind"), weight.alias("_w"))
+    def placed(time: Column, kind: int, weight: Column) -> Column:
+        return F.struct(time.alias("_time"), F.lit(kind).alias("_kind"), weight.alias("_w"))
 
-    none = F.lit(0).cast("bigint")
-    placed = F.array(place(b, t, 0, F.col("_c")), place(b, t + window_us, 1, none),
-                     F.when(t - b * B <= window_us, place(b - 1, t, 0, F.col("_c"))))
-    u = ticks.select(*keys, F.col("_t").alias("_o"), F.inline(F.array_compact(placed)))
-    part = [*keys, "_g"]
-    # ordering 1: data before probe at equal time -> #data with time <= t + W
-    w1 = Window.partitionBy(*part).orderBy("_time", "_kind").rowsBetween(UNB, CUR)
-    # ordering 2: probes keyed by their origin, before data at equal time -> #data with time < t
-    w2 = Window.partitionBy(*part).orderBy("_o", F.col("_kind").desc()).rowsBetween(UNB, CUR)
-    u = u.withColumn("_le", F.sum("_w").over(w1)).withColumn("_lt", F.sum("_w").over(w2))
-    return (u.filter(F.col("_kind") == 1)
-             .select(*keys, F.col("_o").alias(us), (F.col("_le") - F.col("_lt")).alias("n")))
+    both = F.array(placed(t, 0, F.col("_c")), placed(t + window_us, 1, F.lit(0).cast("bigint")))
+    rows = in_chunks(ticks.select(*keys, t.alias("_o"), F.inline(both)), keys, ["_time", "_kind"], chunks)
+    s = running(rows, keys, ["_time", "_kind"], {"_sum": Run(F.col("_w"))})
+    part = F.when(F.col("_kind") == 1, F.col("_sum")).otherwise(F.col("_w") - F.col("_sum"))
+    return s.groupBy(*keys, "_o").agg(F.sum(part).alias("n")).select(*keys, F.col("_o").alias(us), "n")
 
 
 # --------------------------------------------------------------------------
 # Greedy non-overlapping bursts (BF-001, G1)
 # --------------------------------------------------------------------------
 def greedy_bursts(df: DataFrame, keys: list[str], us: str, window_us: int, threshold: int,
-                  bucket_us: int | None = None) -> DataFrame:
+                  chunks: int | None = None) -> DataFrame:
     """Start times of the bursts a greedy left-to-right scan picks, per key.
 
     Scan semantics: from the current row ``i`` the window holds every row with
@@ -94,36 +136,23 @@ def greedy_bursts(df: DataFrame, keys: list[str], us: str, window_us: int, thres
 
     Returns ``(keys, start_us, n)``.
     """
-    B = checked_bucket(bucket_us, window_us)
-    cand = forward_counts(df, keys, us, window_us, B).filter(F.col("n") >= threshold)
-    cand = stored(cand.select(*keys, F.col(us).alias("_t"), "n"), "candidates")
-    cand = cand.withColumn("_b", bucket_of(F.col("_t"), B))
-
-    # candidates + right halo (first 2W of the next bucket) + left halo (last W of the previous)
-    own = cand.select(*keys, "_t", "n", F.col("_b").alias("_g"), F.lit(True).alias("_own"))
-    right = (cand.filter(F.col("_t") - F.col("_b") * B <= 2 * window_us)
-                 .select(*keys, "_t", "n", (F.col("_b") - 1).alias("_g"), F.lit(False).alias("_own")))
-    left = (cand.filter((F.col("_b") + 1) * B - F.col("_t") <= window_us)
-                .select(*keys, "_t", "n", (F.col("_b") + 1).alias("_g"), F.lit(False).alias("_own")))
-    rows = own.unionByName(right).unionByName(left).select(
-        *keys, "_g", "_own", "n", F.col("_t").alias("_time"), F.lit(0).alias("_kind"), F.col("_t").alias("_ct"))
-    probes = own.select(*keys, "_g", "_own", "n", (F.col("_t") + window_us).alias("_time"),
-                        F.lit(1).alias("_kind"), F.lit(None).cast("bigint").alias("_ct"),
-                        F.col("_t").alias("_origin"))
-    u = rows.withColumn("_origin", F.col("_ct")).unionByName(probes)
-    part = [*keys, "_g"]
-    w_prev = Window.partitionBy(*part).orderBy("_time", "_kind").rowsBetween(UNB, -1)
-    u = u.withColumn("_prev", F.last("_ct", ignorenulls=True).over(w_prev))
-    u = u.withColumn("_head", F.col("_prev").isNull() | (F.col("_time") - F.col("_prev") > window_us))
-    w_next = Window.partitionBy(*part).orderBy(F.col("_time").desc(), F.col("_kind").desc()).rowsBetween(UNB, CUR)
-    u = u.withColumn("_nx", F.last(F.when(F.col("_kind") == 0, F.struct(F.col("_ct").alias("t"), F.col("_head").alias("h"))),
-                                   ignorenulls=True).over(w_next))
-    heads = u.filter((F.col("_kind") == 0) & F.col("_own")).select(*keys, F.col("_ct").alias("_t"), "n", "_head")
-    nxt = (u.filter(F.col("_kind") == 1)
-            .select(*keys, F.col("_origin").alias("_t"),
-                    F.when(F.col("_nx").isNotNull() & ~F.col("_nx.h") & (F.col("_nx.t") <= F.col("_origin") + 2 * window_us),
-                           F.col("_nx.t")).alias("_j")))
-    nodes = heads.join(nxt, [*keys, "_t"], "left")
+    cand = forward_counts(df, keys, us, window_us, chunks).filter(F.col("n") >= threshold)
+    t = F.col(us)
+    both = F.array(F.struct(t.alias("_time"), F.lit(0).alias("_kind"), t.alias("_ct")),
+                   F.struct((t + window_us).alias("_time"), F.lit(1).alias("_kind"), F.lit(None).cast("bigint").alias("_ct")))
+    order = ["_time", "_kind"]
+    rows = in_chunks(cand.select(*keys, t.alias("_t"), "n", F.inline(both)), keys, order, chunks)
+    # a candidate's previous one; a probe's next one, which stands after the candidate at t + W itself
+    s = running(rows, keys, order, {"_prev": Run(F.col("_ct"), "last", own=False),
+                                    "_next": Run(F.col("_ct"), "last", back=True, own=False)})
+    nodes = s.groupBy(*keys, "_t").agg(
+        F.max("n").alias("n"), F.max(F.when(F.col("_kind") == 0, F.col("_prev"))).alias("_prev"),
+        F.max(F.when(F.col("_kind") == 1, F.col("_next"))).alias("_j"))
+    nodes = nodes.withColumn("_head", F.col("_prev").isNull() | (F.col("_t") - F.col("_prev") > window_us))
+    # A next start that is a head is picked anyway: its previous candidate lies more than W before it.
+    heads = nodes.select(*keys, F.col("_t").alias("_j"), F.col("_head").alias("_stop"))
+    nodes = nodes.join(heads, [*keys, "_j"], "left").select(
+        *keys, "_t", "n", "_head", F.when(~F.col("_stop"), F.col("_j")).alias("_j"))
     return _follow_chains(nodes, keys).select(*keys, F.col("_t").alias("start_us"), "n")
 
 
@@ -152,101 +181,84 @@ def _follow_chains(nodes: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def burst_members(rows: DataFrame, bursts: DataFrame, keys: list[str], us: str, window_us: int,
-                  bucket_us: int | None = None) -> DataFrame:
+                  chunks: int | None = None) -> DataFrame:
     """Attach ``start_us`` of the burst each row belongs to (inner: members only).
 
-    Bursts of one key are more than ``W`` apart, so a bucket of width ``B``
-    meets at most ``B / W + 2`` of them: the equi-join on ``(key, bucket)``
-    has a bounded fan-out before the range filter.
+    The bursts' starts are sorted in among the rows, and each row takes the last start before it:
+    bursts of one key do not overlap, so no other can hold the row.  Not a join, so neither a key nor
+    a moment with many rows is hot (``_tie`` spreads the rows of one moment).
     """
-    B = checked_bucket(bucket_us, window_us)
-    b = bursts.withColumn("_g", bucket_of(F.col("start_us"), B))
-    # a burst starting late in bucket g also covers the start of bucket g + 1
-    b = b.unionByName(b.filter((F.col("_g") + 1) * B - F.col("start_us") <= window_us)
-                       .withColumn("_g", F.col("_g") + 1))
-    r = rows.withColumn("_g", bucket_of(F.col(us), B))
-    return (r.join(b.select(*keys, "_g", "start_us"), [*keys, "_g"])
-             .filter((F.col(us) >= F.col("start_us")) & (F.col(us) <= F.col("start_us") + window_us))
-             .drop("_g"))
+    payload = [c for c in rows.columns if c not in keys]
+    r = rows.select(*keys, F.col(us).alias("_time"), F.lit(1).alias("_kind"), F.monotonically_increasing_id().alias("_tie"),
+                    F.lit(None).cast("bigint").alias("_start"), F.struct(*payload).alias("_row"))
+    b = bursts.select(*keys, F.col("start_us").alias("_time"), F.lit(0).alias("_kind"), F.lit(0).cast("bigint").alias("_tie"),
+                      F.col("start_us").alias("_start"), F.lit(None).cast(r.schema["_row"].dataType).alias("_row"))
+    order = ["_time", "_kind", "_tie"]
+    s = running(in_chunks(r.unionByName(b), keys, order, chunks), keys, order, {"start_us": Run(F.col("_start"), "last")})
+    s = s.filter((F.col("_kind") == 1) & (F.col("_time") <= F.col("start_us") + window_us))
+    return s.select(*keys, "_row.*", "start_us").select(*rows.columns, "start_us")
 
 
 # --------------------------------------------------------------------------
-# Previous row per key (IT-001, legacy travel): two-level lag
+# Previous row per key (IT-001, legacy travel)
 # --------------------------------------------------------------------------
-def lag_by_key(df: DataFrame, keys: list[str], order: list[str], us: str, payload: list[str],
-               bucket_us: int = 3_600_000_000, prefix: str = "prev_") -> DataFrame:
-    """Add ``prev_<col>`` for each payload column: the previous row of the same key.
-
-    One window pass per ``(key, bucket)`` gives each row its in-bucket ``lag``
-    and the bucket's last row.  The first row of each bucket (one row per key
-    and bucket) then takes, by a ``lag`` over those first rows per key, the
-    last row of the nearest earlier non-empty bucket.  A hot key is spread
-    over its buckets; only the one-row-per-bucket step is keyed by key alone.
+def lag_by_key(df: DataFrame, keys: list[str], order: list[str], payload: list[str], prefix: str = "prev_",
+               chunks: int | None = None) -> DataFrame:
+    """Add ``prev_<col>`` for each payload column: the previous row of the same key (null for the first).
+
+    A chunk's first row of a key takes the last row of the chunks before.
     """
-    d = df.withColumn("_g", bucket_of(F.col(us), bucket_us))
-    w = Window.partitionBy(*keys, "_g").orderBy(*order)
-    w_all = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    pl = F.struct(*[F.col(c) for c in payload])
-    d = (d.withColumn("_prev", F.lag(pl).over(w)).withColumn("_rn", F.row_number().over(w))
-          .withColumn("_last", F.last(pl).over(w_all)))
-    firsts = d.filter(F.col("_rn") == 1)
-    firsts = firsts.withColumn("_prev", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_g")))
-    out = firsts.unionByName(d.filter(F.col("_rn") > 1))
-    return out.select(*df.columns, *[F.col(f"_prev.{c}").alias(prefix + c) for c in payload])
+    rows = in_chunks(df.withColumn("_tie", F.monotonically_increasing_id()), keys, [*order, "_tie"], chunks)
+    s = running(rows, keys, [*order, "_tie"], {"_prev": Run(F.struct(*payload), "last", own=False)})
+    return s.select(*df.columns, *[F.col(f"_prev.{c}").alias(prefix + c) for c in payload])
 
 
 # --------------------------------------------------------------------------
 # Trailing band counts (CS-001): events of one kind in [t - W, t) before each probe row
 # --------------------------------------------------------------------------
 def trailing_counts(df: DataFrame, keys: list[str], us: str, seq: str, is_probe: Column,
-                    is_counted: Column, window_us: int, bucket_us: int | None = None) -> DataFrame:
+                    is_counted: Column, window_us: int, chunks: int | None = None) -> DataFrame:
     """For probe rows: ``n`` = counted rows earlier in (time, seq) order with
     ``time >= t - W``, and ``first_us`` = the earliest such time.
 
-    Counted rows in the last ``W`` of a bucket are copied into the next bucket
-    as halo; three running windows over one partitioning give the answer.
+    A probe is sorted in twice: where it stands, and before every row of time ``t - W``.  The
+    difference of the running counts is ``n``; the next counted time from the second place on is ``first_us``.
     """
-    B = checked_bucket(bucket_us, window_us)
     d = df.withColumn("_probe", is_probe).withColumn("_cnt", is_counted & ~F.col("_probe"))
-    d = d.filter(F.col("_probe") | F.col("_cnt")).withColumn("_b", bucket_of(F.col(us), B))
-    own = d.withColumn("_g", F.col("_b")).withColumn("_own", F.lit(True))
-    halo = (d.filter(F.col("_cnt") & ((F.col("_b") + 1) * B - F.col(us) <= window_us))
-             .withColumn("_g", F.col("_b") + 1).withColumn("_own", F.lit(False)))
-    u = own.unionByName(halo)
-    u = u.withColumn("_c", F.col("_cnt").cast("int"))
-    # sort key 2: counted rows by time, probes by (time - W) placed before counted rows at equal key
-    u = u.withColumn("_k2", F.when(F.col("_probe"), F.col(us) - window_us).otherwise(F.col(us)))
-    u = u.withColumn("_k2o", F.when(F.col("_probe"), F.lit(0)).otherwise(F.lit(1)))
-    part = [*keys, "_g"]
-    w1 = Window.partitionBy(*part).orderBy(us, seq).rowsBetween(UNB, CUR)
-    w2 = Window.partitionBy(*part).orderBy("_k2", "_k2o").rowsBetween(UNB, CUR)
-    w3 = Window.partitionBy(*part).orderBy(F.col("_k2").desc(), F.col("_k2o").desc()).rowsBetween(UNB, CUR)
-    u = (u.withColumn("_le", F.sum("_c").over(w1))
-          .withColumn("_lt", F.sum("_c").over(w2))
-          .withColumn("first_us", F.last(F.when(F.col("_cnt"), F.col(us)), ignorenulls=True).over(w3)))
-    out = u.filter(F.col("_probe") & F.col("_own")).withColumn("n", F.col("_le") - F.col("_lt"))
-    return out.withColumn("first_us", F.when(F.col("n") > 0, F.col("first_us"))).drop(
-        "_probe", "_cnt", "_b", "_g", "_own", "_c", "_k2", "_k2o", "_le", "_lt")
+    d = d.filter(F.col("_probe") | F.col("_cnt")).withColumn("_tie", F.monotonically_increasing_id())
+    t, whole = F.col(us), F.struct(*[F.col(c) for c in df.columns if c not in keys])
+
+    def placed(time: Column, kind: int, own_seq: Column, row: Column) -> Column:
+        return F.struct(time.alias("_time"), F.lit(kind).alias("_kind"), own_seq.alias("_seq2"), row.alias("_row"))
+
+    seq_type, row_type = d.schema[seq].dataType, d.select(whole.alias("r")).schema["r"].dataType
+    none = F.lit(None).cast(row_type)
+    here = placed(t, 1, F.col(seq), F.when(F.col("_probe"), whole).otherwise(none))
+    back = placed(t - window_us, 0, F.lit(None).cast(seq_type), none)
+    u = d.select(*keys, "_cnt", "_tie", F.inline(F.when(F.col("_probe"), F.array(here, back)).otherwise(F.array(here))))
+    order = ["_time", "_kind", "_seq2", "_tie"]
+    s = running(in_chunks(u, keys, order, chunks), keys, order, {
+        "_sum": Run(F.col("_cnt").cast("bigint")),
+        "_first": Run(F.when(F.col("_cnt"), F.col("_time")), "last", back=True)}).filter(~F.col("_cnt"))
+    at = F.col("_kind") == 1
+    n = s.groupBy("_tie").agg(F.sum(F.when(at, F.col("_sum")).otherwise(-F.col("_sum"))).alias("n"),
+                              F.max(F.when(~at, F.col("_first"))).alias("first_us"),
+                              *[F.max(F.when(at, F.col(k))).alias(k) for k in keys],
+                              F.first(F.when(at, F.col("_row")), ignorenulls=True).alias("_row"))
+    out = n.select(*keys, "_row.*", "n", F.when(F.col("n") > 0, F.col("first_us")).alias("first_us"))
+    return out.select(*df.columns, "n", "first_us")
 
 
 # --------------------------------------------------------------------------
 # Next row of a kind within W (CS-001 evidence)
 # --------------------------------------------------------------------------
 def next_within(df: DataFrame, keys: list[str], us: str, seq: str, is_probe: Column, is_target: Column,
-                payload: list[str], window_us: int, bucket_us: int | None = None) -> DataFrame:
-    """For probe rows: ``next_<col>`` of the first target later in (time, seq) order, if it is within ``W``.
-
-    Targets in the first ``W`` of a bucket are copied into the bucket before;
-    one running window per ``(key, bucket)``, so rows in are rows out.
-    """
-    B = checked_bucket(bucket_us, window_us)
+                payload: list[str], window_us: int, chunks: int | None = None) -> DataFrame:
+    """For probe rows: ``next_<col>`` of the first target later in (time, seq) order, if it is within ``W``."""
     d = df.withColumn("_probe", is_probe).withColumn("_target", is_target & ~F.col("_probe"))
-    d = d.filter(F.col("_probe") | F.col("_target"))
-    b = bucket_of(F.col(us), B)
-    early = F.col("_target") & (F.col(us) - b * B <= window_us)
-    d = d.withColumn("_g", F.explode(F.when(early, F.array(b, b - 1)).otherwise(F.array(b))))
-    w = Window.partitionBy(*keys, "_g").orderBy(F.col(us).desc(), F.col(seq).desc()).rowsBetween(UNB, CUR)
-    found = F.last(F.when(F.col("_target"), F.struct(*[F.col(c) for c in payload])), ignorenulls=True).over(w)
-    d = d.withColumn("_next", found).filter("_probe")
+    d = d.filter(F.col("_probe") | F.col("_target")).withColumn("_tie", F.monotonically_increasing_id())
+    order = [us, seq, "_tie"]
+    target = F.when(F.col("_target"), F.struct(*[F.col(c) for c in payload]))
+    s = running(in_chunks(d, keys, order, chunks), keys, order, {"_next": Run(target, "last", back=True)}).filter("_probe")
     near = F.col(f"_next.{us}") <= F.col(us) + window_us
-    return d.select(*df.columns, *[F.when(near, F.col(f"_next.{c}")).alias("next_" + c.lstrip("_")) for c in payload])
+    return s.select(*df.columns, *[F.when(near, F.col(f"_next.{c}")).alias("next_" + c.lstrip("_")) for c in payload])

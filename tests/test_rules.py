@@ -68,7 +68,7 @@ def test_bf_random_vs_scan(spark):
     rnd = random.Random(11)
     rows = [fail(f"u{rnd.randrange(3)}", "9.9.9.9", at(rnd.randrange(5000))) for _ in range(400)]
     got = sorted((ctx(r)["user"], ctx(r)["failed_attempts"]) for r in
-                 BruteForce(threshold=4, window_seconds=60, bucket_seconds=150).alerts(make_events(spark, rows)).collect())
+                 BruteForce(threshold=4, window_seconds=60).alerts(make_events(spark, rows)).collect())
     want = []
     for u in {r["user_name"] for r in rows}:
         ts = [int((r["timestamp"] - at(0)).total_seconds()) for r in rows if r["user_name"] == u]
