@@ -37,9 +37,21 @@ def computed_once(df, **cols: Column):
     return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in cols.items()]))))
 
 
+def bound(value: Column, body) -> Column:
+    """``body(value)`` with the value evaluated once, however often the body names it.
+
+    A one-element ``transform``: Catalyst does not substitute through the lambda, so generated code
+    holds the value once, where copies of a nested expression would grow past what a method can hold.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def lit_map(d: dict) -> Column:
-    """A literal MAP from a small fixed dict (constant size, folded by Catalyst)."""
-    return F.create_map(*[x for k, v in d.items() for x in (F.lit(k), F.lit(v))])
+    """A literal MAP from a small fixed dict, folded into one constant.
+
+    (A lookup in ``create_map`` of literals is rewritten into a ``CASE`` with a branch per entry.)
+    """
+    return F.map_from_arrays(F.array(*[F.lit(k) for k in d]), F.array(*[F.lit(v) for v in d.values()]))
 
 
 # --------------------------------------------------------------------------
@@ -151,15 +163,12 @@ IPV6_RE = ("^(" + "|".join([
 def ipv4_value(ip) -> Column:
     """32-bit value of a dotted quad (null when not a valid IPv4 address): four parts of one
     to three digits without leading zeros, none above 255."""
-    parts = F.split(col(ip), r"\.", -1)
-
-    def part(i: int) -> Column:
-        text = F.get(parts, F.lit(i))
+    def part(text: Column) -> Column:
         n = text.try_cast("int")
         return F.when(n.between(0, 255) & (n.cast("string") == text), n.cast("bigint"))
 
-    v = part(0) * (1 << 24) + part(1) * (1 << 16) + part(2) * (1 << 8) + part(3)
-    return F.when(F.size(parts) == 4, v)
+    parts = F.transform(F.split(col(ip), r"\.", -1), part)
+    return F.when(F.size(parts) == 4, F.aggregate(parts, F.lit(0).cast("bigint"), lambda v, p: v * 256 + p))
 
 
 def _ip_to_int(s: str) -> int:
@@ -181,17 +190,19 @@ def is_private_v4(v: Column) -> Column:
 def country_of_ip(ip) -> Column:
     """null/invalid -> null; private, loopback or IPv6 -> ZZ; first octet table; else XX."""
     ip = col(ip)
-    v = ipv4_value(ip)
-    octet = F.floor(v / (1 << 24)).cast("int")
-    by_octet = F.coalesce(lit_map(K.OCTET_TO_COUNTRY)[octet], F.lit("XX"))
-    return (F.when(ip.isNull() | (ip == ""), F.lit(None).cast("string"))
-             .when(v.isNotNull(), F.when(is_private_v4(v), F.lit("ZZ")).otherwise(by_octet))
-             .when(ip.rlike(IPV6_RE), F.lit("ZZ")))
+
+    def located(v: Column) -> Column:
+        by_octet = F.coalesce(lit_map(K.OCTET_TO_COUNTRY)[F.floor(v / (1 << 24)).cast("int")], F.lit("XX"))
+        return (F.when(ip.isNull() | (ip == ""), F.lit(None).cast("string"))
+                 .when(v.isNotNull(), F.when(is_private_v4(v), F.lit("ZZ")).otherwise(by_octet))
+                 .when(ip.rlike(IPV6_RE), F.lit("ZZ")))
+
+    return bound(ipv4_value(ip), located)
 
 
 def _coords_map(d: dict) -> Column:
-    return F.create_map(*[x for k, (la, lo) in d.items()
-                          for x in (F.lit(k), F.struct(F.lit(la).alias("lat"), F.lit(lo).alias("lon")))])
+    return F.map_from_arrays(F.array(*[F.lit(k) for k in d]),
+                             F.array(*[F.struct(F.lit(la).alias("lat"), F.lit(lo).alias("lon")) for la, lo in d.values()]))
 
 
 def country_coords(cc) -> Column:

@@ -223,13 +223,12 @@ def legacy_impossible_travel(events: DataFrame, config: DetectionConfig | None =
     delta = F.col("_us") - F.col("prev__us")
     p = p.filter((delta < cfg.impossible_travel_min_minutes * 60 * 1_000_000) & (F.col("prev_ip") != F.col("ip")))
     ca, cb = X.legacy_country_of_ip("prev_ip"), X.legacy_country_of_ip("ip")
-    p = p.withColumn("_ca", ca).withColumn("_cb", cb)
+    p = X.computed_once(p, _ca=ca, _cb=cb)
     p = p.filter(F.col("_ca").isNotNull() & F.col("_cb").isNotNull() & ~F.col("_ca").isin("ZZ", "XX")
                  & ~F.col("_cb").isin("ZZ", "XX") & (F.col("_ca") != F.col("_cb")))
-    a, b = X.legacy_country_coords("_ca"), X.legacy_country_coords("_cb")
-    p = p.filter(a.isNotNull() & b.isNotNull())
-    dist = X.haversine_km(a["lat"], a["lon"], b["lat"], b["lon"])
-    p = p.withColumn("_d", dist).withColumn("_dh", delta / 3.6e9)
+    dist = X.bound(X.legacy_country_coords("_ca"), lambda a: X.bound(X.legacy_country_coords("_cb"), lambda b: F.when(
+        a.isNotNull() & b.isNotNull(), X.haversine_km(a["lat"], a["lon"], b["lat"], b["lon"]))))
+    p = X.computed_once(p, _d=dist).withColumn("_dh", delta / 3.6e9)
     p = p.filter((F.col("_dh") > 0) & (F.col("_d") / F.col("_dh") > 900) & (F.col("_d") >= 500))
     first = p.groupBy("user").agg(F.min_by(
         F.struct("prev_timestamp", "timestamp", event_json("prev_").alias("prev__j"), event_json().alias("_j")),

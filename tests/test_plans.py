@@ -68,3 +68,19 @@ def test_rules_read_their_own_partition_and_columns(spark, tmp_path):
     full = SuspiciousProcess().alerts(ev)._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"PartitionFilters: \[[^]]*event_action[^]]*process_create", full)
     assert ev.count() == 10
+
+
+def test_travel_compiles(spark):
+    """IT-001, its geo lookups and the legacy rule fit into generated code (no fall-back to the interpreter)."""
+    from secspark.operators.legacy import legacy_impossible_travel, parse_legacy
+    from secspark.operators.rules import ImpossibleTravel
+    rows = [{"timestamp": at(hours=i), "event_action": "login", "event_outcome": "success", "user_name": "u",
+             "source_ip": ("8.8.8.8", "1.2.3.4")[i % 2]} for i in range(4)]
+    lines = spark.createDataFrame([(f'{{"timestamp": "2026-03-07T14:0{i}:00Z", "event_type": "login_success", "user": "u", '
+                                    f'"ip": "{("8.8.8.8", "58.2.3.4")[i % 2]}"}}',) for i in range(4)], "value string")
+    spark.conf.set("spark.sql.codegen.fallback", "false")
+    try:
+        assert ImpossibleTravel().alerts(make_events(spark, rows)).count() == 3
+        legacy_impossible_travel(parse_legacy(lines)).collect()
+    finally:
+        spark.conf.unset("spark.sql.codegen.fallback")
