@@ -60,6 +60,11 @@ class BruteForce(Rule):
             F.max("timestamp").alias("last_seen_ts"),
             F.array_sort(F.collect_set(F.coalesce(F.nullif("auth_method", F.lit("")), F.lit("unknown")))).alias("auth_methods"),
             F.array_sort(F.collect_set("source_type")).alias("source_types"))
+        return self.described(g)
+
+    def described(self, g: DataFrame) -> DataFrame:
+        """Bursts with their context (``failed_attempts, first_seen_ts, last_seen_ts, auth_methods, source_types``),
+        batch or streaming, as alerts."""
         span = F.floor((F.unix_micros("last_seen_ts") - F.unix_micros("first_seen_ts")) / 1_000_000).cast("bigint")
         return g.select(
             F.lit(self.severity).alias("severity"),
