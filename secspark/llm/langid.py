@@ -130,7 +130,7 @@ def fit(docs: DataFrame, families: dict[str, tuple[str, ...]] = FAMILIES, per_la
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "lang": pdf["lang"],
                                 "i": [i.tobytes() for i, _ in rows], "v": [v.tobytes() for _, v in rows]})
 
-    sample = with_texts(sampled(known.select("doc_id", "lang"), "doc_id", "lang", per_language), known)
+    sample = with_texts(sampled(known.select("doc_id", "lang"), "doc_id", "lang", per_language).distinct(), known)
     data = sample.mapInPandas(vectors, "doc_id long, lang string, i binary, v binary").toPandas()
     data = data.sort_values(["doc_id", "lang"])
     return Hierarchy([(lang, np.frombuffer(i, np.int32), np.frombuffer(v, np.float32))

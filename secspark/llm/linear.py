@@ -36,12 +36,12 @@ def logistic(x):
     return 1.0 / (1.0 + np.exp(-np.clip(x, -30.0, 30.0)))
 
 
-def sampled(labelled: DataFrame, key: str, label: str, per_class: int, max_classes: int = 256) -> DataFrame:
+def sampled(labelled: DataFrame, key: str, label: str, per_class: int) -> DataFrame:
     """About ``per_class`` rows of each label, chosen by a hash of the key (all, where there are fewer).
 
-    The labels are counted over all rows; at most ``max_classes`` (the most frequent) are kept.
+    The labels are counted over all rows, and every label is kept.
     """
-    counts = labelled.groupBy(label).count().orderBy(F.desc("count"), label).limit(max_classes).collect()
+    counts = labelled.groupBy(label).count().orderBy(label).collect()
     if not counts:
         return labelled.limit(0)
     parts = [x for r in counts for x in (F.lit(r[label]), F.lit(min(1.0, per_class / r["count"])))]

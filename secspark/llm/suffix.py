@@ -45,7 +45,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from secspark.llm.common import key_id, materialise, mix64, restored, table
+from secspark.llm.common import key_id, materialise, mix64, restored, scratch, table
 
 LENGTH = 200
 GRAM = 48
@@ -53,7 +53,7 @@ SEGMENT = 1 << 18
 BATCHES = 3
 HOT = 4096
 SALTS = 32
-PLACES = "doc_id long, th int, name long, block long, place long, before int, after int"
+PLACES = "doc_id long, th long, name long, block long, place long, before int, after int"
 BYTE_CODES = mix64(np.arange(256, dtype=np.uint64) + np.uint64(0x2545F4914F6CDD1D))
 
 
@@ -126,7 +126,7 @@ def places(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame
         begin = np.r_[0, ends[:-1]]
         return pd.DataFrame({
             "doc_id": np.array([i for i, _, _ in group], np.int64)[owner],
-            "th": np.array([t for _, t, _ in group], np.int32)[owner],
+            "th": np.array([t for _, t, _ in group], np.int64)[owner],
             "name": np.array(names, np.uint64).view(np.int64), "block": np.array(blocks, np.uint64).view(np.int64),
             "place": place - begin[owner], "before": (place - first).astype(np.int32),
             "after": (last - place).astype(np.int32)})
@@ -155,13 +155,21 @@ class Family:
     def __init__(self, spark: SparkSession, buckets: int | None = None):
         self.spark = spark
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.path = scratch(spark, "suffix-levels")
         self.levels: list[tuple[int, str]] = []
 
     def _write(self, rows: DataFrame) -> str:
         name = f"suffixes_{uuid.uuid4().hex}"
-        rows.write.bucketBy(self.buckets, "name").sortBy("name", "block").saveAsTable(name)
+        (rows.write.option("path", f"{self.path}/{name}").bucketBy(self.buckets, "name").sortBy("name", "block")
+             .saveAsTable(name))
         return name
 
+    def _forget(self, name: str) -> None:
+        """Drop a level that was merged or is done with, and its files."""
+        self.spark.sql(f"DROP TABLE {name}")
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+
     def array(self, docs: DataFrame) -> str:
         """The suffix array of a batch: sampled suffixes by name and block, with counts."""
         counted = (places(docs).groupBy("name", "block").agg(F.count(F.lit(1)).alias("n")))
@@ -190,7 +198,7 @@ class Family:
                 (F.coalesce("a.n", F.lit(0)) + F.coalesce("b.n", F.lit(0))).alias("n"))
                 .repartition(self.buckets, "name"))
             for gone in (old, new):
-                self.spark.sql(f"DROP TABLE {gone}")
+                self._forget(gone)
             new, size = merged, 2 * size
         self.levels.append((size, new))
 
@@ -206,13 +214,17 @@ class Family:
 
     def drop(self) -> None:
         for _, level in self.levels:
-            self.spark.sql(f"DROP TABLE {level}")
+            self._forget(level)
         self.levels = []
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """Rows named by id and a hash of the text."""
-    return docs.select(key_id().alias("doc_id"), F.hash("text").alias("th"), "text")
+    """Rows named by id and a 64-bit hash of the text and its length."""
+    return docs.select(key_id().alias("doc_id"), text_hash().alias("th"), "text")
+
+
+def text_hash() -> Column:
+    return F.xxhash64("text", F.length("text"))
 
 
 def build(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
@@ -265,7 +277,7 @@ def compare(contexts: list[tuple[int, bytes]], length: int = LENGTH) -> list[lis
     return out
 
 
-SPAN = "doc_id long, th int, start long, stop long"
+SPAN = "doc_id long, th long, start long, stop long"
 
 
 def _resolve(length: int):
@@ -335,18 +347,18 @@ def repeated_spans(docs: DataFrame, batches: int = BATCHES, hot: int = HOT) -> D
         wanted = (salted.join(crowded, ["name", "salt"], kind).groupBy("at.doc_id", "at.th")
                         .agg(F.collect_list(F.struct("name", "n", "at.place", "at.before", "at.after")).alias("wanted")))
         return (wanted.alias("w").join(texts, same_row("w", "t")).select("w.doc_id", "w.th", "t.text", "w.wanted")
-                      .mapInPandas(_contexts(LENGTH), "doc_id long, th int, name long, place long, before int, "
+                      .mapInPandas(_contexts(LENGTH), "doc_id long, th long, name long, place long, before int, "
                                                       "single boolean, data binary"))
 
     few = (contexts("left_anti").repartition("name").sortWithinPartitions("name", "doc_id", "th", "place")
                                 .mapInPandas(_resolve(LENGTH), SPAN))
     window = ["name", "distance", "high", "low"]
     many = contexts("left_semi").mapInPandas(
-        _windows(LENGTH), "name long, distance int, high long, low long, doc_id long, th int, start long, single boolean")
+        _windows(LENGTH), "name long, distance int, high long, low long, doc_id long, th long, start long, single boolean")
     repeated = many.groupBy(*window).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
     resolved = few.union(many.filter("single").join(repeated, window, "left_semi").select(
         "doc_id", "th", "start", (F.col("start") + LENGTH).alias("stop")))
-    return whole.union(resolved).groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    return whole.union(resolved).groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
 
 
 def joined_runs(spans) -> list[tuple[int, int]]:
@@ -403,7 +415,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
                           for t, s in zip(texts, found, strict=True)])
 
     columns = docs.columns
-    rows = docs.withColumns({"__th": F.hash("text"), "__id": key_id()}).alias("t")
+    rows = docs.withColumns({"__th": text_hash(), "__id": key_id()}).alias("t")
     same = (F.col("t.__id") == F.col("s.doc_id")) & (F.col("t.__th") == F.col("s.th"))
     out = rows.join(spans.alias("s"), same, "left").withColumn("__text", F.when(
         F.col("s.spans").isNull(), F.col("t.text")).otherwise(kept(F.col("t.text"), F.col("s.spans"))))
