@@ -281,24 +281,71 @@ def severity_from_score(score) -> Column:
 # --------------------------------------------------------------------------
 # Fingerprint
 # --------------------------------------------------------------------------
-FP_SEP = "\u001f"
+def _quoted(c: Column) -> Column:
+    """Text as a JSON string, but for characters beyond printable ASCII (see :func:`ascii_json`)."""
+    return F.concat(F.lit('"'), F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
 
 
-def canonical_value(c: Column, dtype: T.DataType) -> Column:
+#: JSON's short escapes, by UTF-16 unit.
+SHORT_ESCAPES = {"0008": "\\b", "0009": "\\t", "000A": "\\n", "000C": "\\f", "000D": "\\r"}
+#: A string of compact JSON text, or what stands between two strings.
+JSON_PARTS_RE = r'("[^"\\]*+(?:\\.[^"\\]*+)*+"|[^"]++)'
+
+
+def ascii_json(text: Column) -> Column:
+    """JSON text with every character outside space to tilde escaped, as Python's ``json`` does by default
+    (such characters only stand inside strings): UTF-16 units as ``\\uxxxx``, or the short form."""
+    def unit(h: Column) -> Column:
+        out = F.when(h.between("0020", "007E"), F.char(F.conv(h, 16, 10).cast("int")))
+        for code, short in SHORT_ESCAPES.items():
+            out = out.when(h == code, F.lit(short))
+        return out.otherwise(F.concat(F.lit("\\u"), F.lower(h)))
+
+    units = F.regexp_extract_all(F.hex(F.encode(text, "UTF-16BE")), F.lit("(.{4})"), 1)
+    return F.when(text.rlike("[^ -~]"), F.array_join(F.transform(units, unit), "")).otherwise(text)
+
+
+def spaced_json(text: Column) -> Column:
+    """JSON text with sorted keys and ``", "`` and ``": "`` between the parts; null if it is not JSON.
+
+    Through a variant, whose objects are sorted by key.  Differs from Python's text for fractions
+    and exponents (``1.50``, ``1e3``), which keep the variant's decimal form, and for control
+    characters without a short escape; objects that repeat a key are null.
+    """
+    compact = F.to_json(F.try_parse_json(text))
+    parts = F.regexp_extract_all(compact, F.lit(JSON_PARTS_RE), 1)
+    wide = F.transform(parts, lambda p: F.when(p.startswith('"'), p).otherwise(
+        F.replace(F.replace(p, F.lit(","), F.lit(", ")), F.lit(":"), F.lit(": "))))
+    return F.array_join(wide, "")
+
+
+def canonical_value(c: Column, dtype: T.DataType, name: str = "") -> Column:
+    """A field of an event as canonical JSON text."""
+    if name == "raw":  # JSON text already; anything else counts as a string
+        return F.coalesce(spaced_json(c), _quoted(c), F.lit("null"))
     if isinstance(dtype, T.TimestampType):
-        return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+        return F.coalesce(_quoted(iso_utc(c)), F.lit("null"))
     if isinstance(dtype, T.MapType):
-        return F.array_join(F.array_sort(F.transform(F.map_entries(c), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), "\u001e")
-    return c.cast("string")
+        entries = F.array_sort(F.map_entries(F.coalesce(c, F.create_map().cast(dtype))))
+        items = F.transform(entries, lambda e: F.concat(_quoted(e["key"]), F.lit(": "), F.coalesce(_quoted(e["value"]), F.lit("null"))))
+        return F.concat(F.lit("{"), F.array_join(items, ", "), F.lit("}"))
+    if isinstance(dtype, T.StringType):
+        return F.coalesce(_quoted(c), F.lit("null"))
+    return F.coalesce(c.cast("string"), F.lit("null"))
+
+
+def canonical_json(fields: list[tuple[str, T.DataType]], prefix: str = "") -> Column:
+    """A record as one line of JSON with sorted keys, nulls included, in plain ASCII."""
+    parts = [x for n, t in sorted(fields) for x in (F.lit(f', "{n}": '), canonical_value(F.col(prefix + n), t, n))]
+    return ascii_json(F.concat(F.lit("{"), F.substring(F.concat(*parts), F.lit(3), F.lit((1 << 31) - 1)), F.lit("}")))
 
 
-def fingerprint(fields: list[tuple[str, T.DataType]]) -> Column:
-    """sha256 of ``name=value`` pairs in sorted name order; nulls are left out.
+def fingerprint(fields: list[tuple[str, T.DataType]], prefix: str = "") -> Column:
+    """SHA-256 of the record's canonical JSON.
 
     Stable for the same record, different when any field differs.
     """
-    parts = [F.concat(F.lit(n + "="), canonical_value(F.col(n), t)) for n, t in sorted(fields)]
-    return F.sha2(F.concat_ws(FP_SEP, *parts), 256)
+    return F.sha2(canonical_json(fields, prefix), 256)
 
 
 # --------------------------------------------------------------------------

@@ -22,10 +22,7 @@ EVENT_TYPES = dict(EVENT_FIELDS)
 
 def event_fingerprint(prefix: str = "") -> Column:
     """J10 over the event columns of a row (optionally ``prefix``-ed names)."""
-    parts = []
-    for n, t in sorted(EVENT_FIELDS):
-        parts.append(F.concat(F.lit(n + "="), X.canonical_value(F.col(prefix + n), t)))
-    return F.sha2(F.concat_ws(X.FP_SEP, *parts), 256)
+    return X.fingerprint(EVENT_FIELDS, prefix)
 
 
 def event_json(prefix: str = "") -> Column:

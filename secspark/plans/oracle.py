@@ -371,17 +371,25 @@ SEVERITY_FROM_SCORE = (
     f"SELECT event_id, {_SCORE} AS score, CASE WHEN {_CLAMP} >= 90 THEN 'critical' WHEN {_CLAMP} >= 70 THEN 'high' "
     f"WHEN {_CLAMP} >= 40 THEN 'medium' WHEN {_CLAMP} >= 10 THEN 'low' ELSE 'info' END AS severity FROM events")
 
+def _js(x: str) -> str:
+    """A JSON string of printable ASCII text, or null."""
+    return f"coalesce(CAST(to_json({x}) AS VARCHAR), 'null')"
+
+
 _FP_FIELDS = {
-    "auth_method": "auth_method", "destination_host": "host", "event_action": "event_action",
-    "event_outcome": "event_outcome", "http_method": "http_method", "http_status_code": _v("http_status_code"),
-    "http_url": "http_url", "http_user_agent": "http_user_agent", "labels": "''",
-    "process_command_line": "process_command_line", "process_name": "process_name",
-    "process_parent_name": "process_parent_name", "process_pid": _v("pid"), "source_ip": "source_ip",
-    "source_port": _v("source_port"), "source_type": "'driver'",
-    "timestamp": "strftime(timestamp, '%Y-%m-%dT%H:%M:%S.%f')", "user_name": "user_name",
+    # the fields that the mapping leaves empty
+    **dict.fromkeys(["destination_ip", "destination_port", "event_reason", "raw", "source_geo_country", "user_id"], "'null'"),
+    "auth_method": _js("auth_method"), "destination_host": _js("host"), "event_action": _js("event_action"),
+    "event_outcome": _js("event_outcome"), "http_method": _js("http_method"),
+    "http_status_code": f"coalesce({_v('http_status_code')}, 'null')",
+    "http_url": _js("http_url"), "http_user_agent": _js("http_user_agent"), "labels": "'{}'",
+    "process_command_line": _js("process_command_line"), "process_name": _js("process_name"),
+    "process_parent_name": _js("process_parent_name"), "process_pid": f"coalesce({_v('pid')}, 'null')",
+    "source_ip": _js("source_ip"), "source_port": f"coalesce({_v('source_port')}, 'null')",
+    "source_type": _js("'driver'"), "timestamp": _js(_iso("timestamp")), "user_name": _js("user_name"),
 }
-FINGERPRINT = ("SELECT event_id, sha256(concat_ws(chr(31), "
-               + ", ".join(f"'{n}=' || {e}" for n, e in sorted(_FP_FIELDS.items())) + ")) AS fp FROM sec_events")
+FINGERPRINT = ("SELECT event_id, sha256('{' || "
+               + " || ', ' || ".join(f"'\"{n}\": ' || {e}" for n, e in sorted(_FP_FIELDS.items())) + " || '}') AS fp FROM sec_events")
 
 # --------------------------------------------------------------------------
 # Legacy

@@ -118,3 +118,47 @@ def test_decoded_payload_is_whole(spark):
     text = "Write-Host " + "x" * 900
     cmd = "powershell -enc " + base64.b64encode(text.encode("utf-16-le")).decode()
     assert spark.createDataFrame([(cmd,)], "c string").select(X.decode_powershell(F.col("c"))).first()[0] == text
+
+
+def test_fingerprint_is_the_hash_of_sorted_json_text(spark):
+    """SHA-256 of ``json.dumps(event, sort_keys=True)``: escapes, nulls, numbers, nested raw records."""
+    import hashlib
+    import json
+
+    from events_helper import at, make_events
+    from secspark.functions import scalar as X
+    from secspark.operators.rules.base import event_fingerprint
+    from secspark.schema import EVENT_FIELDS
+    odd = 'q"uo\\te, a:b {} [] \n\t\r\b\f é 日本 😀 \x7f / </script>'
+    rows = [
+        {"timestamp": at(0), "raw": json.dumps({"line": odd}), "user_name": odd, "source_port": 22, "labels": {"z": odd, "a": "1", "é": ""}},
+        {"timestamp": at(1.25), "raw": json.dumps({"line": "x"}, ensure_ascii=False), "http_status_code": 404},
+        {"timestamp": at(2), "raw": '{"b": [1, -2, {"y": null, "x": [true, false]}], "a": {}, "é": [], "B": "a,b:\\"c"}', "process_pid": 0},
+        {"timestamp": at(3), "raw": '{"k": "' + "x,:" * 5000 + '", "n": 12345678901234567890}'},
+    ]
+    ev = make_events(spark, rows)
+    got = ev.select(X.canonical_json(EVENT_FIELDS).alias("j"), event_fingerprint().alias("fp")).collect()
+    for row, r in zip(rows, got, strict=True):
+        full = {n: row.get(n) for n, _ in EVENT_FIELDS} | {
+            "timestamp": row["timestamp"].isoformat(), "raw": json.loads(row["raw"]), "labels": row.get("labels", {}), "source_type": "test"}
+        want = json.dumps(full, sort_keys=True)
+        assert r["j"] == want
+        assert r["fp"] == hashlib.sha256(want.encode()).hexdigest()
+
+
+def test_fingerprint_of_parsed_lines(spark):
+    """The event of an SSH line, field by field as the text that is hashed."""
+    import hashlib
+    import json
+
+    from secspark.operators.parse import parse
+    from secspark.operators.rules.base import event_fingerprint
+    line = "Mar  7 14:00:01 web01 sshd[42]: Failed password for invalid user ad\"min from 9.9.9.9 port 22 ssh2"
+    ev = parse(spark.createDataFrame([(line + "  ",)], "value string"), "linux_auth", 2026)
+    want = dict.fromkeys(["user_id", "source_geo_country", "destination_ip", "destination_port", "event_reason", "http_method", "http_url",
+                          "http_status_code", "http_user_agent", "process_command_line", "process_parent_name"])
+    want |= {"timestamp": "2026-03-07T14:00:01+00:00", "source_type": "linux_auth", "raw": {"line": line}, "user_name": 'ad"min',
+             "source_ip": "9.9.9.9", "source_port": 22, "destination_host": "web01", "event_action": "login", "event_outcome": "failure",
+             "process_name": "sshd", "process_pid": 42, "auth_method": "ssh2", "labels": {"host": "web01"}}
+    r = ev.select(event_fingerprint().alias("fp"), "*").first()
+    assert r["fp"] == hashlib.sha256(json.dumps(want, sort_keys=True).encode()).hexdigest(), r
