@@ -102,3 +102,29 @@ def test_documents_and_pipeline_stage(spark, docs, rows, no_docs):
     left = sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str)
     assert left == sorted(((r[0], None if r[1] is None else w[4].decode("utf-8", "ignore")) for r, w in zip(rows, want)), key=str)
     assert suffix.removal_digest(no_docs).count() == 0 and suffix.remove_repeats(spark, no_docs, "").count() == 0
+
+
+def test_rows_without_id_whose_short_hashes_meet(spark):
+    """Two rows without id and with equal 32-bit text hashes: only the one with a repeated passage loses bytes."""
+    from pyspark.sql import functions as F
+    rng = random.Random(4)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(260))
+    d = spark.range(60_000).select(F.concat(F.lit(passage), F.lit(" "), F.col("id").cast("string")).alias("a"),
+                                   F.concat(F.sha2(F.concat(F.lit("x"), F.col("id")), 512), F.sha2(F.concat(F.lit("y"), F.col("id")), 512),
+                                            F.col("id").cast("string")).alias("b"))
+    pair = (d.select("a", F.hash("a").alias("h")).join(d.select("b", F.hash("b").alias("h")), "h").limit(1).collect())
+    assert pair, "no pair of equal hashes among these texts"
+    rows = [(None, pair[0]["a"]), (None, pair[0]["b"]), (5, passage)]
+    got = {r["n_bytes"]: r for r in suffix.removal_digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[len(pair[0]["b"])]["n_removed"] == 0 and got[len(pair[0]["a"])]["n_removed"] == len(passage)
+
+
+def test_many_identical_rows_keep_their_spans_few(spark):
+    """A repeated row's spans are kept once, not once per copy."""
+    rng = random.Random(9)
+    text = "".join(rng.choice("abcdefgh ") for _ in range(500))
+    docs = spark.createDataFrame([(None, text)] * 2000, "doc_id long, text string").repartition(4)
+    spans = suffix.repeated_spans(suffix.keyed(docs)).collect()
+    assert len(spans) == 1 and len(spans[0]["spans"]) <= 500
+    got = suffix.removal_digest(docs)
+    assert got.count() == 2000 and got.filter("n_removed = 500").count() == 2000
