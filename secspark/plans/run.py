@@ -27,6 +27,8 @@ def run_pipeline(spark: SparkSession, paths, rules=None, out: str | None = None,
     alerts = R.newest_first(stored(detect(events, rules), "alerts"))
     ev = evidence(events, rules)
     summary = sinks.write_alerts(alerts, events, out, ev) if out else R.summary_dict(alerts, events)
+    if out:
+        sinks.write_report(alerts, events, f"{out}/report", ev, summary)
     return {"events": events, "alerts": alerts, "evidence": ev, "summary": summary}
 
 

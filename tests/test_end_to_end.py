@@ -44,3 +44,52 @@ def test_pipeline_files(spark, tmp_path):
     assert json.loads(spark.read.text(out + "/summary").first()["value"])["event_count"] == 18
     again = run_pipeline(spark, paths, year=2026)["summary"]
     assert again["by_rule"] == s["by_rule"]
+
+
+def _document(path):
+    import json
+    return json.loads("".join(p.read_text() for p in sorted(path.glob("part-*"))))
+
+
+def test_report_is_one_json_document(spark, tmp_path):
+    """The part files, one after the other, are the report: summary, alerts newest first with their events, event count."""
+    from pyspark.sql import functions as F
+
+    from events_helper import at, make_events
+    from secspark.operators.rules import all_rules, detect, evidence
+    from secspark.session import stored
+    from secspark.sources import sinks
+    rows = [{"timestamp": at(i), "event_action": "login", "event_outcome": "failure", "user_name": "u", "source_ip": "9.9.9.9"}
+            for i in range(300)]
+    rows += [{"timestamp": at(1000 + i), "event_action": "http_request", "http_url": f"/x?q={i}' UNION SELECT \"a\",b\n é", "source_ip": "1.1.1.1"}
+             for i in range(20)]
+    ev = make_events(spark, rows)
+    alerts = stored(detect(ev, all_rules()), "alerts")
+    found = evidence(ev, all_rules())
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # several part files for few lines
+    try:
+        summary = sinks.write_report(alerts, ev, str(tmp_path / "r"), found)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    doc = _document(tmp_path / "r")
+    assert list(doc) == ["summary", "alerts", "event_count"] and doc["event_count"] == 320 == summary["event_count"]
+    assert len(doc["alerts"]) == alerts.count() == doc["summary"]["total_alerts"] == 21
+    times = [a["timestamp"] for a in doc["alerts"]]
+    assert times == sorted(times, reverse=True)
+    want = {r["alert_id"]: sorted(r["f"]) for r in found.groupBy("alert_id").agg(F.collect_list("event_fingerprint").alias("f")).collect()}
+    assert {a["alert_id"]: a["source_events"] for a in doc["alerts"]} == want
+    assert max(len(a["source_events"]) for a in doc["alerts"]) == 300
+    assert set(doc["alerts"][0]) == {"rule_id", "rule_name", "severity", "description", "timestamp", "alert_id", "source_events", "context"}
+    assert len(list((tmp_path / "r").glob("part-*"))) > 1
+    sinks.write_report(alerts.limit(0), ev, str(tmp_path / "none"), found.limit(0))
+    assert _document(tmp_path / "none")["alerts"] == []
+
+
+def test_findings_report_is_one_json_document(spark, tmp_path):
+    from secspark.operators import legacy as L
+    from secspark.sources import sinks
+    lines = [f'1.2.3.4 - - [07/Mar/2026:14:00:{i:02d} +0000] "GET /?q=<script> HTTP/1.1" 200 5' for i in range(5)]
+    f = L.detect_legacy(L.parse_legacy(spark.createDataFrame([(x,) for x in lines], "value string"), 2026))
+    sinks.write_findings_report(f, str(tmp_path / "f"))
+    doc = _document(tmp_path / "f")
+    assert doc["summary"]["total_findings"] == 5 == len(doc["findings"]) and doc["findings"][0]["evidence"][0]["source"] == "web"
