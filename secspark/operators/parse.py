@@ -10,7 +10,7 @@ columns (``source_file``, ``ingest_seq``, ...) pass through untouched.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -309,13 +309,19 @@ def _ok_col() -> Column:
 
 
 def parse(df: DataFrame, fmt: str, year: int | None = None, value_col: str = "value",
-          keep: list[str] | None = None) -> DataFrame:
+          keep: list[str] | None = None, counters: Observation | str | None = None) -> DataFrame:
     """Records -> events.  Blank and unparsable records are dropped.
 
+    ``counters`` counts ``parsed`` and ``skipped`` in the same pass (A12): an ``Observation`` that has them once
+    the frame has been computed, or, on a stream, a name under which every batch's progress reports them.
+
     ``keep`` lists pass-through columns to keep next to the event fields
     (default: every input column except the record text).
     """
     p = with_parsed(df, fmt, year, value_col)
+    if counters is not None:
+        p = p.observe(counters, F.count_if(F.col("_ok")).alias("parsed"),
+                      F.count_if(~F.col("_blank") & ~F.col("_ok")).alias("skipped"))
     if keep is None:
         keep = [c for c in df.columns if c != value_col]
     return p.filter(F.col("_ok")).select(*keep, f"{EVT}.*")

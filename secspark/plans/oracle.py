@@ -203,8 +203,8 @@ PARSE_JSONL = (
 PARSE_REJECTS = (
     "SELECT 'linux_auth' AS fmt, count(*) FILTER (WHERE event_type IN ('error','signup','click')) AS parsed, "
     "count(*) FILTER (WHERE event_type = 'purchase') AS skipped FROM sec_events "
-    "UNION ALL SELECT 'nginx', count(*) FILTER (WHERE event_type = 'view'), CAST(0 AS BIGINT) FROM sec_events "
-    "UNION ALL SELECT 'windows_json', count(*) FILTER (WHERE event_type <> 'view'), CAST(0 AS BIGINT) FROM sec_events "
+    "UNION ALL SELECT 'nginx', count(*) FILTER (WHERE event_type = 'view'), count(*) FILTER (WHERE event_type <> 'view') FROM sec_events "
+    "UNION ALL SELECT 'windows_json', count(*) FILTER (WHERE event_type <> 'view'), count(*) FILTER (WHERE event_type = 'view') FROM sec_events "
     "UNION ALL SELECT 'json', count(*) FILTER (WHERE event_id % 17 <> 0 AND event_id % 19 <> 0), "
     "count(*) FILTER (WHERE event_id % 17 = 0 OR event_id % 19 = 0) FROM sec_events")
 

@@ -103,8 +103,9 @@ def parse_rejects(spark, sf_dir):
     se = _se(spark, sf_dir)
     parts = [
         P.parse_counts(TB.render_ssh(se).withColumn("fmt", F.lit("linux_auth")), "linux_auth", ["fmt"], TB.SSH_YEAR),
-        P.parse_counts(TB.render_access(se).withColumn("fmt", F.lit("nginx")), "nginx", ["fmt"]),
-        P.parse_counts(TB.render_windows(se).withColumn("fmt", F.lit("windows_json")), "windows_json", ["fmt"]),
+        P.parse_counts(TB.render_access(se).union(TB.render_bad_access(se)).withColumn("fmt", F.lit("nginx")), "nginx", ["fmt"]),
+        P.parse_counts(TB.render_windows(se).union(TB.render_bad_windows(se)).withColumn("fmt", F.lit("windows_json")), "windows_json",
+                       ["fmt"]),
         P.parse_counts(TB.render_jsonl(se).withColumn("fmt", F.lit("json")), "json", ["fmt"]),
     ]
     return reduce(lambda a, b: a.unionByName(b), parts).select("fmt", "parsed", "skipped")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 
 from ..operators import report as R
 from ..operators.rules import all_rules, detect, evidence
@@ -18,8 +18,10 @@ def shared_events(events: DataFrame) -> DataFrame:
 
 def run_pipeline(spark: SparkSession, paths, rules=None, out: str | None = None, fmt: str | None = None,
                  year: int | None = None, store_events: bool = True) -> dict:
-    """Returns ``{"events", "alerts", "evidence"}`` DataFrames and the ``summary`` dict."""
-    events = files.read_events(spark, paths, fmt=fmt, year=year)
+    """Returns ``{"events", "alerts", "evidence"}`` DataFrames and the ``summary`` dict, and the ``counters``:
+    parsed and skipped records per format, counted while the events are written (A12; empty if they are not)."""
+    seen: dict[str, Observation] = {}
+    events = files.read_events(spark, paths, fmt=fmt, year=year, counters=seen if store_events else None)
     if store_events:
         events = shared_events(events)
     rules = all_rules() if rules is None else list(rules)
@@ -29,7 +31,8 @@ def run_pipeline(spark: SparkSession, paths, rules=None, out: str | None = None,
     summary = sinks.write_alerts(alerts, events, out, ev) if out else R.summary_dict(alerts, events)
     if out:
         sinks.write_report(alerts, events, f"{out}/report", ev, summary)
-    return {"events": events, "alerts": alerts, "evidence": ev, "summary": summary}
+    return {"events": events, "alerts": alerts, "evidence": ev, "summary": summary,
+            "counters": {f: {"parsed": 0, "skipped": 0, **o.get} for f, o in seen.items()}}
 
 
 def write_events(events: DataFrame, path: str) -> None:

@@ -192,6 +192,33 @@ def render_access(se: DataFrame) -> DataFrame:
     return se.filter(F.col("event_type") == "view").select("event_id", line.alias("value"))
 
 
+def render_bad_access(se: DataFrame) -> DataFrame:
+    """Access-log lines that must be rejected, for the events that :func:`render_access` leaves out: without
+    referer and agent, with an identity, with a size that is no number, with a month that does not exist."""
+    eid = F.col("event_id")
+    at = F.date_format("timestamp", "dd/MMM/yyyy:HH:mm:ss")
+    ip = F.coalesce("source_ip", F.lit("10.0.0.1"))
+    start, request = F.concat(ip, F.lit(" - - [")), F.lit(' +0000] "GET /a HTTP/1.1" 200 ')
+    line = (F.when(eid % 4 == 0, F.concat(start, at, request, F.lit("12")))
+             .when(eid % 4 == 1, F.concat(ip, F.lit(" ident - ["), at, request, F.lit('12 "-" "ua"')))
+             .when(eid % 4 == 2, F.concat(start, at, request, F.lit('- "-" "ua"')))
+             .otherwise(F.concat(start, F.date_format("timestamp", "dd/'Foo'/yyyy:HH:mm:ss"), request, F.lit('12 "-" "ua"'))))
+    return se.filter(F.col("event_type") != "view").select("event_id", line.alias("value"))
+
+
+def render_bad_windows(se: DataFrame) -> DataFrame:
+    """Windows records that must be rejected, for the events that :func:`render_windows` leaves out: another
+    event id, no time, broken JSON, an array."""
+    eid = F.col("event_id")
+    iso = F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    good = F.to_json(F.struct(F.lit(4624).alias("EventID"), iso.alias("TimeCreated"), F.col("user_name").alias("TargetUserName")))
+    line = (F.when(eid % 4 == 0, F.replace(good, F.lit("4624"), F.lit("4634")))
+             .when(eid % 4 == 1, F.replace(good, F.lit("TimeCreated"), F.lit("Time")))
+             .when(eid % 4 == 2, F.substring(good, F.lit(1), F.length(good) - 1))
+             .otherwise(F.concat(F.lit("["), good, F.lit("]"))))
+    return se.filter(F.col("event_type") == "view").select("event_id", line.alias("value"))
+
+
 def render_windows(se: DataFrame) -> DataFrame:
     """One Windows event JSON object per line, in four shapes (by ``event_id % 4``)."""
     eid, et = F.col("event_id"), F.col("event_type")

@@ -14,7 +14,7 @@ import re
 import urllib.parse
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -181,8 +181,13 @@ def scan_records(spark: SparkSession, paths: list[str], fmt: str, ranks: DataFra
     return reduce(lambda a, b: a.unionByName(b), frames)
 
 
-def read_events(spark: SparkSession, paths, fmt: str | None = None, year: int | None = None) -> DataFrame:
-    """Many files -> one ``events`` frame (+ ``source_file``, ``ingest_seq``)."""
+def read_events(spark: SparkSession, paths, fmt: str | None = None, year: int | None = None,
+                counters: dict[str, Observation] | None = None) -> DataFrame:
+    """Many files -> one ``events`` frame (+ ``source_file``, ``ingest_seq``).
+
+    ``counters`` gets an ``Observation`` per format, which has the numbers of ``parsed`` and ``skipped``
+    records once the events have been computed: no second parse (A12).
+    """
     paths = [str(p) for p in ([paths] if isinstance(paths, (str, os.PathLike)) else paths)]
     formats = resolve_formats(spark, paths, fmt)
     ranks = file_ranks(spark, paths)
@@ -191,7 +196,8 @@ def read_events(spark: SparkSession, paths, fmt: str | None = None, year: int |
         group = [p for p in paths if formats[p] == f]
         if group:
             recs = scan_records(spark, group, f, ranks)
-            frames.append(P.parse(recs, f, year).select(*EVENT_COLUMNS, "source_file", "ingest_seq"))
+            seen = None if counters is None else counters.setdefault(f, Observation(f"parse_{f}"))
+            frames.append(P.parse(recs, f, year, counters=seen).select(*EVENT_COLUMNS, "source_file", "ingest_seq"))
     return reduce(lambda a, b: a.unionByName(b), frames)
 
 

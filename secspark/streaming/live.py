@@ -54,12 +54,15 @@ def use_rocksdb(spark: SparkSession) -> None:
 
 def read_stream(spark: SparkSession, directory: str, fmt: str, year: int | None = None,
                 max_files_per_trigger: int | None = None) -> DataFrame:
-    """Parsed events from log files arriving in ``directory`` (one format)."""
+    """Parsed events from log files arriving in ``directory`` (one format).
+
+    Every batch's progress has the numbers of parsed and skipped records under ``observedMetrics["parse_<fmt>"]``.
+    """
     r = spark.readStream.format("text")
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
     lines = r.load(directory).withColumn("source_file", F.col("_metadata.file_path"))
-    return P.parse(lines, fmt, year)
+    return P.parse(lines, fmt, year, counters=f"parse_{fmt}")
 
 
 class LateRows(StreamingQueryListener):

@@ -42,6 +42,9 @@ def test_pipeline_files(spark, tmp_path):
     ts = [r["timestamp"] for r in res["alerts"].collect()]
     assert ts == sorted(ts, reverse=True)
     assert json.loads(spark.read.text(out + "/summary").first()["value"])["event_count"] == 18
+    assert res["counters"] == {"linux_auth": {"parsed": 11, "skipped": 1}, "nginx": {"parsed": 2, "skipped": 0},
+                               "apache": {"parsed": 1, "skipped": 0}, "windows_json": {"parsed": 2, "skipped": 0},
+                               "json": {"parsed": 2, "skipped": 0}}
     again = run_pipeline(spark, paths, year=2026)["summary"]
     assert again["by_rule"] == s["by_rule"]
 

@@ -45,7 +45,7 @@ def test_stream_per_event_rules(spark, tmp_path):
     src.mkdir()
     (src / "a.log").write_text(
         '1.2.3.4 - - [07/Mar/2026:14:00:00 +0000] "GET /etc/passwd HTTP/1.1" 404 1 "-" "curl"\n'
-        '1.2.3.4 - - [07/Mar/2026:14:00:01 +0000] "GET /index.html HTTP/1.1" 200 1 "-" "curl"\n')
+        '1.2.3.4 - - [07/Mar/2026:14:00:01 +0000] "GET /index.html HTTP/1.1" 200 1 "-" "curl"\nno line\n\n')
     ev = live.read_stream(spark, str(src), "nginx")
     q = (live.stream_alerts(ev).writeStream.format("memory").queryName("wa_stream")
          .option("checkpointLocation", str(tmp_path / "ck2")).start())
@@ -53,6 +53,9 @@ def test_stream_per_event_rules(spark, tmp_path):
     q.stop()
     rows = spark.sql("SELECT rule_id, severity FROM wa_stream").collect()
     assert [(r["rule_id"], r["severity"]) for r in rows] == [("WA-001", "critical")]
+    seen = [p["observedMetrics"].get("parse_nginx") for p in q.recentProgress]
+    seen = [(m["parsed"], m["skipped"]) for m in seen if m is not None]
+    assert (sum(a for a, _ in seen), sum(b for _, b in seen)) == (2, 1)
 
 
 def _run(df, name, tmp_path):
