@@ -75,3 +75,16 @@ def test_quality_cases(spark, docs, no_docs, rows, marks):
 def test_keep_good_keeps_columns(spark, docs):
     kept = quality.keep_good(spark, docs, SF)
     assert kept.columns == docs.columns and kept.schema == docs.schema
+
+
+def test_sample_keeps_every_label_and_repeated_ids_once(spark):
+    """300 labels are all kept; an id on 5,000 rows is one row of the sample."""
+    from pyspark.sql import functions as F
+
+    from secspark.llm.linear import sampled, with_texts
+    many = spark.range(1500).select(F.col("id").alias("doc_id"), F.concat(F.lit("l"), F.col("id") % 300).alias("lang"))
+    assert sampled(many, "doc_id", "lang", 3).select("lang").distinct().count() >= 280
+    assert sampled(many, "doc_id", "lang", 5).count() == 1500
+    same = spark.range(5000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("en").alias("lang"), F.lit("text").alias("text"))
+    sample = sampled(same.select("doc_id", "lang"), "doc_id", "lang", 10_000).distinct()
+    assert sample.count() == 1 and with_texts(sample, same).count() == 1
