@@ -14,7 +14,7 @@ SF = "/root/testdata/sf0.001"
 
 
 def test_names_and_stages():
-    assert [int(k[2:].split("_")[0]) for k in QUERIES] == list(range(1, 11))
+    assert [int(k[2:].split("_")[0]) for k in QUERIES] == list(range(1, 14))
     assert set(ORACLES) <= set(QUERIES) and len(corpus_pipeline.STAGES) == 5
     import __spark_entry__ as entry
     assert set(QUERIES) | {"pipeline"} <= set(entry.queries())
