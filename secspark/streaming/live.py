@@ -243,7 +243,7 @@ def flush_brute_force(spark: SparkSession, checkpoint: str, threshold: int = 5,
     window_us = int(window_seconds) * 1_000_000
     ticks = _map_entries(spark, checkpoint, "ticks", KEYS).select(*KEYS, F.col("k.us").alias("us"), "v.*")
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         held = {int(r.us): (int(r.n), list(r.auth_methods), list(r.source_types)) for r in pdf.itertuples()}
         rows, _ = _bursts(held, FOREVER, window_us, threshold)
         return pd.DataFrame([(*key, *r) for r in rows], columns=_names(BURST_SCHEMA))
@@ -337,7 +337,7 @@ def flush_impossible_travel(spark: SparkSession, checkpoint: str, rule: Impossib
     waiting = _map_entries(spark, checkpoint, "waiting", ["user_name"]).select("user_name", F.col("k.n").alias("n"), "v.*")
     last = _state(spark, checkpoint, "last").select("key.user_name", F.lit(0).cast("long").alias("n"), "value.*")
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         r = list(pdf.sort_values(["us", "n"]).itertuples())
         rows = [(*key, a.us, a.source_ip, a.country, a.fp, b.us, b.source_ip, b.country, b.fp) for a, b in zip(r, r[1:], strict=False)]
         return pd.DataFrame(rows, columns=_names(TRAVEL_SCHEMA))
@@ -437,7 +437,7 @@ def flush_credential_stuffing(spark: SparkSession, checkpoint: str, rule: Creden
         "source_ip", "k.us", F.lit(None).cast("long").alias("place"), F.lit(None).cast("long").alias("seq"),
         F.lit(None).cast("string").alias("user_name"), F.lit(None).cast("boolean").alias("ok"), "v.n")
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         old = pdf[pdf["place"].isna()]
         failures = {int(r.us): int(r.n) for r in old.itertuples()}
         logins = [(int(r.us), int(r.seq), None if pd.isna(r.user_name) else r.user_name, bool(r.ok))
