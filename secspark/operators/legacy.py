@@ -108,9 +108,8 @@ def parse_legacy(df: DataFrame, year: int | None = None, value_col: str = "value
 
 def read_legacy(spark, path: str, year: int | None = None) -> DataFrame:
     """A file or a directory tree, every line tried, sorted by time; ties keep arrival order (H3)."""
-    from ..sources.files import file_ranks, with_arrival_order
-    df = with_arrival_order(spark.read.option("recursiveFileLookup", True).text(path),
-                            file_ranks(spark, [path], recursive=True)).drop("source_file")
+    from ..sources.files import with_arrival_order
+    df = with_arrival_order(spark.read.option("recursiveFileLookup", True).text(path), [path]).drop("source_file")
     return parse_legacy(df, year).orderBy("timestamp", "ingest_seq")
 
 

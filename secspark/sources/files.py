@@ -1,17 +1,17 @@
 """File sources (A1-A13): route, sniff, scan and parse log files into ``events``.
 
 One Spark scan per format covers every file of that format; the frames are
-bag-unioned.  Only file *names* (and, for sniffing, one first line per file)
+bag-unioned.  Only the given file *names* (and, for sniffing, one first line per path)
 ever reach the driver.
 """
 
 from __future__ import annotations
 
-import fnmatch
+import heapq
 import os
 import posixpath
 import re
-import urllib.parse
+from collections import Counter
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 from ..functions import constants as K
 from ..operators import parse as P
 from ..schema import EVENT_COLUMNS
+from .json_documents import json_records
 
 
 # --------------------------------------------------------------------------
@@ -70,46 +71,80 @@ def first_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
     return df.groupBy("file").agg(F.min_by("value", F.struct("_blk", "_row")).alias("first"))
 
 
-def _uri(path: str) -> str:
-    """A path as Spark names files: scheme, absolute path, special characters percent-encoded."""
-    text = os.fspath(path)
-    scheme, rest = re.fullmatch(r"(?:([A-Za-z][A-Za-z0-9+.-]*):)?(.*)", text, re.DOTALL).groups()
-    if scheme is None or scheme.lower() == "file":
-        rest = os.path.abspath(re.sub(r"^/+", "/", rest))
-        scheme = "file"
-    # Spark escapes ASCII characters only
-    return f"{scheme}:" + re.sub(r"[\x00-\x7f]+", lambda m: urllib.parse.quote(m[0], safe="/:@!$&'()*,;=~+-._"), rest)
+def _file_key(path: Column | None = None) -> Column:
+    """A scanned file's name with one slash after ``file:``, as :func:`given_names` has it."""
+    return F.regexp_replace(F.col("_metadata.file_path") if path is None else path, "^file:/+", "file:/")
+
+
+def given_names(spark: SparkSession, paths: list[str]) -> list[tuple[str, int]]:
+    """(name, position) of the given files and folders, as Spark names files; globs are expanded.
+    Only given names and glob matches are listed, not the files in folders."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    out = []
+    for i, p in enumerate(paths):
+        path = jvm.org.apache.hadoop.fs.Path(os.fspath(p))
+        files = path.getFileSystem(conf)
+        if re.search(r"[{}\[\]*?\\]", os.fspath(p)):
+            named = [s.getPath() for s in files.globStatus(path) or ()]
+        else:
+            named = [path]
+        out += [(re.sub("^file:/+", "file:/", files.makeQualified(x).toUri().toString()), i) for x in named]
+    return out
 
 
-def _file_key() -> Column:
-    """The scanned file's name in the form of :func:`_uri` (one slash after ``file:``)."""
-    return F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "file:/")
+def name_ranges(names: list[tuple[str, int]]) -> list[tuple[str, int]]:
+    """The given names as ranges of file names that do not overlap: (first name of the range, position).
 
+    A name covers itself and all names that begin with it and a slash.  Where ranges overlap, the lowest
+    position counts; -1 is the position of names that none covers.  Code points sort as UTF-8 bytes do.
+    """
+    edges: dict[str, list[tuple[int, int]]] = {"": []}
+    for name, i in names:
+        stem = name.rstrip("/")
+        for start, stop in ((name, name + "\0"), (stem + "/", stem + "0")):
+            edges.setdefault(start, []).append((i, 1))
+            edges.setdefault(stop, []).append((i, -1))
+    out: list[tuple[str, int]] = []
+    covering, lowest = Counter(), []
+    for edge in sorted(edges):
+        for i, step in edges[edge]:
+            covering[i] += step
+            if step > 0:
+                heapq.heappush(lowest, i)
+        while lowest and not covering[lowest[0]]:
+            heapq.heappop(lowest)
+        position = lowest[0] if lowest else -1
+        if not out or out[-1][1] != position:
+            out.append((edge, position))
+    return out
 
-def files_of(spark: SparkSession, paths: list[str], recursive: bool = False) -> list[tuple[int, str]]:
-    """(position of the given path, file) for every file of the given files, folders and globs, in arrival
-    order: by the given path, then by name.  Only names are listed; no data is read."""
-    given = [_uri(p) for p in paths]
 
-    def position(file: str) -> int:
-        for i, g in enumerate(given):
-            if file == g or file.startswith(g.rstrip("/") + "/") or fnmatch.fnmatchcase(file, g):
-                return i
-        return len(given)
+def path_position(spark: SparkSession, paths: list[str], file: Column) -> Column:
+    """H2: position of the given path that a file (a :func:`_file_key`) comes from.
 
-    names = {re.sub("^file:/+", "file:/", f) for f in
-             spark.read.option("recursiveFileLookup", recursive).text(paths).inputFiles()}
-    return sorted((position(f), f) for f in names)
+    A search by halves in the sorted ranges of the given names: no join, whatever the number of files, and a
+    number of steps that grows with the logarithm of the number of given paths.
+    """
+    if len(paths) == 1:
+        return F.lit(0)
+    ranges = name_ranges(given_names(spark, paths))
+    # names are percent-encoded: no line break stands in them
+    firsts = F.split(F.lit("\n".join(r[0] for r in ranges)), "\n")
+    positions = F.from_json(F.lit(str([r[1] for r in ranges])), T.ArrayType(T.IntegerType()))
+    steps = max(1, (len(ranges) - 1).bit_length())
+    jumps = F.lit([1 << k for k in reversed(range(steps))])
+    found = F.aggregate(jumps, F.lit(0), lambda at, jump: F.when(F.get(firsts, at + jump) <= file, at + jump).otherwise(at))
+    return F.get(positions, found)
 
 
 def sniff_formats(spark: SparkSession, paths: list[str]) -> dict[str, str | None]:
     """Format per un-routable path from its first non-blank line: one job for any number of paths,
     one row per path to the driver (which plans one scan per path)."""
+    paths = list(dict.fromkeys(paths))
     if not paths:
         return {}
-    places = spark.createDataFrame([(f, i, k) for k, (i, f) in enumerate(files_of(spark, paths))],
-                                   "file string, path int, place long")
-    found = first_lines(spark, paths).join(places, "file").groupBy("path").agg(F.min_by("first", "place").alias("first"))
+    found = first_lines(spark, paths).withColumn("path", path_position(spark, paths, F.col("file")))
+    found = found.groupBy("path").agg(F.min_by("first", "file").alias("first"))
     by_path = {r["path"]: r["fmt"] for r in found.select("path", sniff_format_col(F.col("first")).alias("fmt")).collect()}
     return {p: by_path.get(i) for i, p in enumerate(paths)}
 
@@ -132,52 +167,47 @@ def resolve_formats(spark: SparkSession, paths: list[str], fmt: str | None = Non
     return out
 
 
-def file_ranks(spark: SparkSession, paths: list[str], recursive: bool = False) -> DataFrame:
-    """H2: every scanned file with its rank in arrival order (a small table, joined to the scans)."""
-    rows = [(f, k) for k, (_, f) in enumerate(files_of(spark, paths, recursive))]
-    return spark.createDataFrame(rows, "_file string, file_rank int")
+ORDER = "struct<path:int,file:string,block:bigint,row:bigint>"
 
 
-def with_arrival_order(df: DataFrame, ranks: DataFrame) -> DataFrame:
-    """H2: ``ingest_seq`` = (file rank, split start, row id within the split)."""
-    named = df.select("value", F.col("_metadata.file_path").alias("source_file"), _file_key().alias("_file"),
-                      F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_row"))
-    return named.join(ranks, "_file", "left").select(
-        "value", "source_file", F.struct(F.coalesce("file_rank", F.lit(-1)).alias("file_rank"),
-                                         F.col("_block").alias("block"), F.col("_row").alias("row")).alias("ingest_seq"))
+def arrival_order(spark: SparkSession, paths: list[str], block: Column, row: Column, name: Column | None = None) -> Column:
+    """H2: the order in which records arrive, as one sortable value: position of the given path, file name,
+    start of the part of the file, row in it.  All of it comes with the scan; nothing is joined."""
+    file = _file_key(name)
+    return F.struct(path_position(spark, paths, file).cast("int").alias("path"), file.alias("file"),
+                    block.cast("bigint").alias("block"), row.cast("bigint").alias("row"))
 
 
-def scan_records(spark: SparkSession, paths: list[str], fmt: str, ranks: DataFrame) -> DataFrame:
+def with_arrival_order(df: DataFrame, paths: list[str]) -> DataFrame:
+    """Lines of a text scan with ``source_file`` and ``ingest_seq``."""
+    order = arrival_order(df.sparkSession, paths, F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    return df.select("value", F.col("_metadata.file_path").alias("source_file"), order.alias("ingest_seq"))
+
+
+def scan_records(spark: SparkSession, paths: list[str], fmt: str, given: list[str] | None = None) -> DataFrame:
     """Records of one format: ``value`` (a line or one JSON record) + order columns.
 
     Line files: A1 auth log, A2/A3 access logs, A5 Windows events one object
     per line, A6 JSON lines.
 
     Files ending in ``.json`` are whole JSON documents (A4, P4): an array of
-    records or one object.  A broken document fails the job, as the original
-    does; broken *lines* never do.  Formats that only read lines yield no
-    records from such files.
+    records or one object, read in pieces (:func:`json_records`).  A broken
+    document fails the job, as the original does; broken *lines* never do.
+    Formats that only read lines yield no records from such files.
+
+    ``given`` are the paths of the whole call, whose order counts (default: ``paths``).
     """
+    given = given or paths
     json_files = [p for p in paths if p.lower().endswith(".json")]
     line_files = [p for p in paths if not p.lower().endswith(".json")]
     frames = []
     if line_files:
-        frames.append(with_arrival_order(spark.read.text(line_files), ranks).select("value", "source_file", "ingest_seq"))
+        frames.append(with_arrival_order(spark.read.text(line_files), given))
     if json_files and fmt == "windows_json":
-        doc = with_arrival_order(spark.read.text(json_files, wholetext=True), ranks)
-        txt = F.trim(F.col("value"))
-        arr = F.when(txt.startswith("["), F.from_json(txt, T.ArrayType(T.StringType()))) \
-               .when(txt.startswith("{") & F.from_json(txt, T.MapType(T.StringType(), T.StringType())).isNotNull(),
-                     F.array(txt))
-        arr = F.when(arr.isNull(), F.raise_error(F.concat(F.lit("invalid JSON document: "), F.col("source_file")))
-                     .cast(T.ArrayType(T.StringType()))).otherwise(arr)
-        recs = doc.select(F.posexplode(arr).alias("_pos", "value"), "source_file", "ingest_seq")
-        recs = recs.withColumn("ingest_seq", F.struct(F.col("ingest_seq.file_rank"), F.col("ingest_seq.block"),
-                                                      F.col("_pos").cast("bigint").alias("row"))).drop("_pos")
-        frames.append(recs)
+        order = arrival_order(spark, given, F.col("record"), F.col("pos"), F.col("source_file"))
+        frames.append(json_records(spark, json_files).select("value", "source_file", order.alias("ingest_seq")))
     if not frames:
-        return spark.createDataFrame([], "value string, source_file string, "
-                                         "ingest_seq struct<file_rank:int,block:bigint,row:bigint>")
+        return spark.createDataFrame([], f"value string, source_file string, ingest_seq {ORDER}")
     return reduce(lambda a, b: a.unionByName(b), frames)
 
 
@@ -190,12 +220,11 @@ def read_events(spark: SparkSession, paths, fmt: str | None = None, year: int |
     """
     paths = [str(p) for p in ([paths] if isinstance(paths, (str, os.PathLike)) else paths)]
     formats = resolve_formats(spark, paths, fmt)
-    ranks = file_ranks(spark, paths)
     frames = []
     for f in K.FORMATS:
         group = [p for p in paths if formats[p] == f]
         if group:
-            recs = scan_records(spark, group, f, ranks)
+            recs = scan_records(spark, group, f, paths)
             seen = None if counters is None else counters.setdefault(f, Observation(f"parse_{f}"))
             frames.append(P.parse(recs, f, year, counters=seen).select(*EVENT_COLUMNS, "source_file", "ingest_seq"))
     return reduce(lambda a, b: a.unionByName(b), frames)
@@ -205,8 +234,7 @@ def read_rejects(spark: SparkSession, paths, fmt: str | None = None, year: int |
     """The records that did not parse, with their file."""
     paths = [str(p) for p in ([paths] if isinstance(paths, (str, os.PathLike)) else paths)]
     formats = resolve_formats(spark, paths, fmt)
-    ranks = file_ranks(spark, paths)
-    frames = [P.rejects(scan_records(spark, [p for p in paths if formats[p] == f], f, ranks), f, year)
+    frames = [P.rejects(scan_records(spark, [p for p in paths if formats[p] == f], f, paths), f, year)
               for f in K.FORMATS if any(formats[p] == f for p in paths)]
     return reduce(lambda a, b: a.unionByName(b), frames)
 
@@ -215,8 +243,7 @@ def parse_counts(spark: SparkSession, paths, fmt: str | None = None, year: int |
     """A12 counters per file: ``parsed`` and ``skipped``."""
     paths = [str(p) for p in ([paths] if isinstance(paths, (str, os.PathLike)) else paths)]
     formats = resolve_formats(spark, paths, fmt)
-    ranks = file_ranks(spark, paths)
-    frames = [P.parse_counts(scan_records(spark, [p for p in paths if formats[p] == f], f, ranks), f,
+    frames = [P.parse_counts(scan_records(spark, [p for p in paths if formats[p] == f], f, paths), f,
                              ["source_file"], year)
               for f in K.FORMATS if any(formats[p] == f for p in paths)]
     return reduce(lambda a, b: a.unionByName(b), frames)

@@ -38,7 +38,7 @@ def test_read_events_mixed_files(spark, tmp_path):
     got = sorted((r["source_type"], r["event_outcome"] or "") for r in ev.collect())
     assert got == sorted([("linux_auth", "failure"), ("linux_auth", "success"), ("apache", "success"),
                           ("windows_json", "failure"), ("windows_json", "success"), ("json", "")])
-    ranks = {r["source_type"]: r["ingest_seq"]["file_rank"] for r in ev.collect()}
+    ranks = {r["source_type"]: r["ingest_seq"]["path"] for r in ev.collect()}
     assert ranks["linux_auth"] == 0 and ranks["json"] == 4
     counts = {r["source_file"].rsplit("/", 1)[-1]: (r["parsed"], r["skipped"])
               for r in SRC.parse_counts(spark, [auth, win], year=2026).collect()}
@@ -67,7 +67,7 @@ def test_sniffing_is_the_same_for_any_number_of_files(spark, tmp_path, n):
         paths.append(("file://" + p) if i % 2 else p)
     assert set(SRC.sniff_formats(spark, paths).values()) == {"nginx"}
     ev = SRC.read_events(spark, paths)
-    assert sorted((r["http_url"], r["ingest_seq"]["file_rank"]) for r in ev.collect()) == sorted((f"/{i}", i) for i in range(n))
+    assert sorted((r["http_url"], r["ingest_seq"]["path"]) for r in ev.collect()) == sorted((f"/{i}", i) for i in range(n))
 
 
 def test_arrival_order_of_equal_times(spark, tmp_path):
@@ -84,4 +84,4 @@ def test_arrival_order_of_equal_times(spark, tmp_path):
     paths = ["file://" + first, str(tmp_path / "d 1"), str(tmp_path / "g" / "*.jsonl")]
     ev = SRC.read_events(spark, paths, fmt="json").orderBy("timestamp", "ingest_seq")
     assert [r["user_name"] for r in ev.collect()] == ["a", "b", "c", "d", "e"]
-    assert [i for i, _ in SRC.files_of(spark, paths)] == [0, 1, 1, 2] and last
+    assert [r["ingest_seq"]["path"] for r in ev.collect()] == [0, 0, 1, 1, 2] and last
