@@ -3,7 +3,7 @@
 Records are grouped into independent Zstandard frames.  A bundle is a file of such frames,
 then two skippable frames: the record map (record id, frame, offset in the frame, length)
 and, last, the seek table of the public Zstandard seekable format.  A reader takes the seek
-table from the end of the file, finds a record in the map, and decodes only its frame.
+table from the end of the open file, finds a record in the map, and reads only its frame.
 
 Payloads of at least ``REVISIT_BYTES`` bytes that occur more than once are stored once, with
 the largest page id; the other records are revisits of it.  The owner of a payload is found by
@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import io
 import json
 import struct
 import urllib.parse
@@ -39,6 +40,8 @@ from secspark.llm.common import NO_ID, key_id, scratch, table
 REVISIT_BYTES = 1000
 FRAME_BYTES = 256 << 10
 BUNDLE_BYTES = 32 << 20
+BATCH_BYTES = 4 << 20
+TASK_BUNDLES = 16
 SALTS = 32
 DATE = "2026-01-01T00:00:00Z"
 MAP_MAGIC = 0x184D2A50
@@ -150,27 +153,31 @@ class BundleWriter:
 
 
 class Bundle:
-    """Random access to a bundle's bytes."""
+    """Random access to a bundle: an open file is read at its end first, then only where wanted records are."""
 
-    def __init__(self, data: bytes):
-        self.data = data
-        n, _, magic = struct.unpack("<IBI", data[-9:])
+    def __init__(self, stream):
+        self.stream = stream
+        size = stream.seek(0, io.SEEK_END)
+        n, _, magic = struct.unpack("<IBI", self.part(size - 9, size))
         if magic != FOOTER_MAGIC:
             raise ValueError("no seek table")
-        sizes = [struct.unpack("<II", data[at:at + 8]) for at in range(len(data) - 9 - 8 * n, len(data) - 9, 8)]
+        sizes = struct.iter_unpack("<II", self.part(size - 9 - 8 * n, size - 9))
         self.frames, at = [], 0
         for packed, _ in sizes:
             self.frames.append((at, at + packed))
             at += packed
         start, stop = self.frames.pop()
-        self.places = json.loads(zstandard.ZstdDecompressor().decompress(data[start + 8:stop]))
+        self.places = json.loads(zstandard.ZstdDecompressor().decompress(self.part(start + 8, stop)))
+
+    def part(self, start: int, stop: int) -> bytes:
+        self.stream.seek(start)
+        return self.stream.read(stop - start)
 
     def frame(self, k: int) -> bytes:
-        start, stop = self.frames[k]
-        return zstandard.ZstdDecompressor().decompress(self.data[start:stop])
+        return zstandard.ZstdDecompressor().decompress(self.part(*self.frames[k]))
 
     def records(self, wanted: set[str] | None = None) -> Iterator[bytes]:
-        """The records (only those with wanted ids), decoding each frame once and only if needed."""
+        """The records (only those with wanted ids), reading each frame once and only if needed."""
         held, raw = -1, b""
         for name, k, offset, length in self.places:
             if wanted is None or name in wanted:
@@ -179,6 +186,11 @@ class Bundle:
                 yield raw[offset:offset + length]
 
 
+def reachable(out: str) -> str:
+    """A folder as pyarrow wants it: with a full scheme, or an absolute path."""
+    return out if "://" in out or out.startswith("/") else out.replace("file:", "", 1)
+
+
 def write_archives(pages: DataFrame, out: str) -> DataFrame:
     """Write one record per row into bundles under ``out/bundles``; returns the committed bundle table."""
     def write(batches):
@@ -205,31 +217,48 @@ def write_archives(pages: DataFrame, out: str) -> DataFrame:
         yield pd.DataFrame(done, columns=["bundle", "n_records"])
 
     spark = pages.sparkSession
-    root = out if "://" in out or out.startswith("/") else out.replace("file:", "", 1)
-    out = root
+    out = reachable(out)
     schema = "bundle string, n_records long"
     plan_records(pages).mapInPandas(write, schema).write.parquet(f"{out}/committed")
     return spark.read.schema(schema).parquet(f"{out}/committed")
 
 
 def read_archives(spark: SparkSession, out: str, ids: list[int | None] | None = None) -> DataFrame:
-    """All records of the committed bundles, or only those of some page ids (a short list)."""
+    """All records of the committed bundles, or only those of some page ids (a short list).
+
+    Tasks get names of bundles and open them themselves: of each they read the seek table, the record
+    map and the frames that hold wanted records.
+    """
+    out = reachable(out)
     wanted = None if ids is None else {record_id(i) for i in ids}
 
+    def table_of(bundle: str, rows: list[dict]) -> pd.DataFrame:
+        columns = {k: [r[k] for r in rows] for k in ("page_id", "payload_bytes", "payload_digest", "record_type",
+                                                     "refers_to", "url", "payload")}
+        return pd.DataFrame({"bundle": bundle} | columns | {
+            k: pd.array(columns[k], "Int64") for k in ("page_id", "refers_to")}, index=range(len(rows)))
+
     def parse(batches):
+        files, root = arrow_fs.FileSystem.from_uri(out)
         for pdf in batches:
-            for path, content in zip(pdf["path"], pdf["content"], strict=True):
-                rows = [read_record(r) for r in Bundle(bytes(content)).records(wanted)]
-                columns = {k: [r[k] for r in rows] for k in ("page_id", "payload_bytes", "payload_digest", "record_type",
-                                                             "refers_to", "url", "payload")}
-                yield pd.DataFrame({"bundle": path.rsplit("/", 1)[-1]} | columns | {
-                    k: pd.array(columns[k], "Int64") for k in ("page_id", "refers_to")}, index=range(len(rows)))
+            for name in pdf["bundle"]:
+                with files.open_input_file(f"{root}/bundles/{name}") as stream:
+                    rows, size = [], 0
+                    for raw in Bundle(stream).records(wanted):
+                        rows.append(read_record(raw))
+                        size += len(raw)
+                        if size >= BATCH_BYTES:
+                            yield table_of(name, rows)
+                            rows, size = [], 0
+                    if rows:
+                        yield table_of(name, rows)
 
     committed = spark.read.schema("bundle string").parquet(f"{out}/committed")
-    if committed.isEmpty():
+    n = committed.count()
+    if not n:
         return spark.createDataFrame([], RECORDS)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(f"{out}/bundles")
-    return files.select("path", "content").mapInPandas(parse, RECORDS).join(committed, "bundle", "left_semi")
+    tasks = min(n, max(int(spark.conf.get("spark.sql.shuffle.partitions")), n // TASK_BUNDLES))
+    return committed.repartition(tasks).mapInPandas(parse, RECORDS)
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,6 @@
 import hashlib
+import io
+import random
 import struct
 import uuid
 
@@ -48,12 +50,43 @@ def test_uncommitted_bundles_are_ignored_and_frames_are_independent(spark, pages
     with open(f"{folder}/bundles/{uuid.uuid4().hex}.warc.zst", "wb") as f:
         f.write(data)
     assert warc.read_archives(spark, out).count() == 11
-    bundle = warc.Bundle(data)
+    bundle = warc.Bundle(io.BytesIO(data))
     assert struct.unpack("<I", data[-4:])[0] == warc.FOOTER_MAGIC
     start, stop = bundle.frames[0]
     assert zstandard.ZstdDecompressor().decompress(data[start:stop]).startswith(b"WARC/1.1\r\n")
 
 
+class Counting(io.BytesIO):
+    """A file that counts the bytes read from it."""
+    taken = 0
+
+    def read(self, n=-1):
+        data = super().read(n)
+        self.taken += len(data)
+        return data
+
+
+def test_only_wanted_frames_are_read(monkeypatch):
+    monkeypatch.setattr(warc, "FRAME_BYTES", 20_000)
+    rng, out = random.Random(3), io.BytesIO()
+    kept, out.close = out, lambda: None
+    writer, want = warc.BundleWriter(out), {}
+    for i in range(300):
+        want[i] = rng.randbytes(rng.randrange(4000))
+        writer.add(warc.record_id(i), warc.record_bytes(i, None, want[i], hashlib.sha1(want[i]).hexdigest(), None))
+    writer.close()
+    data = kept.getvalue()
+    for ids in ([], [7], [7, 8, 290], list(want)):
+        stream = Counting(data)
+        bundle = warc.Bundle(stream)
+        tail = stream.taken
+        got = [warc.read_record(r) for r in bundle.records({warc.record_id(i) for i in ids})]
+        assert {r["page_id"]: r["payload"] for r in got} == {i: want[i] for i in ids}
+        frames = {k for name, k, _, _ in bundle.places if warc.page_of(name) in ids}
+        assert tail < 0.02 * len(data)
+        assert stream.taken - tail == sum(bundle.frames[k][1] - bundle.frames[k][0] for k in frames)
+
+
 def test_empty_table(spark, pages):
     out = scratch(spark, "warc-test")
     warc.write_archives(pages.filter("false"), out)
