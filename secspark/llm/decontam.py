@@ -7,11 +7,11 @@ hash; many texts are cut at once, with array operations.
 lie in ``COUNTERS`` cells by the word's hash.  Words that share a cell are taken for more
 common than they are, never for rarer.
 
-*Space.*  Passages are TF-IDF vectors.  A randomised SVD of the benchmark's passages and of windows from a
-bounded sample of documents (about ``SAMPLE_DOCS``, chosen by a hash of the id; both halves
-weigh the same) gives the latent space over the words of the benchmark.  A word counts once in a passage.  The
-products with the passage matrix run as Spark
-jobs: each partition multiplies its own passages, and the sums are made per block of terms.
+*Space.*  Passages are TF-IDF vectors.  A randomised SVD of the benchmark's passages and of the windows of
+all documents (both halves weigh the same) gives the latent space over the words of the benchmark.  A word
+counts once in a passage.  The products with the passage matrix run as Spark
+jobs: each of as many tasks as there are cores multiplies its own passages, and the sums are made per block
+of ``TERMS`` terms.
 
 *Search.*  Every text is cut into overlapping windows whose width fits the queries (the widest
 of ``SCALES`` not above the query's length, a quarter apart), and a window is a candidate of a
@@ -30,7 +30,7 @@ the other words, the number of documents and the blocks are.
 must reach ``VERBATIM`` of the query, or ``PARAPHRASE`` of it if the answer also stands there:
 the words after an ``answer:`` mark, else the item's last ``ANSWER_WORDS`` words, in order.
 
-The benchmark is read in blocks of about ``BLOCK_WORDS`` words (a sampling and a searching pass over the
+The benchmark is read in blocks of about ``BLOCK_WORDS`` words (a pass for the space and one for the search over the
 documents each); a block's vocabulary, space and queries are broadcast, so the bound on their size does
 not depend on the benchmark.  Long items become queries of at most ``PASSAGE`` words.
 The item's answer is the answer of each of them, and is looked for up to where the item would
@@ -59,7 +59,6 @@ from secspark.llm.common import key_id, materialise, mix64, restored, table
 RANK = 128
 OVERSAMPLE = 8
 POWER = 1
-SAMPLE_DOCS = 1000
 BLOCK_WORDS = 1 << 16
 PASSAGE = 64
 SCALES = (4, 8, 16, 32, 64)
@@ -70,7 +69,10 @@ PART = 1 << 12  # counters sent to the driver as one value
 VERBATIM = 0.9
 PARAPHRASE = 0.6
 ANSWER_WORDS = 5
-TERMS = 1024
+TERMS = 64
+PACK = 32  # windows kept as one row
+PACKS = 128  # such rows multiplied at once
+PACKED = "terms binary, sizes binary"
 CHUNK = 1 << 11  # windows put into the space at once
 SLAB = 256  # queries whose words are looked up at once
 PAIRS = "doc_id long, th long, item_id long, n_items long, cosine double, lcs double, answer boolean"
@@ -208,10 +210,10 @@ class Block:
                                      "scale": max(s for s in SCALES if s <= max(len(part), SCALES[0]))})
 
     def fit(self, docs: DataFrame, n: int, weights: np.ndarray) -> None:
-        """The latent space and the queries in it, from the weights of all words."""
+        """The latent space and the queries in it, from the ``n`` documents and the weights of all words."""
         self.idf = weights[cells(np.array(list(self.vocab), np.uint64))]
         self.weights = weights
-        self.space = latent_space(self, docs, n)
+        self.space = latent_space(self, passages(self, docs) if n else None, docs.sparkSession)
         latent = np.stack([self.vector(q["words"]) for q in self.queries])
         norm = np.linalg.norm(latent, axis=1, keepdims=True)
         self.latent = (latent / np.maximum(norm, 1e-9)).astype(np.float32)
@@ -260,41 +262,51 @@ def word_weights(docs: DataFrame) -> tuple[int, np.ndarray]:
     return n, (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
 
 
-def _sparse(ids: np.ndarray, idf: np.ndarray, weight: float) -> tuple[bytes, bytes]:
-    terms = np.unique(ids)
-    v = idf[terms]
-    return terms.astype(np.int32).tobytes(), (v * (weight / np.linalg.norm(v))).astype(np.float32).tobytes()
+def packed(window: np.ndarray, ids: np.ndarray, n: int) -> pd.DataFrame:
+    """The distinct words of windows, ``PACK`` windows a row: their numbers (below ``n``), and how many each window has."""
+    pairs = np.unique(window * n + ids)
+    window, terms = pairs // n, (pairs % n).astype(np.int32)
+    edges = np.flatnonzero(np.r_[True, window[1:] != window[:-1]][:len(window)])
+    sizes = np.diff(np.r_[edges, len(terms)]).astype(np.int32)
+    cuts = np.r_[edges[::PACK], len(terms)].tolist()
+    return pd.DataFrame({"terms": [terms[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)],
+                         "sizes": [sizes[a:a + PACK].tobytes() for a in range(0, len(sizes), PACK)]})
 
 
-def latent_space(block: Block, docs: DataFrame, n_docs: int) -> np.ndarray:
-    """Right singular vectors (terms x rank) of the passages, by a distributed randomised SVD."""
-    spark = docs.sparkSession
-    own = [_sparse(np.array(q["words"]), block.idf, 1.0) for q in block.queries]
-    share = min(1.0, SAMPLE_DOCS / max(1, n_docs))
-    draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("latent")), F.lit(1 << 31)) / float(1 << 31)
-    known = spark.sparkContext.broadcast((block.vocab, block.idf))
-
-    def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, idf = known.value
-        cut, vocab = WordHasher(), Vocabulary(words)
+def passages(block: Block, docs: DataFrame) -> DataFrame:
+    """The windows of all documents, those without a word of the block left out (see :func:`packed`)."""
+    known = docs.sparkSession.sparkContext.broadcast(block.vocab)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cut, vocab, n = WordHasher(), Vocabulary(known.value), len(known.value)
         for pdf in batches:
-            rows = []
-            for text in pdf["text"]:
-                ids = vocab.numbers(cut([text])[0])
-                for a in range(0, len(ids), PASSAGE):
-                    inside = ids[a:a + PASSAGE]
-                    if (inside >= 0).any():
-                        rows.append(_sparse(inside[inside >= 0], idf, 1.0))
-            yield pd.DataFrame(rows, columns=["i", "v"])
-
-    schema = "i binary, v binary"
-    sample = materialise(docs.filter(draw < share).select("text").mapInPandas(windows, schema), "passages")
-    scale = math.sqrt(len(own) / max(1, sample.count()))  # both halves weigh the same
-    items = spark.createDataFrame(pd.DataFrame(own, columns=["i", "v"]), schema)
-    rows = items.withColumn("scale", F.lit(1.0)).union(sample.withColumn("scale", F.lit(scale))).repartition(
-        4, F.xxhash64("i", "v"))
+            texts = pdf["text"].tolist()
+            for group in groups_of(texts):
+                hashes, owner = cut([texts[i] for i in group])
+                ids = vocab.numbers(hashes)
+                words = np.bincount(owner, minlength=len(group))
+                count = -(-words // PASSAGE)
+                inside = np.arange(len(ids)) - np.repeat(np.cumsum(words) - words, words)
+                window = np.repeat(np.cumsum(count) - count, words) + inside // PASSAGE
+                yield packed(window[ids >= 0], ids[ids >= 0], n)
+
+    return materialise(docs.select("text").mapInPandas(run, PACKED), "passages")
+
+
+def latent_space(block: Block, windows: DataFrame | None, spark: SparkSession) -> np.ndarray:
+    """Right singular vectors (terms x rank) of the passages, by a distributed randomised SVD."""
     n = len(block.vocab)
-    rank = min(RANK, n, len(own))
+    own = packed(np.repeat(np.arange(len(block.queries)), [len(q["words"]) for q in block.queries]),
+                 np.concatenate([q["words"] for q in block.queries]), n)
+    rows = spark.createDataFrame(own, PACKED).withColumn("scale", F.lit(1.0))
+    if windows is not None:
+        total = (windows.agg(F.sum(F.octet_length("sizes"))).first()[0] or 0) // 4
+        scale = math.sqrt(len(block.queries) / max(1, total))  # both halves weigh the same
+        rows = rows.union(windows.withColumn("scale", F.lit(scale)))
+    # A task's sums are as large as the space: no more of them than tasks that run at once.
+    rows = rows.coalesce(spark.sparkContext.defaultParallelism)
+    weights = spark.sparkContext.broadcast(block.idf)
+    rank = min(RANK, n, len(block.queries))
     basis = np.linalg.qr(np.random.default_rng(7).standard_normal((n, min(n, rank + OVERSAMPLE))))[0].astype(np.float32)
 
     def product(basis: np.ndarray, gram: bool) -> np.ndarray:
@@ -303,16 +315,30 @@ def latent_space(block: Block, docs: DataFrame, n_docs: int) -> np.ndarray:
         width = basis.shape[1]
 
         def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            m = shared.value
+            m, idf = shared.value, weights.value
             out = np.zeros((width if gram else len(m), width))
             for pdf in batches:
-                for i, v, s in zip(pdf["i"], pdf["v"], pdf["scale"], strict=True):
-                    i, v = np.frombuffer(i, np.int32), np.frombuffer(v, np.float32) * s
-                    y = v @ m[i]
+                for a in range(0, len(pdf), PACKS):
+                    some = pdf.iloc[a:a + PACKS]
+                    terms = np.concatenate([np.frombuffer(x, np.int32) for x in some["terms"]])
+                    sizes = [np.frombuffer(x, np.int32) for x in some["sizes"]]
+                    scale = np.repeat(some["scale"].to_numpy(), [len(x) for x in sizes])
+                    sizes = np.concatenate(sizes)
+                    stops = np.cumsum(sizes)
+                    v = idf[terms]
+                    norm = np.sqrt(np.add.reduceat(v * v, stops - sizes))
+                    v = v * np.repeat((scale / norm).astype(np.float32), sizes)
+                    y = np.empty((len(sizes), width), np.float32)
+                    for r, (b, e) in enumerate(zip((stops - sizes).tolist(), stops.tolist(), strict=True)):
+                        y[r] = v[b:e] @ m[terms[b:e]]
                     if gram:
-                        out += np.outer(y, y)
-                    else:
-                        out[i] += v[:, None] * y
+                        out += y.T @ y
+                        continue
+                    order = np.argsort(terms, kind="stable")
+                    terms, v, window = terms[order], v[order], np.repeat(np.arange(len(sizes)), sizes)[order]
+                    edges = np.flatnonzero(np.r_[True, terms[1:] != terms[:-1], True])
+                    for t, b, e in zip(terms[edges[:-1]].tolist(), edges.tolist(), edges[1:].tolist(), strict=False):
+                        out[t] += v[b:e] @ y[window[b:e]]
             yield pd.DataFrame({"block": range(0, len(out), TERMS),
                                 "data": [out[a:a + TERMS].tobytes() for a in range(0, len(out), TERMS)]})
 

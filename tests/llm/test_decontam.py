@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyspark.sql
 import pytest
 
 from secspark.llm import decontam
@@ -180,6 +181,54 @@ def test_weights_are_counted_over_all_documents(spark, rows):
     assert np.allclose(weights, np.log((1 + n) / (1 + want)) + 1)
 
 
+def test_the_space_comes_from_all_documents(spark, bench, vocab):
+    """Every window of 2,000 documents is in it, and the space is that of the whole matrix."""
+    rng = random.Random(37)
+    texts = [" ".join(rng.choices(vocab, k=rng.choice([0, 3, 64, 65, 150]))) for _ in range(2000)] + [None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(40)
+    items = [(i, 1, t) for i, t in bench if t and i is not None]
+    block = decontam.Block(items)
+    block.fit(df, *decontam.word_weights(df))
+    cut, known, rows = decontam.WordHasher(), decontam.Vocabulary(block.vocab), []
+    for t in texts:
+        ids = known.numbers(cut([t])[0])
+        rows += [np.unique(w[w >= 0]) for a in range(0, len(ids), decontam.PASSAGE) for w in [ids[a:a + decontam.PASSAGE]] if (w >= 0).any()]
+    got = decontam.passages(block, df).collect()
+    lists = [np.split(np.frombuffer(r["terms"], np.int32), np.cumsum(np.frombuffer(r["sizes"], np.int32))[:-1]) for r in got]
+    assert Counter(tuple(w) for part in lists for w in part) == Counter(tuple(w) for w in rows)
+
+    def matrix(lists, scale):
+        a = np.zeros((len(lists), len(block.vocab)))
+        for k, ids in enumerate(lists):
+            a[k, ids] = scale * block.idf[ids] / np.linalg.norm(block.idf[ids])
+        return a
+
+    own = [np.unique(q["words"]) for q in block.queries]
+    a = np.vstack([matrix(own, 1.0), matrix(rows, math.sqrt(len(own) / len(rows)))])
+    basis = np.linalg.qr(np.random.default_rng(7).standard_normal((a.shape[1], len(own) + decontam.OVERSAMPLE)))[0]
+    for _ in range(decontam.POWER + 1):
+        basis = np.linalg.qr(a.T @ (a @ basis))[0]
+    values, vectors = np.linalg.eigh((a @ basis).T @ (a @ basis))
+    want = basis @ vectors[:, np.argsort(-values)[:len(own)]]
+    assert np.abs(block.space @ block.space.T - want @ want.T).max() < 1e-3
+
+
+def test_no_more_partial_sums_than_cores(spark, bench, monkeypatch):
+    """However many partitions the windows lie in, a group of partial sums stays small."""
+    df = spark.createDataFrame([(k, bench[k % 12][1]) for k in range(300)], "doc_id long, text string").repartition(60)
+    block, most = decontam.Block([(i, 1, t) for i, t in bench if t and i is not None]), []
+    total = pyspark.sql.GroupedData.applyInPandas
+
+    def counted(self, f, schema):
+        if "block" in self._df.columns:
+            most.extend(r["count"] for r in self._df.groupBy("block").count().collect())
+        return total(self, f, schema)
+
+    monkeypatch.setattr(pyspark.sql.GroupedData, "applyInPandas", counted)
+    block.fit(df, *decontam.word_weights(df))
+    assert most and max(most) <= spark.sparkContext.defaultParallelism
+
+
 def test_stage_and_empty_tables(spark, docs, no_docs):
     out = decontam.drop_leaks(spark, docs, SF)
     assert out.schema == docs.schema and out.count() == docs.count()
