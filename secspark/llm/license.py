@@ -3,11 +3,12 @@
 A trained paragraph classifier.  Every line of a text, cut into pieces of at most
 ``PIECE`` words, is a paragraph; its features are the presence of word one- and two-grams.
 A multinomial logistic regression tells the licence families and an unknown class apart.  It
-is fitted on windows of the licence notices below and on about ``NEGATIVES`` paragraphs of the
-documents themselves, chosen by a hash; paragraphs that resemble or hold a notice are not taken
-as unknown.
+is fitted on windows of the licence notices below and on the paragraphs of all documents, which
+together weigh as much as ``UNKNOWN_WEIGHT`` rows at most; paragraphs that resemble or hold a notice
+are not taken as unknown.  The model knows the n-grams of the notices and, up to ``VOCABULARY`` in all,
+those that most paragraphs have: words, and two-grams of the ``COMMON`` most frequent words.
 
-The unknown class is calibrated: half of the sampled paragraphs take no part in the fit, and a
+The unknown class is calibrated: half of the paragraphs, by a hash, take no part in the fit, and a
 family must be more probable than all but ``FALSE_RATE`` of them claim (and than 0.5).  The
 prediction must then be confirmed by a template: the two-grams that the paragraph shares with
 one notice of the family reach ``OVERLAP`` of the paragraph's or of the notice's.
@@ -31,7 +32,8 @@ from __future__ import annotations
 import math
 
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import CountVectorizer
+from pyspark.ml.feature import CountVectorizerModel
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,8 +42,9 @@ from pyspark.sql import Window as W
 from secspark.llm.common import materialise, table
 
 PIECE = 64
-NEGATIVES = 4000
+UNKNOWN_WEIGHT = 2000
 VOCABULARY = 4096
+COMMON = 256
 FALSE_RATE = 0.001
 OVERLAP = 0.5
 HALF = PIECE // 2
@@ -199,37 +202,60 @@ def windows(known: DataFrame) -> DataFrame:
     return out.select("family", grams(F.col("words")).alias("grams"))
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """words, key (a hash of its place and words), fit (whether it takes part in the fit) of all paragraphs."""
+    place = F.xxhash64("doc_id", "line", "at", "words", F.lit("half"))
+    return paragraphs(docs).select("words", place.alias("key")).withColumn("fit", F.pmod("key", F.lit(2)) == 0)
+
+
+def unlike_notices(w: Column) -> Column:
+    """Whether words neither resemble nor hold a notice."""
+    known_grams = [sorted({f"{a} {b}" for a, b in _pairs(t)}) for f in FAMILIES for t in NOTICES[f]]
+    all_grams = sorted({g for known in known_grams for g in known})
+
+    def few(mine: Column, known: Column) -> Column:
+        like = F.size(known) / F.greatest(F.size(F.array_distinct(mine)), F.lit(1))
+        # A notice inside a longer paragraph would be lost in that share.
+        holds = F.greatest(*[F.size(F.array_intersect(known, F.array(*map(F.lit, g)))) / F.lit(len(g)) for g in known_grams])
+        return (F.size(known) == 0) | ((like < OVERLAP) & (holds < OVERLAP))
+
+    # Arrays of one element: what a lambda is given is worked out once.
+    return F.exists(F.array(two_grams(w)), lambda mine: F.exists(
+        F.array(F.array_distinct(F.filter(mine, lambda g: g.isin(all_grams)))), lambda known: few(mine, known)))
+
+
+def vocabulary(known: DataFrame, rows: DataFrame) -> list[str]:
+    """The n-grams of the notices, then those that most rows have."""
+    own = sorted(r["gram"] for r in windows(known).select(F.explode("grams").alias("gram")).distinct().collect())
+
+    def most(found: Column) -> list[tuple[int, str]]:
+        counts = rows.select(F.explode(F.array_distinct(found)).alias("gram")).groupBy("gram").count()
+        return [(-r["count"], r["gram"]) for r in counts.orderBy(F.desc("count"), "gram").limit(VOCABULARY).collect()]
+
+    single = most(F.col("words"))
+    common, w = [g for _, g in single[:COMMON]], F.col("words")
+    double = most(F.array_compact(F.transform(w, lambda x, i: F.when(
+        x.isin(common) & F.get(w, i + 1).isin(common), F.concat_ws(" ", x, F.get(w, i + 1)))))) if common else []
+    others = [g for _, g in sorted(single + double) if g not in set(own)]
+    return (own + others)[:VOCABULARY]
+
+
 class Model:
     """Weights of the n-grams per class, intercepts and the calibrated threshold."""
 
     def __init__(self, spark: SparkSession, docs: DataFrame):
-        known = notices(spark)
-        n = docs.count()
-        per_doc = min(1.0, NEGATIVES / max(1, n))
-        draw = F.pmod(F.xxhash64("doc_id", "text", F.lit("licence")), F.lit(1 << 31)) / float(1 << 31)
-        pick = W.partitionBy("row").orderBy(F.xxhash64("line", "piece", "doc_id"), "line", "piece")
-        # One paragraph of each sampled document, if it does not resemble a notice.
-        taken = (paragraphs(docs.filter(draw < per_doc)).withColumn("place", F.row_number().over(pick))
-                 .filter("place = 1").drop("place"))
-        all_grams = F.array(*[F.lit(g) for g in sorted({
-            f"{a} {b}" for f in FAMILIES for t in NOTICES[f] for a, b in _pairs(t)})])
-        mine = F.array_distinct(two_grams(F.col("words")))
-        like = F.size(F.array_intersect(mine, all_grams)) / F.greatest(F.size(mine), F.lit(1))
-        # A notice inside a longer paragraph would be lost in that share.
-        known_grams = [sorted({f"{a} {b}" for a, b in _pairs(t)}) for f in FAMILIES for t in NOTICES[f]]
-        holds = F.greatest(*[F.size(F.array_intersect(mine, F.array(*map(F.lit, g)))) / F.lit(len(g)) for g in known_grams])
-        negatives = materialise(taken.filter((like < OVERLAP) & (holds < OVERLAP)).select(
-            grams(F.col("words")).alias("grams"),
-            (F.pmod(F.xxhash64("doc_id", "line", "at", "words", F.lit("half")), F.lit(2)) == 0).alias("fit")), "licence-negatives")
+        known, rows = notices(spark), numbered(docs)
+        vector = CountVectorizerModel.from_vocabulary(vocabulary(known, rows.filter("fit")), "grams", "features", binary=True)
+        # In one order whatever the files' layout: the fit adds small tables up the same way.
+        negatives = materialise(vector.transform(rows.filter(unlike_notices(F.col("words"))).withColumn(
+            "grams", F.concat("words", two_grams(F.col("words"))))).select(
+            "features", "fit", "key").repartition("key").sortWithinPartitions("key"), "licence-negatives")
+        weight = min(1.0, UNKNOWN_WEIGHT / max(1, negatives.filter("fit").count()))
         index = F.create_map(*[x for i, f in enumerate(CLASSES) for x in (F.lit(f), F.lit(float(i)))])
-        rows = windows(known).select(index[F.col("family")].alias("label"), "grams").union(
-            negatives.filter("fit").select(F.lit(float(len(FAMILIES))), "grams"))
-        # A bounded sample, in one order whatever the files' layout: the fit adds it up the same way.
-        rows = rows.orderBy("label", F.xxhash64("grams"), "grams").coalesce(1).cache()
-        vector = CountVectorizer(inputCol="grams", outputCol="features", binary=True, vocabSize=VOCABULARY).fit(rows)
-        fitted = LogisticRegression(family="multinomial", regParam=0.002, maxIter=60).fit(
-            vector.transform(rows))
-        rows.unpersist()
+        positives = windows(known).orderBy("family", F.xxhash64("grams"), "grams").coalesce(1)
+        positives = vector.transform(positives).select(index[F.col("family")].alias("label"), "features", F.lit(1.0).alias("weight"))
+        fitted = LogisticRegression(family="multinomial", regParam=0.002, maxIter=60, weightCol="weight").fit(positives.union(
+            negatives.filter("fit").select(F.lit(float(len(FAMILIES))), "features", F.lit(weight))))
         present = fitted.numClasses
         matrix = fitted.coefficientMatrix.toArray()
         self.bias = [float(x) for x in fitted.interceptVector.toArray()] + [-math.inf] * (len(CLASSES) - present)
@@ -237,9 +263,9 @@ class Model:
                 for i, g in enumerate(vector.vocabulary)]
         self.weights = spark.createDataFrame(data, T.StructType([
             T.StructField("gram", T.StringType()), T.StructField("w", T.ArrayType(T.DoubleType()))]))
-        self.threshold = 0.5
-        held = self.scored(negatives.filter("not fit").withColumn("key", F.monotonically_increasing_id()), ["key"])
-        share = held.agg(F.percentile_approx("probability", 1 - FALSE_RATE, 10000).alias("p")).first()["p"]
+        claim = F.array_max(F.slice(vector_to_array("probability"), 1, len(FAMILIES)))
+        held = fitted.transform(negatives.filter("not fit")).select(claim.alias("p"))
+        share = held.agg(F.percentile_approx("p", 1 - FALSE_RATE, 10000).alias("p")).first()["p"]
         self.threshold = max(0.5, share or 0.0)
 
     def scored(self, rows: DataFrame, keys: list[str]) -> DataFrame:

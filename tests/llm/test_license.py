@@ -85,3 +85,24 @@ def test_model_does_not_depend_on_the_layout(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     a, b = (lic.Model(spark, docs.repartition(n)) for n in (1, 7))
     assert a.threshold == b.threshold and max(abs(x - y) for x, y in zip(a.bias, b.bias, strict=True)) < 1e-9
+
+
+def test_the_model_learns_from_every_paragraph(spark, planted, monkeypatch):
+    """Fit and calibration together get each paragraph once, also of a table with more than 4,000 of them."""
+    rows = [(i, "\n".join(f"line{k} of text {'a b c' if k else 'd e f'} {i % 7}" for k in range(3))) for i in range(2500)]
+    docs = spark.createDataFrame([*rows, (1, "All rights reserved."), (2, None)], "doc_id long, text string")
+    seen, kept = {}, lic.materialise
+
+    def counted(df, name):
+        out = kept(df, name)
+        if name == "licence-negatives":
+            seen.update({r["fit"]: r["count"] for r in out.groupBy("fit").count().collect()})
+        return out
+
+    monkeypatch.setattr(lic, "materialise", counted)
+    model = lic.Model(spark, docs)
+    assert sum(seen.values()) == 7500 and min(seen.values()) > 3000
+    grams = {r["gram"] for r in model.weights.collect()}
+    assert {"line0", "line2", "of text", "a b", "software", "mit license"} <= grams
+    found = lic.scan(docs).collect()
+    assert [(r["doc_id"], r["family"]) for r in found] == [(1, "proprietary")]
