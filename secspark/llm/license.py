@@ -30,6 +30,7 @@ empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizerModel
@@ -48,6 +49,7 @@ COMMON = 256
 FALSE_RATE = 0.001
 OVERLAP = 0.5
 HALF = PIECE // 2
+BLOCK_MB = 4
 UNKNOWN = "unknown"
 
 # Wording of common licence notices.
@@ -137,24 +139,28 @@ CLASSES = [*FAMILIES, UNKNOWN]
 
 def words(text: Column) -> Column:
     """Lower-case runs of letters and digits."""
-    found = F.split(F.lower(text), r"[^\p{L}\p{N}]+")
-    return F.filter(found, lambda w: w != "")
+    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
 def two_grams(w: Column) -> Column:
-    return F.transform(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))),
-                       lambda x, i: F.concat_ws(" ", x, F.get(w, i + 1)))
+    n = F.greatest(F.size(w) - 1, F.lit(0))
+    return F.zip_with(F.slice(w, F.lit(1), n), F.slice(w, F.lit(2), n), lambda x, y: F.concat(x, F.lit(" "), y))
 
 
 def grams(w: Column) -> Column:
     return F.array_distinct(F.concat(w, two_grams(w)))
 
 
+def once(**columns: Column) -> Column:
+    """Columns that are worked out once: a filter on what a one-row ``inline`` gives is not put before it."""
+    return F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()])))
+
+
 def lines(docs: DataFrame) -> DataFrame:
     """doc_id, row (position in the scan), line (number), all (its words)."""
     return (docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id())
                 .select("doc_id", "row", F.posexplode(F.split("text", r"\n")).alias("line", "body"))
-                .select("doc_id", "row", "line", words(F.col("body")).alias("all"))
+                .select("doc_id", "row", "line", once(all=words(F.col("body"))))
                 .filter(F.size("all") > 0))
 
 
@@ -208,20 +214,28 @@ def numbered(docs: DataFrame) -> DataFrame:
     return paragraphs(docs).select("words", place.alias("key")).withColumn("fit", F.pmod("key", F.lit(2)) == 0)
 
 
-def unlike_notices(w: Column) -> Column:
-    """Whether words neither resemble nor hold a notice."""
-    known_grams = [sorted({f"{a} {b}" for a, b in _pairs(t)}) for f in FAMILIES for t in NOTICES[f]]
-    all_grams = sorted({g for known in known_grams for g in known})
+def notice_pairs() -> list[list[str]]:
+    """The two-grams of each notice."""
+    return [sorted({f"{a} {b}" for a, b in _pairs(t)}) for f in FAMILIES for t in NOTICES[f]]
+
+
+def unlike_notices(w: Column, pairs: Column) -> Column:
+    """Whether words neither resemble nor hold a notice; ``pairs``: their two-grams, at least those of the notices."""
+    all_grams = sorted({g for known in notice_pairs() for g in known})
+
+    def enough(known: Column, grams: list[str]) -> Column:
+        need = next(k for k in range(1, len(grams) + 1) if k / len(grams) >= OVERLAP)
+        # The number alone settles it for most paragraphs.
+        return (F.size(known) >= need) & (F.size(F.array_intersect(known, F.array(*map(F.lit, grams)))) >= need)
 
-    def few(mine: Column, known: Column) -> Column:
-        like = F.size(known) / F.greatest(F.size(F.array_distinct(mine)), F.lit(1))
+    def few(known: Column) -> Column:
+        like = F.size(known) / F.greatest(F.size(F.array_distinct(two_grams(w))), F.lit(1))
         # A notice inside a longer paragraph would be lost in that share.
-        holds = F.greatest(*[F.size(F.array_intersect(known, F.array(*map(F.lit, g)))) / F.lit(len(g)) for g in known_grams])
-        return (F.size(known) == 0) | ((like < OVERLAP) & (holds < OVERLAP))
+        holds = reduce(Column.__or__, [enough(known, grams) for grams in sorted(notice_pairs(), key=len)])
+        return (F.size(known) == 0) | ((like < OVERLAP) & ~holds)
 
-    # Arrays of one element: what a lambda is given is worked out once.
-    return F.exists(F.array(two_grams(w)), lambda mine: F.exists(
-        F.array(F.array_distinct(F.filter(mine, lambda g: g.isin(all_grams)))), lambda known: few(mine, known)))
+    # An array of one element: what a lambda is given is worked out once.
+    return F.exists(F.array(F.array_distinct(F.filter(pairs, lambda g: g.isin(all_grams)))), few)
 
 
 def vocabulary(known: DataFrame, rows: DataFrame) -> list[str]:
@@ -234,8 +248,9 @@ def vocabulary(known: DataFrame, rows: DataFrame) -> list[str]:
 
     single = most(F.col("words"))
     common, w = [g for _, g in single[:COMMON]], F.col("words")
-    double = most(F.array_compact(F.transform(w, lambda x, i: F.when(
-        x.isin(common) & F.get(w, i + 1).isin(common), F.concat_ws(" ", x, F.get(w, i + 1)))))) if common else []
+    after = F.slice(w, F.lit(2), F.size(w))
+    double = most(F.array_compact(F.zip_with(w, after, lambda x, y: F.when(
+        x.isin(common) & y.isin(common), F.concat(x, F.lit(" "), y))))) if common else []
     others = [g for _, g in sorted(single + double) if g not in set(own)]
     return (own + others)[:VOCABULARY]
 
@@ -245,16 +260,20 @@ class Model:
 
     def __init__(self, spark: SparkSession, docs: DataFrame):
         known, rows = notices(spark), numbered(docs)
-        vector = CountVectorizerModel.from_vocabulary(vocabulary(known, rows.filter("fit")), "grams", "features", binary=True)
+        grams = vocabulary(known, rows.filter("fit"))
+        vector = CountVectorizerModel.from_vocabulary(grams, "grams", "features", binary=True)
+        double = [g for g in grams if " " in g]
+        pairs = F.filter(two_grams(F.col("words")), lambda g: g.isin(double))
+        rows = rows.select("words", "key", "fit", once(pairs=pairs)).filter(unlike_notices(F.col("words"), F.col("pairs")))
         # In one order whatever the files' layout: the fit adds small tables up the same way.
-        negatives = materialise(vector.transform(rows.filter(unlike_notices(F.col("words"))).withColumn(
-            "grams", F.concat("words", two_grams(F.col("words"))))).select(
+        negatives = materialise(vector.transform(rows.withColumn("grams", F.concat("words", "pairs"))).select(
             "features", "fit", "key").repartition("key").sortWithinPartitions("key"), "licence-negatives")
         weight = min(1.0, UNKNOWN_WEIGHT / max(1, negatives.filter("fit").count()))
         index = F.create_map(*[x for i, f in enumerate(CLASSES) for x in (F.lit(f), F.lit(float(i)))])
         positives = windows(known).orderBy("family", F.xxhash64("grams"), "grams").coalesce(1)
         positives = vector.transform(positives).select(index[F.col("family")].alias("label"), "features", F.lit(1.0).alias("weight"))
-        fitted = LogisticRegression(family="multinomial", regParam=0.002, maxIter=60, weightCol="weight").fit(positives.union(
+        fitted = LogisticRegression(family="multinomial", regParam=0.002, maxIter=60, weightCol="weight",
+                                    maxBlockSizeInMB=BLOCK_MB).fit(positives.union(
             negatives.filter("fit").select(F.lit(float(len(FAMILIES))), "features", F.lit(weight))))
         present = fitted.numClasses
         matrix = fitted.coefficientMatrix.toArray()
