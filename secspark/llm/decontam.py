@@ -48,6 +48,8 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pandas as pd
@@ -78,6 +80,7 @@ SLAB = 256  # queries whose words are looked up at once
 PAIRS = "doc_id long, th long, item_id long, n_items long, cosine double, lcs double, answer boolean"
 answer_mark = re.compile(r"\banswer\s*:", re.IGNORECASE)
 GROUP = 1 << 20
+CUT = 1 << 17  # bytes hashed at once: arrays of eight bytes each stay near the processor
 BASE = 0x9E3779B97F4A7C15
 # Marks outside ASCII that end a word.
 MARKS = {c: " " for r in ((0xA0, 0xAA), (0xAB, 0xB2), (0xB4, 0xB5), (0xB6, 0xB9), (0xBB, 0xBC),
@@ -102,12 +105,16 @@ class WordHasher:
 
     def block(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
         """(hash, place) of each word of a byte string."""
-        self.reach(max(len(data), GROUP + 1))
+        self.reach(max(len(data), CUT + 1))
         codes = np.frombuffer(data, np.uint8)
-        word = IN_WORD[codes]
-        edge = np.flatnonzero(np.diff(word, prepend=False, append=False))
+        word = np.zeros(len(codes) + 2, bool)
+        IN_WORD.take(codes, out=word[1:-1], mode="clip")
+        edge = np.flatnonzero(word[1:] != word[:-1])
         start, stop = edge[::2], edge[1::2]
-        total = np.r_[np.zeros(1, np.uint64), np.cumsum(LETTERS[codes] * self.power[:len(codes)])]
+        letters = LETTERS.take(codes)
+        letters *= self.power[:len(codes)]
+        total = np.zeros(len(codes) + 1, np.uint64)
+        np.cumsum(letters, out=total[1:])
         return mix64((total[stop] - total[start]) * self.inverse[start] + (stop - start).astype(np.uint64)), start
 
     def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -123,7 +130,7 @@ class WordHasher:
         ends = np.cumsum([len(p) + 1 for p in parts])
         hashes, places, at = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], 0
         while at < len(data):
-            stop = at + GROUP
+            stop = at + min(GROUP, CUT)
             if stop < len(data):
                 cut = max(data.rfind(b" ", at, stop), data.rfind(b"\n", at, stop))
                 after = min((x for x in (data.find(b" ", stop), data.find(b"\n", stop)) if x >= 0), default=len(data))
@@ -132,7 +139,8 @@ class WordHasher:
             hashes.append(h)
             places.append(place + at)
             at = stop
-        return np.concatenate(hashes), np.searchsorted(ends, np.concatenate(places), "right")
+        words = np.diff(np.searchsorted(np.concatenate(places), ends), prepend=0)
+        return np.concatenate(hashes), np.repeat(np.arange(len(ends)), words)
 
 
 def least_common(m: int) -> int:
@@ -174,15 +182,15 @@ class Vocabulary:
         keys = np.array(list(words), np.uint64)
         self.order = np.argsort(keys)
         self.keys = keys[self.order]
-        self.maybe = np.zeros(1 << 20, bool)
-        self.maybe[keys & np.uint64((1 << 20) - 1)] = True
+        self.hashes = keys
+        self.last = np.full(1 << 20, -1, np.int64)  # the last word with these low bits
+        self.last[keys & np.uint64((1 << 20) - 1)] = np.arange(len(keys))
 
     def numbers(self, hashes: np.ndarray) -> np.ndarray:
-        out = np.full(len(hashes), -1, np.int64)
-        at = np.flatnonzero(self.maybe[hashes & np.uint64((1 << 20) - 1)])
+        out = self.last[hashes & np.uint64((1 << 20) - 1)]
+        at = np.flatnonzero((out >= 0) & (self.hashes[out] != hashes))
         k = np.minimum(np.searchsorted(self.keys, hashes[at]), len(self.keys) - 1)
-        hit = self.keys[k] == hashes[at]
-        out[at[hit]] = self.order[k[hit]]
+        out[at] = np.where(self.keys[k] == hashes[at], self.order[k], -1)
         return out
 
 
@@ -228,18 +236,35 @@ def cells(hashes: np.ndarray) -> np.ndarray:
     return (hashes & np.uint64(COUNTERS - 1)).astype(np.int64)
 
 
+def distinct(ordered: np.ndarray) -> np.ndarray:
+    """The values of a sorted array, each once."""
+    return ordered[np.r_[True, ordered[1:] != ordered[:-1]][:len(ordered)]]
+
+
 def word_weights(docs: DataFrame) -> tuple[int, np.ndarray]:
     """Number of documents, and each counter's inverse document frequency."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cut, df, n = WordHasher(), np.zeros(COUNTERS, np.int64), 0
+        held, size = [], 0
+
+        def add() -> None:
+            nonlocal df, held, size
+            if held:
+                df += np.bincount(np.concatenate(held), minlength=COUNTERS)
+            held, size = [], 0
+
         for pdf in batches:
             texts = pdf["text"].tolist()
             for group in groups_of(texts):
                 hashes, owner = cut([texts[i] for i in group])
                 # neither a text of a group nor a counter needs more than these bits
                 pairs = np.sort(owner * COUNTERS + cells(hashes))
-                df += np.bincount(pairs[np.r_[True, pairs[1:] != pairs[:-1]][:len(pairs)]] % COUNTERS, minlength=COUNTERS)
+                held.append(distinct(pairs) % COUNTERS)
+                size += len(held[-1])
+                if size >= COUNTERS:
+                    add()
             n += len(pdf)
+        add()
         at = np.flatnonzero(df)
         yield pd.DataFrame({"cell": np.r_[-1, at], "df": np.r_[n, df[at]]})
 
@@ -264,7 +289,7 @@ def word_weights(docs: DataFrame) -> tuple[int, np.ndarray]:
 
 def packed(window: np.ndarray, ids: np.ndarray, n: int) -> pd.DataFrame:
     """The distinct words of windows, ``PACK`` windows a row: their numbers (below ``n``), and how many each window has."""
-    pairs = np.unique(window * n + ids)
+    pairs = distinct(np.sort(window * n + ids))
     window, terms = pairs // n, (pairs % n).astype(np.int32)
     edges = np.flatnonzero(np.r_[True, window[1:] != window[:-1]][:len(window)])
     sizes = np.diff(np.r_[edges, len(terms)]).astype(np.int32)
@@ -329,16 +354,20 @@ def latent_space(block: Block, windows: DataFrame | None, spark: SparkSession) -
                     norm = np.sqrt(np.add.reduceat(v * v, stops - sizes))
                     v = v * np.repeat((scale / norm).astype(np.float32), sizes)
                     y = np.empty((len(sizes), width), np.float32)
+                    # one place for the rows of a product: a new array each time costs more than the product
+                    room = np.empty((max(int(sizes.max()), len(sizes)), width), np.float32)
+                    terms = terms.astype(np.intp)
                     for r, (b, e) in enumerate(zip((stops - sizes).tolist(), stops.tolist(), strict=True)):
-                        y[r] = v[b:e] @ m[terms[b:e]]
+                        np.dot(v[b:e], m.take(terms[b:e], 0, room[:e - b], "clip"), y[r])
                     if gram:
                         out += y.T @ y
                         continue
                     order = np.argsort(terms, kind="stable")
                     terms, v, window = terms[order], v[order], np.repeat(np.arange(len(sizes)), sizes)[order]
                     edges = np.flatnonzero(np.r_[True, terms[1:] != terms[:-1], True])
+                    row = np.empty(width, np.float32)
                     for t, b, e in zip(terms[edges[:-1]].tolist(), edges.tolist(), edges[1:].tolist(), strict=False):
-                        out[t] += v[b:e] @ y[window[b:e]]
+                        out[t] += np.dot(v[b:e], y.take(window[b:e], 0, room[:e - b], "clip"), row)
             yield pd.DataFrame({"block": range(0, len(out), TERMS),
                                 "data": [out[a:a + TERMS].tobytes() for a in range(0, len(out), TERMS)]})
 
@@ -356,18 +385,35 @@ def latent_space(block: Block, windows: DataFrame | None, spark: SparkSession) -
     return basis @ vectors[:, np.argsort(-values)[:rank]].astype(np.float32)
 
 
-def common_subsequence(a: list[int], b: list[int]) -> int:
-    """Length of the longest common subsequence, a bit per word of ``a``."""
-    full = (1 << len(a)) - 1
+def places(a: list[int]) -> dict[int, int]:
+    """Where each word stands, a bit per place."""
     at: dict[int, int] = {}
     for i, w in enumerate(a):
         at[w] = at.get(w, 0) | 1 << i
-    row = full
-    for w in b:
-        if m := at.get(w):
-            u = row & m
-            row = ((row + u) | (row - u)) & full
-    return len(a) - row.bit_count()
+    return at
+
+
+def matched(at: dict[int, int], n: int, b: list[int], least: int = 0) -> int:
+    """Length of the longest common subsequence of ``n`` words in their :func:`places` and ``b``; 0 if it is
+    sure to be under ``least``."""
+    hits = list(filter(None, map(at.get, b)))
+    # It has neither more words than b has of the n nor more than stand at all in b.
+    if len(hits) < least or reduce(or_, hits, 0).bit_count() < least:
+        return 0
+    return subsequence(hits, n)
+
+
+def subsequence(hits: list[int], n: int) -> int:
+    row = full = (1 << n) - 1
+    for m in hits:
+        u = row & m
+        row = ((row + u) | (row - u)) & full
+    return n - row.bit_count()
+
+
+def common_subsequence(a: list[int], b: list[int]) -> int:
+    """Length of the longest common subsequence, a bit per word of ``a``."""
+    return matched(places(a), len(a), b)
 
 
 def in_order(needle: list[int], hay: list[int]) -> bool:
@@ -387,6 +433,8 @@ class Searcher:
         self.square = np.append(self.idf ** 2, np.float32(0))
         length = np.array([np.sqrt((self.idf[np.unique(q["words"])] ** 2).sum()) for q in self.queries])
         self.shortest = {s: float(length[queries].min()) for s, queries in self.by_scale.items()}
+        self.places = [places(q["words"]) for q in self.queries]
+        self.least = [least_common(len(q["words"])) for q in self.queries]
         self.slabs = [self.postings(range(a, min(a + SLAB, len(self.queries))))
                       for a in range(0, len(self.queries), SLAB)]
 
@@ -503,7 +551,7 @@ class Searcher:
         ``end`` is the end of their text."""
         q = self.queries[k]
         region = ids[start:stop].tolist()
-        lcs = common_subsequence(q["words"], region) / len(q["words"])
+        lcs = matched(self.places[k], len(q["words"]), region, self.least[k]) / len(q["words"])
         if lcs >= PARAPHRASE:
             # a part's answer stands where the item ends
             after = ids[stop:min(end, stop + q["rest"] + q["rest"] // 4)].tolist()

@@ -287,3 +287,47 @@ def test_words_of_many_texts_are_the_words_of_each(monkeypatch, rows):
     hashes, owner = decontam.WordHasher()(texts)
     assert [hashes[owner == i].tolist() for i in range(len(texts))] == alone
     assert cut(["Quoted"])[0][0] == cut(["“quoted”!"])[0][0]
+
+
+def test_regions_without_enough_words_are_not_compared(monkeypatch):
+    """Texts that hold all but a few of an item's words, some often, cost no subsequence; those that hold enough do."""
+    rng, done, compare = random.Random(38), [], decontam.subsequence
+
+    def counted(hits, n):
+        done.append(n)
+        return compare(hits, n)
+
+    monkeypatch.setattr(decontam, "subsequence", counted)
+    for n in (1, 5, 20, 64, 65):
+        words = [rng.randrange(n) for _ in range(n)]
+        least = decontam.least_common(n)
+        for _ in range(40):
+            text = [rng.choice([*words, -1, -2]) for _ in range(rng.randint(0, 90))]
+            # words of the item that an alignment in any order could use
+            enough = min(sum(w in words for w in text), sum(w in text for w in words)) >= least
+            done.clear()
+            got, want = decontam.matched(decontam.places(words), n, text, least), decontam.common_subsequence(words, text)
+            assert got == want if enough else got == 0 and want < least
+            assert len(done) == 1 + enough
+
+
+def test_words_with_equal_low_bits_keep_their_numbers():
+    """More words than slots they could lie in, and foreign words in those slots."""
+    rng = np.random.default_rng(39)
+    low = rng.integers(0, 8, 64, dtype=np.uint64)
+    words = (np.arange(64, dtype=np.uint64) << np.uint64(20)) | low
+    foreign = (np.arange(100, 164, dtype=np.uint64) << np.uint64(20)) | low
+    known = decontam.Vocabulary({int(w): k for k, w in enumerate(words)})
+    both = rng.permutation(np.r_[words, foreign, np.arange(9, 20, dtype=np.uint64)])
+    want = {int(w): k for k, w in enumerate(words)}
+    assert known.numbers(both).tolist() == [want.get(int(w), -1) for w in both]
+
+
+def test_hashes_do_not_depend_on_the_pieces(monkeypatch, rows):
+    """Cut at any number of bytes, with words longer than a piece, the words and their texts stay."""
+    texts = [r[1] for r in rows] + ["é" * 900 + " “x”", "", None, "w" * 3000 + " y"]
+    want = decontam.WordHasher()(texts)
+    for size in (1, 7, 300, 5000):
+        monkeypatch.setattr(decontam, "CUT", size)
+        got = decontam.WordHasher()(texts)
+        assert all(np.array_equal(a, b) for a, b in zip(got, want))
