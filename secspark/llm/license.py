@@ -147,6 +147,13 @@ def two_grams(w: Column) -> Column:
     return F.zip_with(F.slice(w, F.lit(1), n), F.slice(w, F.lit(2), n), lambda x, y: F.concat(x, F.lit(" "), y))
 
 
+def two_grams_of(w: Column, first: list[str], second: list[str]) -> Column:
+    """The two-grams of a word of ``first`` and then one of ``second``; no others are put together."""
+    after = F.slice(w, F.lit(2), F.size(w))
+    return F.array_compact(F.zip_with(w, after, lambda x, y: F.when(
+        x.isin(first) & y.isin(second), F.concat(x, F.lit(" "), y))))
+
+
 def grams(w: Column) -> Column:
     return F.array_distinct(F.concat(w, two_grams(w)))
 
@@ -247,10 +254,8 @@ def vocabulary(known: DataFrame, rows: DataFrame) -> list[str]:
         return [(-r["count"], r["gram"]) for r in counts.orderBy(F.desc("count"), "gram").limit(VOCABULARY).collect()]
 
     single = most(F.col("words"))
-    common, w = [g for _, g in single[:COMMON]], F.col("words")
-    after = F.slice(w, F.lit(2), F.size(w))
-    double = most(F.array_compact(F.zip_with(w, after, lambda x, y: F.when(
-        x.isin(common) & y.isin(common), F.concat(x, F.lit(" "), y))))) if common else []
+    common = [g for _, g in single[:COMMON]]
+    double = most(two_grams_of(F.col("words"), common, common)) if common else []
     others = [g for _, g in sorted(single + double) if g not in set(own)]
     return (own + others)[:VOCABULARY]
 
@@ -263,7 +268,8 @@ class Model:
         grams = vocabulary(known, rows.filter("fit"))
         vector = CountVectorizerModel.from_vocabulary(grams, "grams", "features", binary=True)
         double = [g for g in grams if " " in g]
-        pairs = F.filter(two_grams(F.col("words")), lambda g: g.isin(double))
+        first, second = (sorted(set(part)) for part in zip(*(g.split(" ") for g in double), strict=True))
+        pairs = F.filter(two_grams_of(F.col("words"), first, second), lambda g: g.isin(double))
         rows = rows.select("words", "key", "fit", once(pairs=pairs)).filter(unlike_notices(F.col("words"), F.col("pairs")))
         # In one order whatever the files' layout: the fit adds small tables up the same way.
         negatives = materialise(vector.transform(rows.withColumn("grams", F.concat("words", "pairs"))).select(
@@ -318,11 +324,12 @@ class Model:
         two = for_family.filter(F.col("gram").contains(" ")).select(
             F.split_part("gram", F.lit(" "), F.lit(1)).alias("word"), F.split_part("gram", F.lit(" "), F.lit(2)).alias("next"),
             F.col("gain").alias("two"))
-        known = own.join(two.select("word").distinct(), "word", "full_outer")  # at most VOCABULARY words
-        after = F.slice("all", F.lit(2), F.greatest(F.size("all") - 1, F.lit(0)))
-        found = (lines(docs).select("doc_id", "row", "line", F.posexplode(F.arrays_zip(F.col("all").alias("word"), after.alias("next"))).alias("p", "x"))
-                            .select("doc_id", "row", "line", "p", "x.word", "x.next")
-                            .join(F.broadcast(known), "word").join(F.broadcast(two), ["word", "next"], "left")
+        known = sorted({r["gram"].split(" ")[0] for r in for_family.select("gram").collect()})  # at most VOCABULARY words
+        # Other words go before anything is made of them, and the next word is looked up for those that stay.
+        found = (lines(docs).select("doc_id", "row", "line", "all", F.posexplode("all").alias("p", "word"))
+                            .filter(F.col("word").isin(known))
+                            .select("doc_id", "row", "line", "p", "word", F.get("all", F.col("p") + 1).alias("next"))
+                            .join(F.broadcast(own), "word", "left").join(F.broadcast(two), ["word", "next"], "left")
                             .filter("own is not null or two is not null"))
         gain = F.coalesce("own", F.lit(0.0)) + F.coalesce("two", F.lit(0.0))
         half = F.col("p") - F.col("p") % HALF

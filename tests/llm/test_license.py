@@ -1,3 +1,4 @@
+import math
 import random
 import re
 
@@ -139,3 +140,37 @@ def test_notice_test_is_that_of_a_plain_reading(spark, planted):
     got = (spark.createDataFrame(list(enumerate(bodies)), "i int, words array<string>")
                 .select("i", "words", lic.once(pairs=lic.two_grams(body))).select("i", lic.unlike_notices(body, lic.F.col("pairs")).alias("un")))
     assert {r["i"]: r["un"] for r in got.collect()} == {i: plain(w) for i, w in enumerate(bodies)}
+
+
+def test_two_grams_of_given_words_only(spark):
+    """Those of all two-grams whose words are in the two lists, in their order and with repeats."""
+    rng = random.Random(53)
+    bodies = [[], ["a"], ["a", "b"], ["b", "a"], *([rng.choice("abcdé") for _ in range(rng.randint(2, 30))] for _ in range(40))]
+    first, second = ["a", "é"], ["b", "a"]
+    got = spark.createDataFrame(list(enumerate(bodies)), "i int, words array<string>").select(
+        "i", lic.two_grams_of(lic.F.col("words"), first, second).alias("g"))
+    assert {r["i"]: r["g"] for r in got.collect()} == {
+        i: [f"{x} {y}" for x, y in zip(w, w[1:]) if x in first and y in second] for i, w in enumerate(bodies)}
+
+
+def test_first_bound_is_that_of_a_plain_reading(spark, planted):
+    """The documents of the first bound are those of its definition; words without a gain go before the joins."""
+    docs, _ = planted
+    model = lic.Model(spark, docs)
+    gain = {r["gram"]: r["gain"] for r in model.gains()[0].collect()}
+    start, needed = max(model.bias[:-1]) - model.bias[-1], math.log(model.threshold / (1 - model.threshold))
+
+    def worth(text):
+        for line in (text or "").split("\n"):
+            w = re.findall(r"[^\W_]+", line.lower())
+            one = [gain.get(x, 0.0) + gain.get(f"{x} {y}", 0.0) for x, y in zip(w, [*w[1:], ""])]
+            known = [x in gain or f"{x} {y}" in gain for x, y in zip(w, [*w[1:], ""])]
+            for at in range(-lic.HALF, len(w), lic.HALF):
+                s = slice(max(at, 0), at + lic.PIECE)
+                if any(known[s]) and sum(one[s]) + start >= needed:
+                    return True
+        return False
+
+    look = model.worth_a_look(docs)
+    assert {r["doc_id"] for r in look.collect()} == {r["doc_id"] for r in docs.collect() if worth(r["text"])}
+    assert "arrays_zip" not in look._jdf.queryExecution().optimizedPlan().toString()
